@@ -242,3 +242,127 @@ def p3_format_instruction(spark, sf):
     i = tb.instructions(spark, sf)
     p, c = tx.format_instruction("instruction", "input", "output")
     return i.select("id", p.alias("prompt"), c.alias("completion"))
+
+
+# --------------------------------------------------------------------------
+# conversation forest
+# --------------------------------------------------------------------------
+
+from corpusprep.operators import tree  # noqa: E402
+
+N_TEST_ROOTS = 5
+
+
+@register("g1_roots", f"select message_id from ({S.messages()}) where parent_id is null or parent_id = ''")
+def g1_roots(spark, sf):
+    return tree.roots(tb.messages(spark, sf)).select("message_id")
+
+
+@register("w2_rank_children",
+          f"select parent_id, message_id, cast(rn as bigint) as rn, cast(n_children as bigint) as n_children from ({S.kids()})")
+def w2_rank_children(spark, sf):
+    return tree.rank_children(tb.messages(spark, sf)).select(
+        "parent_id", "message_id", F.col("rn").cast("long"), F.col("n_children").cast("long"))
+
+
+@register("a5_children_of",
+          f"select parent_id, string_agg(message_id, ',' order by rn) as children from ({S.kids()}) group by parent_id")
+def a5_children_of(spark, sf):
+    return tree.children_of(tb.messages(spark, sf)).select(
+        "parent_id", F.array_join("children", ",").alias("children"))
+
+
+@register("g3_descendants",
+          S.closure_ctes("select message_id from m where parent_id is null or parent_id = ''")
+          + " select root_id, message_id, cast(depth as bigint) as depth from d")
+def g3_descendants(spark, sf):
+    m = tb.messages(spark, sf)
+    return tree.descendants(m, tree.roots(m)).select("root_id", "message_id", F.col("depth").cast("long"))
+
+
+@register("g4_best_path", S.tree_ctes() + " select root_id, message_id, cast(depth as bigint) as depth from path")
+def g4_best_path(spark, sf):
+    return tree.best_path(tb.messages(spark, sf)).select("root_id", "message_id", F.col("depth").cast("long"))
+
+
+@register("p4_render_context", S.tree_ctes() + " select node_id, prompts from pr")
+def p4_render_context(spark, sf):
+    m = tb.messages(spark, sf)
+    return tree.preference_pairs(m).select("node_id", "prompts").distinct()
+
+
+_PAIRS_SQL = (S.tree_ctes() + " select pr.node_id, a.message_id as accepted_id, r.message_id as rejected_id, pr.prompts, "
+              "a.text || '</MODEL>' as accepted, r.text || '</MODEL>' as rejected from pr "
+              "join k a on a.parent_id = pr.node_id join k r on r.parent_id = pr.node_id and a.rn < r.rn")
+
+
+@register("g5_preference_pairs", _PAIRS_SQL)
+def g5_preference_pairs(spark, sf):
+    return tree.preference_pairs(tb.messages(spark, sf))
+
+
+@register("r6_split_by_root",
+          S.closure_ctes(f"select message_id from m where parent_id is null or parent_id = '' "
+                         f"order by {S.h_seed('message_id')}, message_id limit {N_TEST_ROOTS}")
+          + " select message_id, case when message_id in (select message_id from d) then 'test' else 'train' end as split from m")
+def r6_split_by_root(spark, sf):
+    return tree.split_by_root(tb.messages(spark, sf), N_TEST_ROOTS, SEED).select("message_id", "split")
+
+
+# --------------------------------------------------------------------------
+# post-training tokenisation (long form)
+# --------------------------------------------------------------------------
+
+from corpusprep.profiles import POST_TRAINING_V1  # noqa: E402
+
+_CHAT_VOCAB_SQL = S.extended_vocab(S.word_vocab(VOCAB_SIZE))
+
+
+def long_pairs(df: DataFrame, key: str, nested: bool = False) -> DataFrame:
+    """(row_id, [sub,] which, pos, id) of input_ids / labels."""
+    outs = []
+    for which in ("input_ids", "labels"):
+        if nested:
+            x = df.select(F.col(key).alias("row_id"), F.posexplode(which).alias("sub", "_a")).select(
+                "row_id", F.col("sub").cast("long"), F.posexplode("_a").alias("pos", "id"))
+            outs.append(x.select("row_id", "sub", F.lit(which).alias("which"),
+                                 F.col("pos").cast("long"), F.col("id").cast("long")))
+        else:
+            x = df.select(F.col(key).alias("row_id"), F.posexplode(which).alias("pos", "id"))
+            outs.append(x.select("row_id", F.lit(which).alias("which"),
+                                 F.col("pos").cast("long"), F.col("id").cast("long")))
+    return outs[0].unionByName(outs[1])
+
+
+@register("t3_tokenize_sft",
+          "select * from " + S.seq_long(f"select id as row_id, prompt as p, completion as c from ({S.sft_rows()})",
+                                        _CHAT_VOCAB_SQL))
+def t3_tokenize_sft(spark, sf):
+    i = tb.instructions(spark, sf)
+    p, c = tx.format_instruction("instruction", "input", "output")
+    rows = i.select("id", p.alias("prompt"), c.alias("completion"))
+    tok = tokenise.tokenize_sft(rows, chat_vocab(spark, sf), POST_TRAINING_V1.specials)
+    return long_pairs(tok, "id")
+
+
+_PAIR_ROWS = (f"select node_id || '|' || accepted_id || '|' || rejected_id as row_id, prompts, accepted, rejected "
+              f"from ({_PAIRS_SQL})")
+
+
+@register("t4_tokenize_preference",
+          "select * from " + S.seq_long(f"select row_id, prompts as p, accepted as c from ({_PAIR_ROWS})",
+                                        _CHAT_VOCAB_SQL, "cast(0 as bigint) as sub, ")
+          + " union all select * from " + S.seq_long(f"select row_id, prompts as p, rejected as c from ({_PAIR_ROWS})",
+                                                     _CHAT_VOCAB_SQL, "cast(1 as bigint) as sub, "))
+def t4_tokenize_preference(spark, sf):
+    pairs = tree.preference_pairs(tb.messages(spark, sf))
+    rows = pairs.select(F.concat_ws("|", "node_id", "accepted_id", "rejected_id").alias("row_id"),
+                        "prompts", "accepted", "rejected")
+    tok = tokenise.tokenize_preference(rows, chat_vocab(spark, sf), POST_TRAINING_V1.specials)
+    return long_pairs(tok, "row_id", nested=True)
+
+
+@register("p5_format_preference", f"select node_id, accepted_id, rejected_id, accepted, rejected from ({_PAIRS_SQL})")
+def p5_format_preference(spark, sf):
+    return tree.preference_pairs(tb.messages(spark, sf)).select(
+        "node_id", "accepted_id", "rejected_id", "accepted", "rejected")

@@ -136,3 +136,48 @@ def metrics() -> str:
 def candidates() -> str:
     return ("select vec_id as group_id, cast(generate_subscripts(embedding, 1) - 1 as bigint) as item_id, "
             "cast(unnest(embedding) as double) as score from embeddings")
+
+
+def kids() -> str:
+    """Children with sibling rank rn (1 = best) and the fan-out."""
+    return (f"select parent_id, message_id, role, text, row_number() over (partition by parent_id "
+            f"order by coalesce(rank, 0), message_id) as rn, count(*) over (partition by parent_id) as n_children "
+            f"from ({messages()}) where parent_id is not null and parent_id <> ''")
+
+
+def tree_ctes() -> str:
+    """WITH RECURSIVE prefix: m, kids, best path (root_id, message_id, depth)."""
+    return (f"with recursive m as ({messages()}), k as ({kids()}), "
+            "path(root_id, message_id, depth) as (select message_id, message_id, 0 from m "
+            "where parent_id is null or parent_id = '' union all select p.root_id, k.message_id, p.depth + 1 "
+            "from path p join k on k.parent_id = p.message_id and k.rn = 1), "
+            "br as (select distinct p.root_id, p.message_id as node_id, p.depth from path p join k on k.parent_id = p.message_id "
+            "where k.n_children >= 2), "
+            "pr as (select br.node_id, string_agg(case when m.role = 'prompter' then '<USER>' || m.text || '</USER>' "
+            "when m.role = 'assistant' then '<MODEL>' || m.text || '</MODEL>' end, '' order by x.depth) || '<MODEL>' as prompts "
+            "from br join path x on x.root_id = br.root_id and x.depth <= br.depth join m on m.message_id = x.message_id "
+            "group by br.node_id)")
+
+
+def closure_ctes(start: str) -> str:
+    return (f"with recursive m as ({messages()}), "
+            f"d(root_id, message_id, depth) as (select message_id, message_id, 0 from ({start}) "
+            "union all select d.root_id, m.message_id, d.depth + 1 from d join m on m.parent_id = d.message_id)")
+
+
+ALL_SPECIALS = BASE_SPECIALS + CHAT_SPECIALS
+
+
+def seq_long(rows_sql: str, vocab_sql: str, extra: str = "") -> str:
+    """Long form (row_id, which, pos, id) of T3 for rows (row_id, p, c):
+    full = ids(p) + ids(c); input_ids = full[:-1]; labels = ([-100]*|p| + ids(c))[1:].
+    ``extra`` is a constant column list prefix (e.g. "0 as sub, ")."""
+    P = pieces_with_specials("p", ALL_SPECIALS)
+    C = pieces_with_specials("c", ALL_SPECIALS)
+    return (f"(with r as ({rows_sql}), v as (select id as vid, piece from ({vocab_sql})), "
+            f"pp as (select row_id, unnest({P}) as piece, generate_subscripts({P}, 1) as i, len({P}) + len({C}) as n from r), "
+            f"cc as (select row_id, unnest({C}) as piece, generate_subscripts({C}, 1) as i, len({P}) as np, len({P}) + len({C}) as n from r), "
+            "f as (select row_id, i as k, coalesce(vid, 0) as tok, -100 as lab, n from pp left join v using (piece) "
+            "union all select row_id, np + i, coalesce(vid, 0), coalesce(vid, 0), n from cc left join v using (piece)) "
+            f"select row_id, {extra}'input_ids' as which, cast(k - 1 as bigint) as pos, cast(tok as bigint) as id from f where k <= n - 1 "
+            f"union all select row_id, {extra}'labels', cast(k - 2 as bigint), cast(lab as bigint) from f where k >= 2)")
