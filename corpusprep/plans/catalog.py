@@ -366,3 +366,145 @@ def t4_tokenize_preference(spark, sf):
 def p5_format_preference(spark, sf):
     return tree.preference_pairs(tb.messages(spark, sf)).select(
         "node_id", "accepted_id", "rejected_id", "accepted", "rejected")
+
+
+# --------------------------------------------------------------------------
+# packing: offsets, blocks, next-token pairs, windows
+# --------------------------------------------------------------------------
+
+from corpusprep.operators import pack  # noqa: E402
+
+CTX = 128
+N_WINDOWS = 32
+BATCH = 8
+
+_P = S.pieces("text")
+_STREAM = (f"with v as ({_VOCAB_SQL}), "
+           f"lens as (select doc_id, len({_P}) + 2 as n from documents), "
+           "offs as (select doc_id, coalesce(sum(n) over (order by doc_id rows between unbounded preceding and 1 preceding), 0) as off, n from lens), "
+           f"p as (select doc_id, unnest({_P}) as piece, generate_subscripts({_P}, 1) as pos from documents), "
+           "t as (select doc_id, pos, coalesce(v.id, 0) as id from p left join v using (piece) "
+           "union all select doc_id, 0, 2 from documents union all select doc_id, n - 1, 3 from lens), "
+           "g as (select off + pos as g, id from t join offs using (doc_id)), "
+           "tot as (select sum(n) as L from lens)")
+
+
+def pretrain_tokens(spark, sf):
+    t = tb.text_table(spark, sf).select("doc_id", "text")
+    return tokenise.tokenize_pretrain(t, word_vocab(spark, sf))
+
+
+@register("w3_doc_offsets", _STREAM + " select doc_id, cast(off as bigint) as offset, cast(n as bigint) as n from offs")
+def w3_doc_offsets(spark, sf):
+    off = pack.doc_offsets(pretrain_tokens(spark, sf), ["doc_id"])
+    return off.select("doc_id", "offset", F.size("input_ids").cast("long").alias("n"))
+
+
+@register("l1_pack_blocks",
+          _STREAM + f" select cast(g // {CTX} as bigint) as block_id, cast(g % {CTX} as bigint) as pos, cast(id as bigint) as id from g")
+def l1_pack_blocks(spark, sf):
+    blocks = pack.pack_blocks(pretrain_tokens(spark, sf), CTX, ["doc_id"])
+    return long_ids(blocks, "block_id", "tokens")
+
+
+@register("l2_next_token_pairs",
+          _STREAM + f" select cast(a.g // {CTX} as bigint) as block_id, cast(a.g % {CTX} as bigint) as pos, "
+          "cast(a.id as bigint) as x, cast(b.id as bigint) as y from g a join g b on b.g = a.g + 1")
+def l2_next_token_pairs(spark, sf):
+    blocks = pack.pack_blocks(pretrain_tokens(spark, sf), CTX, ["doc_id"])
+    p = pack.next_token_pairs(blocks)
+    z = p.select("block_id", F.posexplode(F.arrays_zip("x", "y")).alias("pos", "z"))
+    return z.select("block_id", F.col("pos").cast("long"), F.col("z.x").cast("long").alias("x"),
+                    F.col("z.y").cast("long").alias("y"))
+
+
+@register("l3_sample_windows",
+          _STREAM + f", d as (select range as draw, {S.h_seed('range')} % ((select L from tot) - {CTX} - 1) as start "
+          f"from range({N_WINDOWS})) select draw, cast(g - start as bigint) as pos, cast(id as bigint) as id "
+          f"from d join g on g.g between d.start and d.start + {CTX}")
+def l3_sample_windows(spark, sf):
+    blocks = pack.pack_blocks(pretrain_tokens(spark, sf), CTX, ["doc_id"])
+    w = pack.sample_windows(blocks, N_WINDOWS, CTX, CTX, SEED)
+    full = F.concat("x", F.slice("y", -1, 1))
+    return w.select("draw", F.posexplode(full).alias("pos", "id")).select(
+        "draw", F.col("pos").cast("long"), F.col("id").cast("long"))
+
+
+@register("a11_batches_per_epoch",
+          f"select split, cast(sum({_NTOK}) as bigint) as tokens, cast(sum({_NTOK}) // {BATCH * CTX} as bigint) as batches "
+          f"from ({_SPLIT}) group by split")
+def a11_batches_per_epoch(spark, sf):
+    t = split_text(spark, sf)
+    tok = tokenise.tokenize_pretrain(t.select("split", "text"), word_vocab(spark, sf))
+    return stats.batches_per_epoch_tokens(tok, BATCH, CTX)
+
+
+# --------------------------------------------------------------------------
+# SFT / preference views and batches
+# --------------------------------------------------------------------------
+
+SFT_CTX = 64
+PAD_ID = 1
+N_SFT_BATCHES = 4
+
+_T3 = S.seq_long(f"select id as row_id, prompt as p, completion as c from ({S.sft_rows()})", _CHAT_VOCAB_SQL)
+
+
+def sft_tokens(spark, sf):
+    i = tb.instructions(spark, sf)
+    p, c = tx.format_instruction("instruction", "input", "output")
+    rows = i.select("id", p.alias("prompt"), c.alias("completion"))
+    return tokenise.tokenize_sft(rows, chat_vocab(spark, sf), POST_TRAINING_V1.specials)
+
+
+_FIT = (f"with t as (select * from {_T3}), n as (select row_id, which, count(*) as n from t group by row_id, which) "
+        f"select row_id, which, cast(pos - greatest(n - {SFT_CTX}, 0) as bigint) as pos, id from t join n using (row_id, which) "
+        f"where pos >= n - {SFT_CTX} "
+        f"union all select row_id, which, cast(p as bigint), cast(case when which = 'input_ids' then {PAD_ID} else -100 end as bigint) "
+        f"from (select row_id, which, unnest(generate_series(n, {SFT_CTX - 1})) as p from n where n < {SFT_CTX})")
+
+
+@register("x5_fit_length", _FIT)
+def x5_fit_length(spark, sf):
+    tok = sft_tokens(spark, sf)
+    x, y = pack.fit_length("input_ids", "labels", SFT_CTX, PAD_ID)
+    return long_pairs(tok.select("id", x.alias("input_ids"), y.alias("labels")), "id")
+
+
+@register("x7_prompt_and_target",
+          f"with t as (select * from {_T3}), k as (select row_id, min(pos) as k from t where which = 'labels' and id <> -100 group by row_id), "
+          "n as (select row_id, count(*) as n from t where which = 'labels' group by row_id), "
+          "c as (select row_id, coalesce(k + 1, n) as cut from n left join k using (row_id)) "
+          "select row_id, 'prompt' as which, pos, id from t join c using (row_id) where which = 'input_ids' and pos < cut "
+          "union all select row_id, 'target', pos - cut, id from t join c using (row_id) where which = 'labels' and pos >= cut")
+def x7_prompt_and_target(spark, sf):
+    tok = sft_tokens(spark, sf)
+    p, t = pack.prompt_and_target()
+    v = tok.select(F.col("id").alias("row_id"), p.alias("prompt"), t.alias("target"))
+    outs = [v.select("row_id", F.lit(w).alias("which"), F.posexplode(w).alias("pos", "id")) for w in ("prompt", "target")]
+    return outs[0].unionByName(outs[1]).select("row_id", "which", F.col("pos").cast("long"), F.col("id").cast("long"))
+
+
+@register("r9_sample_rows",
+          f"with r as (select id, row_number() over (order by id) as rank from ({S.instructions()})), "
+          f"d as (select range as draw, {S.h_seed('range')} % (select count(*) from r) + 1 as rank from range({N_SFT_BATCHES * BATCH})) "
+          "select draw, id from d join r using (rank)")
+def r9_sample_rows(spark, sf):
+    from corpusprep.operators.order import global_rank
+    ranked = global_rank(tb.instructions(spark, sf).select("id"), ["id"], "rank")
+    return split.sample_rows(ranked, N_SFT_BATCHES * BATCH, SEED).select("draw", "id")
+
+
+@register("l4_sft_batches",
+          f"with r as (select id, row_number() over (order by id) as rank from ({S.instructions()})), "
+          f"d as (select range as draw, {S.h_seed('range')} % (select count(*) from r) + 1 as rank from range({N_SFT_BATCHES * BATCH})), "
+          f"f as ({_FIT}) select cast(draw // {BATCH} as bigint) as batch_id, cast(draw % {BATCH} as bigint) as slot, which, pos, f.id "
+          "from d join r using (rank) join f on f.row_id = r.id")
+def l4_sft_batches(spark, sf):
+    from corpusprep.operators.order import global_rank
+    ranked = global_rank(sft_tokens(spark, sf), ["id"], "rank")
+    b = pack.sft_batches(ranked, N_SFT_BATCHES, BATCH, SFT_CTX, PAD_ID, SEED)
+    outs = [b.select("batch_id", F.col("slot").cast("long"), F.lit(w).alias("which"),
+                     F.posexplode(w).alias("pos", "id")) for w in ("input_ids", "labels")]
+    return outs[0].unionByName(outs[1]).select("batch_id", "slot", "which", F.col("pos").cast("long"),
+                                               F.col("id").cast("long"))
