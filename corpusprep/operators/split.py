@@ -18,30 +18,40 @@ from corpusprep.session import BROADCAST_ROW_LIMIT, reliable_checkpoint
 SPLITS = ("train", "validation", "test")
 
 
-def _attach(df: DataFrame, labels: DataFrame, key: str, default: str) -> DataFrame:
-    """Join a materialised (key, split) label table back; broadcast only when
-    its counted size is within the limit."""
-    labels = reliable_checkpoint(labels)
-    side = F.broadcast(labels) if labels.count() <= BROADCAST_ROW_LIMIT else labels
-    return (df.join(side, key, "left")
-            .withColumn("split", F.coalesce(F.col("split"), F.lit(default))))
-
-
 def split_exact(df: DataFrame, key: str, n_holdout: int, seed: int = 42,
                 by: str | None = None) -> DataFrame:
     """R2: shuffle, take exactly ``n_holdout`` rows out (per ``by`` group when
     given), first floor(n/2) of them validation, the rest test, all others
-    train."""
+    train.
+
+    Plan: the holdout of each group is its n smallest (hash, key) tuples. For
+    n up to Spark's window-group-limit threshold the ranking window gets a
+    partial per-group limit before its shuffle (a hot group ships at most n
+    rows per task); larger n use the range-partitioned rank. Only two
+    threshold tuples per group come back, and every row is labelled by
+    comparing its (hash, key) with them (broadcast of #groups rows, checked)."""
     n_valid = n_holdout // 2
-    keyed = df.select(*([by] if by else []), key, hash_order(seed, key).alias("_h"))
-    if by:
-        ranked = rank_within(keyed, by, ["_h", key], out="_rn").filter(F.col("_rn") <= n_holdout)
+    spark = df.sparkSession
+    hk = F.struct(hash_order(seed, key).alias("h"), F.col(key).alias("k"))
+    g = by or "_g"
+    src = df if by else df.withColumn("_g", F.lit(0))
+    keyed = src.select(g, hk.alias("_hk"))
+    limit = int(spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
+    if n_holdout <= limit:
+        w = Window.partitionBy(g).orderBy("_hk")
+        ranked = keyed.withColumn("_rn", F.row_number().over(w))
     else:
-        top = keyed.orderBy("_h", key).limit(int(n_holdout))  # distributed top-k
-        ranked = top.withColumn("_rn", F.row_number().over(Window.orderBy("_h", key)))
-    labels = ranked.select(key, F.when(F.col("_rn") <= n_valid, F.lit("validation"))
-                           .otherwise(F.lit("test")).alias("split"))
-    return _attach(df, labels, key, "train")
+        ranked = rank_within(keyed, g, ["_hk"], out="_rn")
+    ranked = ranked.filter(F.col("_rn") <= n_holdout)
+    th = reliable_checkpoint(ranked.groupBy(g).agg(
+        F.max(F.when(F.col("_rn") <= n_valid, F.col("_hk"))).alias("_tv"),
+        F.max("_hk").alias("_tt")))
+    side = F.broadcast(th) if th.count() <= BROADCAST_ROW_LIMIT else th
+    label = (F.when(F.col("_tv").isNotNull() & (hk <= F.col("_tv")), F.lit("validation"))
+             .when(F.col("_tt").isNotNull() & (hk <= F.col("_tt")), F.lit("test"))
+             .otherwise(F.lit("train")))
+    out = src.join(side, g, "left").withColumn("split", label).drop("_tv", "_tt")
+    return out if by else out.drop("_g")
 
 
 def split_sequential(df: DataFrame, key: str, sizes: Sequence[tuple[str, int]],

@@ -22,9 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusprep.functions import text as tx
-from corpusprep.operators.vocab import collect_vocab
+from corpusprep.operators.vocab import bounded_broadcast, collect_vocab
 from corpusprep.profiles import IGNORE_INDEX
-from corpusprep.session import BROADCAST_ROW_LIMIT
 
 
 def pre_tokenise(text, model: str = "word", specials: Sequence[str] = ()) -> Column:
@@ -107,9 +106,7 @@ def encode_long(df: DataFrame, vocab: DataFrame, key: str | Sequence[str], text:
     keys = [key] if isinstance(key, str) else list(key)
     exploded = df.select(*keys, F.posexplode(pre_tokenise(F.col(text), model, specials))
                          .alias("pos", "piece"))
-    v = vocab.select("piece", "id")
-    if vocab.count() <= BROADCAST_ROW_LIMIT:  # bounded by vocab_size, checked
-        v = F.broadcast(v)
+    v = bounded_broadcast(vocab.select("piece", "id"))  # bounded by vocab_size, checked
     return (exploded.join(v, "piece", "left")
             .select(*keys, F.col("pos").cast("long"),
                     F.coalesce("id", F.lit(unk_id)).cast("long").alias("id")))
@@ -180,9 +177,7 @@ def decode(df: DataFrame, vocab: DataFrame, ids: str = "input_ids", out: str = "
     """Ids -> pieces -> text (metaspace decoder: '▁' -> ' ', first space
     dropped). Plan: posexplode + broadcast join + ordered re-collect per row."""
     keys = [key] if isinstance(key, str) else list(key)
-    v = vocab.select("id", "piece", "is_special")
-    if vocab.count() <= BROADCAST_ROW_LIMIT:
-        v = F.broadcast(v)
+    v = bounded_broadcast(vocab.select("id", "piece", "is_special"))
     ex = df.select(*keys, F.posexplode(ids).alias("pos", "id")).join(v, "id", "left")
     if skip_special:
         ex = ex.filter(~F.coalesce(F.col("is_special"), F.lit(False)))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusprep.functions import text as tx
-from corpusprep.session import BROADCAST_ROW_LIMIT
+from corpusprep.session import BROADCAST_ROW_LIMIT, reliable_checkpoint
 
 VOCAB_SCHEMA = "id int, piece string, freq long, is_special boolean"
 
@@ -68,7 +68,8 @@ def train_word_vocab(df: DataFrame, vocab_size: int, specials: Sequence[str],
                      text: str = "text") -> DataFrame:
     """V3 word model: id = k + rank by (freq desc, piece), k specials first."""
     counts = word_counts(df, text).filter(~F.col("piece").isin(list(specials)))
-    return assign_ids(top_pieces(counts, vocab_size - len(specials)), specials)
+    # bounded by vocab_size: materialised once in the shared checkpoint folder
+    return reliable_checkpoint(assign_ids(top_pieces(counts, vocab_size - len(specials)), specials))
 
 
 def train_char_vocab(df: DataFrame, specials: Sequence[str], coverage: float = 1.0,
@@ -79,7 +80,7 @@ def train_char_vocab(df: DataFrame, specials: Sequence[str], coverage: float = 1
         counts = char_coverage(counts, coverage)
     w = Window.orderBy(F.desc("freq"), "piece")  # alphabet-sized
     ranked = counts.withColumn("rank", (F.row_number().over(w) - 1).cast("int"))
-    return assign_ids(ranked, specials)
+    return reliable_checkpoint(assign_ids(ranked, specials))
 
 
 def missing_pieces(vocab: DataFrame, specials: Sequence[str]) -> DataFrame:
@@ -98,7 +99,7 @@ def extend_vocab(vocab: DataFrame, specials: Sequence[str]) -> DataFrame:
     add = (miss
            .select((F.lit(top) + F.row_number().over(w)).cast("int").alias("id"), "piece",
                    F.lit(0).cast("long").alias("freq"), F.lit(True).alias("is_special")))
-    return vocab.unionByName(add)
+    return reliable_checkpoint(vocab.unionByName(add))
 
 
 def score_table(vocab: DataFrame) -> DataFrame:
@@ -113,8 +114,14 @@ def score_table(vocab: DataFrame) -> DataFrame:
 def collect_vocab(vocab: DataFrame) -> tuple[list[str], list[int]]:
     """Driver copy of a vocabulary for broadcasting into tasks; its size is
     bounded by vocab_size and checked here."""
-    n = vocab.count()
-    if n > BROADCAST_ROW_LIMIT:
-        raise ValueError(f"vocabulary of {n} rows is too large to broadcast")
-    rows = vocab.select("piece", "id").collect()
+    rows = vocab.select("piece", "id").limit(BROADCAST_ROW_LIMIT + 1).collect()
+    if len(rows) > BROADCAST_ROW_LIMIT:
+        raise ValueError(f"vocabulary over {BROADCAST_ROW_LIMIT} rows is too large to broadcast")
     return [r["piece"] for r in rows], [int(r["id"]) for r in rows]
+
+
+def bounded_broadcast(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
+    """Broadcast hint only when the table has at most ``limit`` rows (counted on
+    a bounded prefix, so the check itself never scans more than limit+1 rows)."""
+    n = df.limit(limit + 1).count()
+    return F.broadcast(df) if n <= limit else df
