@@ -508,3 +508,136 @@ def l4_sft_batches(spark, sf):
                      F.posexplode(w).alias("pos", "id")) for w in ("input_ids", "labels")]
     return outs[0].unionByName(outs[1]).select("batch_id", "slot", "which", F.col("pos").cast("long"),
                                                F.col("id").cast("long"))
+
+
+# --------------------------------------------------------------------------
+# evaluation: candidate sampling reductions, cross entropy, preference loss
+# --------------------------------------------------------------------------
+
+from corpusprep.operators import evaluate as ev  # noqa: E402
+
+TOP_K = 5
+TOP_P = 0.5
+BETA = 0.1
+
+_TOPK = (f"select group_id, item_id, score from (select *, rank() over (partition by group_id order by score desc) as r "
+         f"from ({S.candidates()})) where r <= {TOP_K}")
+_SOFT = ("select group_id, item_id, score, e / sum(e) over (partition by group_id) as prob from "
+         f"(select *, exp(score - max(score) over (partition by group_id)) as e from ({_TOPK}))")
+_NUC = ("select group_id, item_id, prob / sum(prob) over (partition by group_id) as prob from "
+        "(select group_id, item_id, prob, sum(prob) over (partition by group_id order by prob desc, item_id "
+        f"rows between unbounded preceding and current row) - prob as before from ({_SOFT})) where before <= {TOP_P}")
+
+
+def _cands(spark, sf):
+    return ev.top_k_per_group(tb.candidates(spark, sf), TOP_K)
+
+
+@register("w5_top_k_per_group", f"select group_id, item_id, round(score, 6) as score from ({_TOPK})")
+def w5_top_k_per_group(spark, sf):
+    return _cands(spark, sf).select("group_id", "item_id", F.round("score", 6).alias("score"))
+
+
+@register("w6_softmax_per_group", f"select group_id, item_id, round(prob, 6) as prob from ({_SOFT})")
+def w6_softmax_per_group(spark, sf):
+    return ev.softmax_per_group(_cands(spark, sf)).select("group_id", "item_id", F.round("prob", 6).alias("prob"))
+
+
+@register("w7_nucleus_per_group", f"select group_id, item_id, round(prob, 6) as prob from ({_NUC})")
+def w7_nucleus_per_group(spark, sf):
+    p = ev.nucleus_per_group(ev.softmax_per_group(_cands(spark, sf)), TOP_P)
+    return p.select("group_id", "item_id", F.round("prob", 6).alias("prob"))
+
+
+@register("w8_draw_per_group",
+          f"with c as (select *, sum(prob) over (partition by group_id order by prob desc, item_id rows between unbounded "
+          f"preceding and current row) as cum, {S.h_seed('group_id')} / 4294967296.0 as u from ({_NUC})), "
+          "f as (select group_id, arg_min(item_id, (-prob, item_id)) filter (where cum > u) as hit, "
+          "arg_max(item_id, (-prob, item_id)) as last from c group by group_id) "
+          "select c.group_id, c.item_id, round(c.prob, 6) as prob, round(ln(c.prob), 6) as logp from f join c "
+          "on c.group_id = f.group_id and c.item_id = coalesce(f.hit, f.last)")
+def w8_draw_per_group(spark, sf):
+    p = ev.nucleus_per_group(ev.softmax_per_group(_cands(spark, sf)), TOP_P)
+    d = ev.draw_per_group(p, SEED)
+    return d.select("group_id", "item_id", F.round("prob", 6).alias("prob"), F.round("logp", 6).alias("logp"))
+
+
+# token log-probabilities of the fitted preference sequences under two add-k
+# bigram tables fitted on the pre-training stream (policy k=1, reference k=0.1)
+K_POLICY, K_REFERENCE = 1.0, 0.1
+
+_T4_ACC = S.seq_long(f"select row_id, prompts as p, accepted as c from ({_PAIR_ROWS})", _CHAT_VOCAB_SQL,
+                     "cast(0 as bigint) as sub, ")
+_T4_REJ = S.seq_long(f"select row_id, prompts as p, rejected as c from ({_PAIR_ROWS})", _CHAT_VOCAB_SQL,
+                     "cast(1 as bigint) as sub, ")
+_T4FIT = (f"with t as (select * from {_T4_ACC} union all select * from {_T4_REJ}), "
+          "n as (select row_id, sub, which, count(*) as n from t group by row_id, sub, which), "
+          f"f as (select row_id, sub, which, pos - greatest(n - {SFT_CTX}, 0) as pos, id from t join n using (row_id, sub, which) "
+          f"where pos >= n - {SFT_CTX} union all select row_id, sub, which, p, case when which = 'input_ids' then {PAD_ID} else -100 end "
+          f"from (select row_id, sub, which, unnest(generate_series(n, {SFT_CTX - 1})) as p from n where n < {SFT_CTX})) "
+          "select i.row_id as pair_id, i.sub as which, i.pos, i.id as prev, l.id as label from f i join f l "
+          "on i.row_id = l.row_id and i.sub = l.sub and i.pos = l.pos and i.which = 'input_ids' and l.which = 'labels'")
+_BIGRAM = (_STREAM + ", bg as (select a.id as prev, b.id as token, count(*) as n from t a join t b on a.doc_id = b.doc_id "
+           "and b.pos = a.pos + 1 group by 1, 2), bt as (select prev, sum(n) as n_prev from bg group by prev)")
+_VSIZE = f"(select count(*) from ({_CHAT_VOCAB_SQL}))"
+
+
+def _scored_sql(k: float, model: str) -> str:
+    return (f"select pair_id, which, '{model}' as model, cast(pos as bigint) as pos, cast(label as bigint) as label, "
+            f"case when label = -100 then 0.0 else ln((coalesce(bg.n, 0) + {k}) / (coalesce(bt.n_prev, 0) + {k} * {_VSIZE})) end as logp "
+            "from s left join bg on bg.prev = s.prev and bg.token = s.label left join bt on bt.prev = s.prev")
+
+
+_SCORES = (_BIGRAM + f", s as ({_T4FIT}), sc as ({_scored_sql(K_POLICY, 'policy')} union all "
+           f"{_scored_sql(K_REFERENCE, 'reference')})")
+
+
+def _scores(spark, sf):
+    cv = chat_vocab(spark, sf)
+    v_size = cv.count()
+    pairs = tree.preference_pairs(tb.messages(spark, sf))
+    rows = pairs.select(F.concat_ws("|", "node_id", "accepted_id", "rejected_id").alias("row_id"),
+                        "prompts", "accepted", "rejected")
+    tok = tokenise.tokenize_preference(rows, cv, POST_TRAINING_V1.specials)
+    seqs = pack.explode_pairs(tok, "row_id")
+    x, y = pack.fit_length("input_ids", "labels", SFT_CTX, PAD_ID)
+    seqs = seqs.select(F.col("row_id").alias("pair_id"), F.col("sub").cast("long").alias("which"),
+                       x.alias("input_ids"), y.alias("labels"))
+    bg = ev.fit_bigram(pretrain_tokens(spark, sf))
+    a = ev.score_tokens(seqs, bg, v_size, K_POLICY, "policy")
+    b = ev.score_tokens(seqs, bg, v_size, K_REFERENCE, "reference")
+    return a.unionByName(b)
+
+
+@register("e2_score_completions",
+          _SCORES + " select pair_id, which, model, pos, label, round(logp, 6) as logp from sc")
+def e2_score_completions(spark, sf):
+    return _scores(spark, sf).withColumn("logp", F.round("logp", 6))
+
+
+@register("e1_masked_cross_entropy",
+          _SCORES + " select model, count(*) filter (where label <> -100) as tokens, "
+          "round(sum(-logp) filter (where label <> -100) / count(*) filter (where label <> -100), 6) as cross_entropy, "
+          "round(exp(sum(-logp) filter (where label <> -100) / count(*) filter (where label <> -100)), 6) as perplexity "
+          "from sc group by model")
+def e1_masked_cross_entropy(spark, sf):
+    return ev.masked_cross_entropy(_scores(spark, sf))
+
+
+@register("e3_preference_loss",
+          _SCORES + f", d as (select pair_id, pos, {BETA} * sum(case when model = 'reference' and which = 0 then -logp "
+          "when model = 'policy' and which = 0 then logp when model = 'reference' and which = 1 then logp "
+          "else -logp end) as margin from sc group by pair_id, pos) "
+          "select pair_id, round(avg(ln(1 + exp(-margin))), 6) as loss, round(avg(margin), 6) as reward from d group by pair_id")
+def e3_preference_loss(spark, sf):
+    return ev.preference_loss(_scores(spark, sf), BETA, "position")
+
+
+@register("e3_preference_loss_sequence",
+          _SCORES + ", q as (select pair_id, which, sum(case when model = 'policy' then -logp else 0 end) as th, "
+          "sum(case when model = 'reference' then -logp else 0 end) as rf from sc group by pair_id, which) "
+          f"select w.pair_id, round(ln(1 + exp(-({BETA} * ((w.rf - w.th) - (l.rf - l.th))))), 6) as loss, "
+          f"round({BETA} * ((w.rf - w.th) - (l.rf - l.th)), 6) as reward from q w join q l on w.pair_id = l.pair_id "
+          "and w.which = 0 and l.which = 1")
+def e3_preference_loss_sequence(spark, sf):
+    return ev.preference_loss(_scores(spark, sf), BETA, "sequence")
