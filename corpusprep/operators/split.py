@@ -106,7 +106,7 @@ def interleave(df: DataFrame, group: str, order: Sequence[str], group_order: Seq
     gi = spark.createDataFrame([(g, i) for i, g in enumerate(group_order)], f"{group} string, gi int")
     ranked = rank_within(df.join(F.broadcast(gi), group), group, list(order), out="rn")
     counts = ranked.groupBy(group).count().collect()
-    m = min([r["count"] for r in counts] + [0]) if len(counts) == len(group_order) else 0
+    m = min(r["count"] for r in counts) if len(counts) == len(group_order) else 0
     if stop == "first_exhausted":
         ranked = ranked.filter(F.col("rn") <= m)
     n = len(group_order)
@@ -124,3 +124,30 @@ def sample_rows(df: DataFrame, n: int, seed: int, rank_col: str = "rank",
     draws = spark.range(n).select(F.col("id").alias("draw"),
                                   (F.pmod(hash_order(seed, F.col("id")), F.lit(N)) + 1).alias(rank_col))
     return draws.join(df, rank_col)
+
+
+def prepare_corpus(docs: DataFrame, chunk: int, max_samples: int | None, max_lines: int | None,
+                   seed: int = 42, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """R4/X1/C1/C2 in the reference's order: chunk every ``chunk`` words ->
+    shuffle -> keep ``max_samples`` chunks -> clean whitespace -> drop blank
+    -> keep ``max_lines`` lines (counting non-blank lines only)."""
+    from corpusprep.functions import text as tx
+    ch = docs.select(key, F.posexplode(tx.chunk_words(F.col(text), chunk)).alias("chunk", "_t")) \
+        .withColumn("chunk", F.col("chunk").cast("long"))
+    ckey = F.concat_ws("-", F.col(key).cast("string"), F.col("chunk").cast("string"))
+    ch = ch.withColumn("_h", hash_order(seed, ckey))
+    order = ["_h", key, "chunk"]
+    if max_samples:
+        ch = ch.orderBy(*order).limit(int(max_samples))
+    lines = ch.withColumn("line", tx.clean_whitespace(F.col("_t"))).filter(F.col("line") != "")
+    if max_lines:
+        lines = lines.orderBy(*order).limit(int(max_lines))
+    return lines.select(key, "chunk", "line")
+
+
+def union_all(dfs: Sequence[DataFrame]) -> DataFrame:
+    """Append tables (duplicates kept), by column name."""
+    out = dfs[0]
+    for d in dfs[1:]:
+        out = out.unionByName(d)
+    return out

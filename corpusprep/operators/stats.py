@@ -75,9 +75,9 @@ def throughput(metrics: DataFrame) -> DataFrame:
     1/(t_i - t_(i-1)), 0 when the gap is <= 0 or there is no previous step.
     The previous step is found by an equi-join on the unique (run, step) key,
     so a run with most of the rows still spreads over all tasks."""
-    prev = metrics.select("run", (F.col("step") + 1).alias("step"),
-                          F.col("ts").cast("double").alias("_prev"))
-    gap = F.col("ts").cast("double") - F.col("_prev")
+    secs = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    prev = metrics.select("run", (F.col("step") + 1).alias("step"), secs.alias("_prev"))
+    gap = secs - F.col("_prev")
     return (metrics.join(prev, ["run", "step"], "left")
             .withColumn("rate", F.round(F.when(gap > 0, 1.0 / gap).otherwise(0.0), 6))
             .drop("_prev"))

@@ -178,9 +178,11 @@ def decode(df: DataFrame, vocab: DataFrame, ids: str = "input_ids", out: str = "
     dropped). Plan: posexplode + broadcast join + ordered re-collect per row."""
     keys = [key] if isinstance(key, str) else list(key)
     v = bounded_broadcast(vocab.select("id", "piece", "is_special"))
-    ex = df.select(*keys, F.posexplode(ids).alias("pos", "id")).join(v, "id", "left")
+    ex = df.select(*keys, F.posexplode_outer(ids).alias("pos", "id")).join(v, "id", "left")
+    shown = F.coalesce(F.col("piece"), F.lit(""))
     if skip_special:
-        ex = ex.filter(~F.coalesce(F.col("is_special"), F.lit(False)))
+        shown = F.when(F.coalesce(F.col("is_special"), F.lit(False)), F.lit("")).otherwise(shown)
+    ex = ex.withColumn("piece", shown)
     g = ex.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pos", "piece"))).alias("_s"))
     joined = F.array_join(F.transform("_s", lambda s: F.coalesce(s["piece"], F.lit(""))), "")
     txt = F.replace(joined, F.lit(tx.METASPACE), F.lit(" "))

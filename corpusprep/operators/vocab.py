@@ -125,3 +125,17 @@ def bounded_broadcast(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFr
     a bounded prefix, so the check itself never scans more than limit+1 rows)."""
     n = df.limit(limit + 1).count()
     return F.broadcast(df) if n <= limit else df
+
+
+def compare_encodings(df: DataFrame, vocab_a: DataFrame, vocab_b: DataFrame,
+                      key: str = "doc_id", group: str = "dataset", text: str = "text") -> DataFrame:
+    """V7: encode the same text with two vocabularies; per group the number of
+    rows with identical ids and the share of differing positions."""
+    from corpusprep.operators.tokenise import encode, make_lookup
+    a = encode(df.select(group, key, text), make_lookup(vocab_a), text, "ids_a")
+    b = encode(a, make_lookup(vocab_b), text, "ids_b")
+    diff = F.size(F.filter(F.arrays_zip("ids_a", "ids_b"), lambda z: z["ids_a"] != z["ids_b"]))
+    r = b.select(group, diff.alias("_d"), F.size("ids_a").alias("_n"))
+    return r.groupBy(group).agg(F.count(F.lit(1)).alias("docs"),
+                                F.count(F.when(F.col("_d") == 0, 1)).alias("equal_docs"),
+                                F.round(F.sum("_d") / F.sum("_n"), 6).alias("mismatch_rate"))

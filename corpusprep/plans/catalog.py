@@ -641,3 +641,216 @@ def e3_preference_loss(spark, sf):
           "and w.which = 0 and l.which = 1")
 def e3_preference_loss_sequence(spark, sf):
     return ev.preference_loss(_scores(spark, sf), BETA, "sequence")
+
+
+# --------------------------------------------------------------------------
+# metrics log
+# --------------------------------------------------------------------------
+
+_METRICS = S.metrics()
+
+
+@register("w4_throughput",
+          "select run, cast(step as bigint) as step, round(case when gap > 0 then 1.0 / gap else 0.0 end, 6) as rate from "
+          "(select run, step, epoch_us(ts) / 1e6 - lag(epoch_us(ts) / 1e6) over (partition by run order by step) as gap "
+          f"from ({_METRICS}))")
+def w4_throughput(spark, sf):
+    return stats.throughput(tb.metrics(spark, sf)).select("run", F.col("step").cast("long"), "rate")
+
+
+@register("x10_dict_to_long",
+          f"select run, cast(step as bigint) as step, 'event/' || sub as tag, v as value from (select run, step, "
+          f"unnest(['value', 'step']) as sub, unnest([value, cast(step as double)]) as v from ({_METRICS}))")
+def x10_dict_to_long(spark, sf):
+    m = tb.metrics(spark, sf).select("run", F.col("step").cast("long").alias("step"), "value",
+                                     F.col("step").cast("double").alias("step_v"))
+    out = stats.dict_to_long(m.withColumnRenamed("step_v", "step_"), "event", ["value", "step_"])
+    return out.withColumn("tag", F.regexp_replace("tag", "step_$", "step"))
+
+
+@register("a8_mean_metric",
+          f"select tag, round(avg(value), 6) as mean_value, count(*) as batches from ({_METRICS}) group by tag")
+def a8_mean_metric(spark, sf):
+    return stats.mean_metric(tb.metrics(spark, sf), "value", by=("tag",))
+
+
+# --------------------------------------------------------------------------
+# decoding and inspection
+# --------------------------------------------------------------------------
+
+_DECODED = (f"with v as ({_VOCAB_SQL}), p as (select doc_id, unnest({S.pieces('text')}) as piece, "
+            f"generate_subscripts({S.pieces('text')}, 1) as pos from documents), "
+            "d as (select doc_id, string_agg(case when v.id is null or v.id < 4 then '' else v.piece end, '' order by pos) as s "
+            "from p left join v using (piece) group by doc_id), "
+            "dec as (select doc_id, case when starts_with(replace(s, '▁', ' '), ' ') then substr(replace(s, '▁', ' '), 2) "
+            "else replace(s, '▁', ' ') end as decoded from d)")
+
+
+def decoded_docs(spark, sf):
+    t = tb.text_table(spark, sf)
+    v = word_vocab(spark, sf)
+    tok = tokenise.tokenize_pretrain(t.select("doc_id", "text"), v)
+    return tokenise.decode(tok, v, key="doc_id")
+
+
+@register("t6_decode", _DECODED + " select doc_id, decoded from dec")
+def t6_decode(spark, sf):
+    return decoded_docs(spark, sf)
+
+
+@register("t7_roundtrip_report",
+          _DECODED + f", u as (select doc_id, count(*) filter (where v.id is null) as unk, count(*) as n from p left join v using (piece) "
+          "group by doc_id) select lang as dataset, count(*) as docs, count(*) filter (where decoded = text) as equal_docs, "
+          "cast(sum(unk) as bigint) as unknown_tokens, cast(sum(n) as bigint) as tokens from documents join dec using (doc_id) "
+          "join u using (doc_id) group by lang")
+def t7_roundtrip_report(spark, sf):
+    t = tb.text_table(spark, sf)
+    v = word_vocab(spark, sf)
+    dec = decoded_docs(spark, sf)
+    lk = tokenise.make_lookup(v)
+    unk = tokenise.encode(t.select("doc_id", "text"), lk, "text", "ids").select(
+        "doc_id", F.size(F.filter("ids", lambda x: x == lk.unk_id)).alias("unk"), F.size("ids").alias("n"))
+    j = t.join(dec, "doc_id").join(unk, "doc_id")
+    return j.groupBy("dataset").agg(F.count(F.lit(1)).alias("docs"),
+                                    F.count(F.when(F.col("decoded") == F.col("text"), 1)).alias("equal_docs"),
+                                    F.sum("unk").cast("long").alias("unknown_tokens"),
+                                    F.sum("n").cast("long").alias("tokens"))
+
+
+@register("j6_inspect",
+          _DECODED + " select doc_id, lang as dataset, cast(len(" + S.pieces("text") + ") + 2 as bigint) as n_tokens, "
+          "decoded = text as roundtrip_equal from documents join dec using (doc_id)")
+def j6_inspect(spark, sf):
+    t = tb.text_table(spark, sf)
+    v = word_vocab(spark, sf)
+    tok = tokenise.tokenize_pretrain(t.select("doc_id", "text"), v)
+    dec = tokenise.decode(tok, v, key="doc_id")
+    return (t.join(tok, "doc_id").join(dec, "doc_id")
+            .select("doc_id", "dataset", F.size("input_ids").cast("long").alias("n_tokens"),
+                    (F.col("decoded") == F.col("text")).alias("roundtrip_equal")))
+
+
+SMALL_VOCAB = 8000
+
+
+@register("v7_compare_encodings",
+          f"with a as ({S.word_vocab(VOCAB_SIZE)}), b as ({S.word_vocab(SMALL_VOCAB)}), "
+          f"p as (select doc_id, unnest({S.pieces('text')}) as piece from documents), "
+          "c as (select doc_id, count(*) filter (where coalesce(a.id, 0) <> coalesce(b.id, 0)) as diff, count(*) as n "
+          "from p left join a using (piece) left join b using (piece) group by doc_id) "
+          "select lang as dataset, count(*) as docs, count(*) filter (where diff = 0) as equal_docs, "
+          "round(sum(diff) / sum(n), 6) as mismatch_rate from documents join c using (doc_id) group by lang")
+def v7_compare_encodings(spark, sf):
+    t = tb.text_table(spark, sf)
+    small = vocab.train_word_vocab(t, SMALL_VOCAB, BASE_SPECIALS)
+    return vocab.compare_encodings(t, word_vocab(spark, sf), small)
+
+
+# --------------------------------------------------------------------------
+# corpus preparation: sequential split, sampling, caps, interleave, union
+# --------------------------------------------------------------------------
+
+SEQ_SIZES = [("train", 700), ("validation", 100), ("test", 100)]
+MAX_SAMPLES, MAX_LINES, CORPUS_CHUNK = 3000, 2500, 200
+FRACTIONS = {"en": 0.5, "fr": 1.0, "de": 0.25, "es": 0.0}
+LANG_ORDER = ["en", "fr", "de", "es"]
+MAX_BYTES = 16384
+
+
+def _seq_sql():
+    cases, lo = [], 0
+    for name, n in SEQ_SIZES:
+        cases.append(f"when rn > {lo} and rn <= {lo + n} then '{name}'")
+        lo += n
+    return (f"select book_id, case {' '.join(cases)} end as split from (select book_id, row_number() over "
+            f"(order by {S.h_seed('book_id')}, book_id) as rn from ({S.books()})) where rn <= {lo}")
+
+
+@register("r3_split_sequential", _seq_sql())
+def r3_split_sequential(spark, sf):
+    return split.split_sequential(tb.books(spark, sf), "book_id", SEQ_SIZES, SEED).select("book_id", "split")
+
+
+_CHUNKS = (f"select doc_id, cast(i // {CORPUS_CHUNK} as bigint) as chunk, array_to_string(w[i + 1 : i + {CORPUS_CHUNK}], ' ') as text "
+           f"from (select doc_id, w, unnest(generate_series(0, len(w) - 1, {CORPUS_CHUNK})) as i "
+           f"from (select doc_id, {S.words('text')} as w from documents) where len(w) > 0)")
+
+
+@register("r4_prepare_corpus",
+          f"select doc_id, chunk, line from (select doc_id, chunk, line, row_number() over (order by h, doc_id, chunk) as ln "
+          r"from (select doc_id, chunk, h, regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^ | $', '', 'g') as line from "
+          f"(select *, {S.h_seed(chr(39) + chr(39) + ' || doc_id || ' + chr(39) + '-' + chr(39) + ' || chunk')} as h from ({_CHUNKS}) "
+          f"order by h, doc_id, chunk limit {MAX_SAMPLES})) where line <> '') where ln <= {MAX_LINES}")
+def r4_prepare_corpus(spark, sf):
+    d = tb.read_table(spark, sf, "documents")
+    return split.prepare_corpus(d, CORPUS_CHUNK, MAX_SAMPLES, MAX_LINES, SEED)
+
+
+@register("r5_sample_by_fraction",
+          "select dataset, doc_id from (select *, row_number() over (partition by dataset order by "
+          f"{S.h_seed('doc_id')}, doc_id) as rn, count(*) over (partition by dataset) as cnt from ({S.text_table()})) "
+          "where rn <= floor(cnt * case dataset " + " ".join(f"when '{k}' then {v}" for k, v in FRACTIONS.items())
+          + " else 0 end)")
+def r5_sample_by_fraction(spark, sf):
+    return split.sample_by_fraction(tb.text_table(spark, sf), FRACTIONS, "doc_id", "dataset", SEED).select(
+        "dataset", "doc_id")
+
+
+@register("r7_max_bytes", f"select doc_id, octet_length(encode(text)) as bytes from documents where octet_length(encode(text)) <= {MAX_BYTES}")
+def r7_max_bytes(spark, sf):
+    d = tb.read_table(spark, sf, "documents")
+    return split.max_bytes(d, MAX_BYTES).select("doc_id", F.octet_length("text").cast("long").alias("bytes"))
+
+
+@register("w9_interleave",
+          "with r as (select dataset, doc_id, row_number() over (partition by dataset order by doc_id) as rn, "
+          + "case dataset " + " ".join(f"when '{g}' then {i}" for i, g in enumerate(LANG_ORDER)) + " end as gi "
+          f"from ({S.text_table()})), m as (select min(c) as m from (select dataset, count(*) as c from r group by dataset)) "
+          f"select dataset, doc_id, cast((rn - 1) * {len(LANG_ORDER)} + gi as bigint) as position from r where rn <= (select m from m)")
+def w9_interleave(spark, sf):
+    out = split.interleave(tb.text_table(spark, sf), "dataset", ["doc_id"], LANG_ORDER)
+    return out.select("dataset", "doc_id", F.col("position").cast("long"))
+
+
+@register("u1_union_all",
+          "select 'documents' as dataset, cast(doc_id as varchar) as row_key, length(text) as n_chars from documents "
+          "union all select 'conversations', cast(conv_id as varchar) || '-' || cast(turn as varchar), length(text) from conversations")
+def u1_union_all(spark, sf):
+    a = tb.read_table(spark, sf, "documents").select(F.lit("documents").alias("dataset"),
+                                                     F.col("doc_id").cast("string").alias("row_key"), "text")
+    b = tb.read_table(spark, sf, "conversations").select(
+        F.lit("conversations").alias("dataset"),
+        F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("row_key"), "text")
+    return split.union_all([a, b]).select("dataset", "row_key", F.length("text").cast("long").alias("n_chars"))
+
+
+# --------------------------------------------------------------------------
+# character model
+# --------------------------------------------------------------------------
+
+COVERAGE = 0.9995
+_CHARS = f"(select unnest(string_split({S.metaspace('text')}, '')) as piece from documents)"
+_CC = f"select piece, count(*) as freq from {_CHARS} group by piece"
+
+
+@register("a7_char_coverage",
+          f"select piece, freq from (select piece, freq, sum(freq) over (order by freq desc, piece rows between unbounded "
+          f"preceding and current row) - freq as before, sum(freq) over () as total from ({_CC})) where before / total < {COVERAGE}")
+def a7_char_coverage(spark, sf):
+    return vocab.char_coverage(vocab.char_counts(tb.text_table(spark, sf)), COVERAGE)
+
+
+@register("v3_char_vocab",
+          f"select cast(3 + row_number() over (order by freq desc, piece) as integer) as id, piece from ({_CC}) "
+          "union all " + " union all ".join(f"select {i}, {S.q(s)}" for i, s in enumerate(BASE_SPECIALS)))
+def v3_char_vocab(spark, sf):
+    return vocab.train_char_vocab(tb.text_table(spark, sf), BASE_SPECIALS).select("id", "piece")
+
+
+@register("v6_score_table",
+          f"with c as (select piece, count(*) as freq from (select unnest({S.pieces('text')}) as piece from documents) group by piece), "
+          f"v as ({_VOCAB_SQL}) select v.id, v.piece, round(case when v.id < 4 then 0.0 else ln(c.freq / "
+          "(select sum(freq) from c join v using (piece) where v.id >= 4)) end, 6) as score from v left join c using (piece)")
+def v6_score_table(spark, sf):
+    st = vocab.score_table(word_vocab(spark, sf))
+    return st.select("id", "piece", F.round("score", 6).alias("score"))
