@@ -134,3 +134,31 @@ def close_model(text) -> Column:
 def to_json_text(text) -> Column:
     """{"text": ...} line."""
     return F.to_json(F.struct(_c(text).alias("text")))
+
+
+# --- fixed values (vocabulary-training pre-split) ---------------------------
+# One run of Latin letters, one run of other letters, each digit alone, one run
+# of other non-space characters (whitespace splits and is dropped).
+SCRIPT_PATTERN = r"\p{IsLatin}+|\p{L}+|\p{N}|[^\p{L}\p{N}\s]+"
+BYTE_PIECE = "<0x$1>"             # a UTF-8 byte as a piece: <0xC3>
+# ---------------------------------------------------------------------------
+
+
+def split_by_script(text) -> Column:
+    """split_by_unicode_script + split_digits before vocabulary training."""
+    return F.regexp_extract_all(_c(text), F.lit("(?U)" + SCRIPT_PATTERN), 0)
+
+
+def byte_pieces(ch) -> Column:
+    """The UTF-8 bytes of a character as pieces '<0xNN>' (joined)."""
+    return F.regexp_replace(F.hex(F.encode(_c(ch), "UTF-8")), "(..)", BYTE_PIECE)
+
+
+def byte_fallback(pieces, known: Sequence[str]) -> Column:
+    """Every piece not in ``known`` (a bounded list, e.g. the covered
+    alphabet) becomes its byte pieces; array<string> -> array<string>."""
+    kn = F.array(*[F.lit(k) for k in known]) if known else F.array().cast("array<string>")
+    return F.flatten(F.transform(
+        _c(pieces),
+        lambda p: F.when(F.array_contains(kn, p), F.array(p))
+        .otherwise(F.regexp_extract_all(byte_pieces(p), F.lit("<0x..>"), 0))))

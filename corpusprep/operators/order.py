@@ -144,3 +144,18 @@ def rank_within(df: DataFrame, group: str, order: Sequence, out: str = "rank",
     first = ranked.groupBy(group).agg(F.min("_g").alias("_g0"))
     return (ranked.join(first, group)
             .withColumn(out, F.col("_g") - F.col("_g0") + 1).drop("_g", "_g0"))
+
+
+def skip(df: DataFrame, n: int, order: Sequence, num_partitions: int | None = None) -> DataFrame:
+    """Drop the first ``n`` rows in ``order``. A distributed rank and a
+    filter; ``orderBy().offset()`` would pull every row into one task."""
+    if not n:
+        return df
+    return global_rank(df, order, "_pos", num_partitions).filter(F.col("_pos") > n).drop("_pos")
+
+
+def order_by_file(df: DataFrame, order: Sequence = (), out: str = "position") -> DataFrame:
+    """O2: position of each row when shard files are read in name order (and
+    rows within a file by ``order``)."""
+    f = df.withColumn("_file", F.col("_metadata.file_name"))
+    return global_rank(f, ["_file", *order], out).drop("_file")

@@ -139,3 +139,29 @@ def split_by_root(m: DataFrame, n_test_roots: int, seed: int = 42) -> DataFrame:
     side = F.broadcast(members) if members.count() <= BROADCAST_ROW_LIMIT else members
     tagged = m.join(side.withColumn("split", F.lit("test")), "message_id", "left")
     return tagged.withColumn("split", F.coalesce("split", F.lit("train")))
+
+
+def edges_with_rank(m: DataFrame) -> DataFrame:
+    """O1 input: non-root messages with the sort key ``_r`` = coalesce(rank, 0)."""
+    return m.filter(~is_root()).select("message_id", F.coalesce(F.col("rank"), F.lit(0)).alias("_r"))
+
+
+def with_parent(m: DataFrame) -> DataFrame:
+    """Every message joined to its parent row (equi-join on the parent key;
+    orphans drop out). Adds parent_role and parent_text."""
+    p = m.select(F.col("message_id").alias("parent_id"), F.col("role").alias("parent_role"),
+                 F.col("text").alias("parent_text"))
+    return m.filter(~is_root()).join(p, "parent_id")
+
+
+def inner_and_leaves(m: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Messages that have children (left semi) and leaves (left anti)."""
+    par = edges(m).select(F.col("parent_id").alias("message_id"))
+    return m.join(par, "message_id", "left_semi"), m.join(par, "message_id", "left_anti")
+
+
+def sibling_pair_counts(m: DataFrame) -> DataFrame:
+    """J3 sizes: per parent the fan-out n and the n*(n-1)/2 sibling pairs,
+    computed from the count alone (no pair is materialised)."""
+    n = edges(m).groupBy("parent_id").agg(F.count(F.lit(1)).alias("n_children"))
+    return n.withColumn("pairs", (F.col("n_children") * (F.col("n_children") - 1) / 2).cast("long"))
