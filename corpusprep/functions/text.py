@@ -162,3 +162,44 @@ def byte_fallback(pieces, known: Sequence[str]) -> Column:
         _c(pieces),
         lambda p: F.when(F.array_contains(kn, p), F.array(p))
         .otherwise(F.regexp_extract_all(byte_pieces(p), F.lit("<0x..>"), 0))))
+
+
+# --- fixed values (normalisation rules) -------------------------------------
+NORMALISATION_RULES = ("nfkc", "nfkc_cf", "identity")
+# ---------------------------------------------------------------------------
+
+
+def normalize_text(text, rule: str = "nfkc") -> Column:
+    """C4: Unicode normalisation before vocabulary training. ``nfkc`` and
+    ``nfkc_cf`` (NFKC then case folding) run as an Arrow-batched pandas UDF
+    (Spark has no NFKC expression); ``identity`` returns the column."""
+    if rule == "identity":
+        return _c(text)
+    if rule not in NORMALISATION_RULES:
+        raise ValueError(f"unknown normalisation rule: {rule}")
+    if not _NORMALISERS:
+        _NORMALISERS.extend(_make_normalisers())  # built on first use (needs a session)
+    nfkc, nfkc_cf = _NORMALISERS
+    return nfkc_cf(_c(text)) if rule == "nfkc_cf" else nfkc(_c(text))
+
+
+def _make_normalisers():
+    import unicodedata
+
+    import pandas as pd
+    from pyspark.sql.functions import pandas_udf
+
+    def nfkc(s):
+        return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+
+    def nfkc_cf(s):
+        return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x).casefold())
+
+    # real (not postponed) annotations: the UDF kind is read from them
+    for f in (nfkc, nfkc_cf):
+        f.__annotations__ = {"s": pd.Series, "return": pd.Series}
+    nfkc, nfkc_cf = pandas_udf(nfkc, "string"), pandas_udf(nfkc_cf, "string")
+    return nfkc, nfkc_cf
+
+
+_NORMALISERS: list = []

@@ -6,6 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpusprep.functions import text as tx
 from corpusprep.operators import bpe, tokenise
 from corpusprep.plans.catalog import register
 from corpusprep.profiles import BASE_SPECIALS
@@ -35,3 +36,41 @@ def t1_encode_bpe(spark, sf):
     enc = bpe.encode_bpe(t, model, "text", "input_ids")
     dec = tokenise.decode(enc.select("doc_id", "input_ids"), vocab, key="doc_id")
     return t.join(dec, "doc_id").select("doc_id", (F.col("decoded") == F.col("text")).alias("roundtrip_equal"))
+
+
+from corpusprep.operators import unigram  # noqa: E402
+
+UNIGRAM_VOCAB = 500
+UNIGRAM_SEED = 2000
+
+
+def unigram_vocab(spark, sf):
+    return unigram.train_unigram(tb.text_table(spark, sf), UNIGRAM_VOCAB, BASE_SPECIALS, seed_size=UNIGRAM_SEED)
+
+
+@register("v2_train_unigram")
+def v2_train_unigram(spark, sf):
+    return unigram_vocab(spark, sf).select("id", "piece", F.round("score", 6).alias("score"))
+
+
+@register("v6_unigram_score_table")
+def v6_unigram_score_table(spark, sf):
+    return unigram.score_table(unigram_vocab(spark, sf)).select("id", "piece", F.round("score", 6).alias("score"))
+
+
+@register("t1_encode_unigram", "select doc_id, not starts_with(text, ' ') as roundtrip_equal from documents")
+def t1_encode_unigram(spark, sf):
+    v = unigram_vocab(spark, sf)
+    enc = unigram.make_unigram_encoder(v, BASE_SPECIALS)
+    t = tb.text_table(spark, sf).select("doc_id", "text")
+    e = unigram.encode_unigram(t, enc, "text", "input_ids")
+    dec = tokenise.decode(e.select("doc_id", "input_ids"), v, key="doc_id")
+    return t.join(dec, "doc_id").select("doc_id", (F.col("decoded") == F.col("text")).alias("roundtrip_equal"))
+
+
+@register("c4_normalize_text", "select doc_id, text from documents")
+def c4_normalize_text(spark, sf):
+    """NFKC leaves the given documents unchanged (checked); the literal
+    fixtures with ligatures, full-width forms and case folding are in the tests."""
+    d = tb.read_table(spark, sf, "documents")
+    return d.select("doc_id", tx.normalize_text(F.col("text"), "nfkc").alias("text"))
