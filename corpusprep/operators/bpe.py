@@ -134,9 +134,11 @@ def train_bpe(df: DataFrame, vocab_size: int, specials: Sequence[str], text: str
     chars_lookup = Lookup([p for p in pieces], list(range(len(pieces))), piece_id.get("[UNK]", 0))
     words = counts.select(tx.chars(F.col("piece")).alias("symbols"), "freq")
     words = _map_pieces(words, chars_lookup, {"symbols": "symbols"}).filter(F.size("symbols") >= 2)
-    # the word table is far smaller than the corpus: size its partitions to it
+    # the word table is far smaller than the corpus: size its partitions to it,
+    # but keep every core busy
     n_words = counts.count()
-    words = reliable_checkpoint(words.repartition(max(1, -(-n_words // WORDS_PER_PARTITION))))
+    parts = max(spark.sparkContext.defaultParallelism, -(-n_words // WORDS_PER_PARTITION))
+    words = reliable_checkpoint(words.repartition(parts))
     merges: list[tuple[int, int, int, int, int]] = []
     rounds, old = 0, None
     while len(pieces) < vocab_size:

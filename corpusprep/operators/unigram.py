@@ -37,6 +37,7 @@ from corpusprep.session import BROADCAST_ROW_LIMIT, reliable_checkpoint
 UNIGRAM_VOCAB_SCHEMA = "id int, piece string, score double, is_special boolean"
 NEG_INF = -1e30
 UNK_PENALTY = 10.0   # an unknown character costs min(score) - 10
+WORDS_PER_PARTITION = 50_000
 
 
 def _logsumexp(a: float, b: float) -> float:
@@ -171,7 +172,12 @@ def train_unigram(df: DataFrame, vocab_size: int, specials: Sequence[str], text:
     score desc. ``history`` (optional list) receives (stage, log-likelihood)
     per EM round."""
     spark = df.sparkSession
-    words = reliable_checkpoint(word_counts(df, text))
+    # E-steps are CPU-bound per word: spread the word table over every core
+    # (an aggregate's output may have been coalesced into a few partitions)
+    counts = word_counts(df, text)
+    n_words = counts.count()
+    parts = max(spark.sparkContext.defaultParallelism, -(-n_words // WORDS_PER_PARTITION))
+    words = reliable_checkpoint(counts.repartition(parts))
     L = int(max_piece_len)
     subs = words.select(F.explode(F.transform(
         F.sequence(F.lit(0), F.length("piece") - 1),

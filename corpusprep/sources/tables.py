@@ -27,8 +27,24 @@ MESSAGE_GROUP = 4              # conversations grouped by conv_id div 4
 RANK_MOD = 5                   # rank = h(message_id) % 5, 4 -> NULL
 
 
+# Tables whose rows carry text: per-row work on them (pre-tokenising, encoding,
+# regex splits) is CPU-bound.
+TEXT_TABLES = frozenset({"documents", "conversations", "pages"})
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Scan-parallelism floor: a text table read as fewer partitions than the
+    cluster's default parallelism (a small file with one row group) is
+    spread round-robin so CPU-bound per-row work uses every core. A large scan
+    already has enough splits and is left alone; filters and column pruning
+    still reach the scan below the repartition."""
+    want = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
 
 
 def text_table(spark: SparkSession, sf_dir: str) -> DataFrame:
