@@ -88,3 +88,12 @@ def test_public_table_registry(spark):
     assert set(r["dataset"] for r in t.select("dataset").distinct().collect()) >= {"wiki", "books", "instructions"}
     with pytest.raises(ValueError):
         io.read_public_table(spark, "nope", SMALL)
+
+
+def test_text_scan_spread_keeps_pushdown(spark):
+    df = tb.read_table(spark, SMALL, "documents").filter(F.col("lang") == "en").select("doc_id")
+    assert df.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism or \
+        spark.read.parquet(f"{SMALL}/documents.parquet").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(lang), EqualTo(lang,en)]" in plan
+    assert "ReadSchema: struct<doc_id:bigint,lang:string>" in plan
