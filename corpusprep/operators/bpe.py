@@ -21,7 +21,8 @@ Plan:
   is strictly above the largest count of a triple (x, a, b) or (a, b, y) of
   the accepted ones (an upper bound on any pair their merges create); a merge
   whose token already exists ends the round;
-* the accepted merges are applied to the word table in one Arrow pass; the
+* the accepted merges are applied to the word table in one vectorised Arrow
+  pass (numpy over the flat symbol values, no per-word Python); the
   table is persisted per round and written to the shared checkpoint folder
   every ``checkpoint_every`` rounds.
 
@@ -34,6 +35,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -94,18 +96,64 @@ def _merge_symbols(sym: list[int], table: dict[tuple[int, int], int]) -> list[in
     return out
 
 
+_PAIR_SHIFT = 1 << 32
+
+
+def _merge_flat(flat: np.ndarray, offs: np.ndarray, keys: np.ndarray, nids: np.ndarray):
+    """Vectorised left-to-right merge of one Arrow batch of words.
+
+    ``flat`` holds every symbol, ``offs`` the row offsets. Hits are adjacent
+    pairs inside a row whose key is in ``keys`` (sorted). Under the round's
+    acceptance rule two different accepted pairs never overlap, so the only
+    overlapping hits are runs of one self-pair (a, a): inside such a run the
+    left-to-right rule takes every other hit. Returns new (values, offsets)."""
+    k = flat[:-1] * _PAIR_SHIFT + flat[1:]
+    pos = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
+    hit = keys[pos] == k
+    last = offs[1:] - 1                    # a pair starting at a row's last symbol crosses rows
+    hit[last[(last >= 0) & (last < k.size)]] = False
+    h = np.nonzero(hit)[0]
+    if h.size == 0:
+        return None
+    idx = np.arange(h.size)
+    start = np.ones(h.size, dtype=bool)
+    start[1:] = h[1:] != h[:-1] + 1
+    run0 = np.maximum.accumulate(np.where(start, idx, 0))
+    h = h[(idx - run0) % 2 == 0]
+    out = flat.copy()
+    out[h] = nids[pos[h]]
+    keep = np.ones(flat.size, dtype=bool)
+    keep[h + 1] = False
+    removed = np.concatenate([[0], np.cumsum(~keep)])
+    return out[keep], offs - removed[offs]
+
+
 def _apply_merges(words: DataFrame, table: dict[tuple[int, int], int]) -> DataFrame:
+    """Apply a round's merges to the word table: one Arrow pass, vectorised
+    per batch (no per-word Python); batches without a hit pass unchanged."""
     schema = words.schema
     names = words.columns
     si = names.index("symbols")
+    items = sorted((a * _PAIR_SHIFT + b, nid) for (a, b), nid in table.items())
+    keys = np.array([k for k, _ in items], dtype=np.int64)
+    nids = np.array([v for _, v in items], dtype=np.int64)
 
     def run(batches):
         for b in batches:
-            col = b.column(si).to_pylist()
-            merged = [_merge_symbols(s, table) for s in col]
-            arrays = [pa.array(merged, pa.list_(pa.int32())) if i == si else b.column(i)
-                      for i in range(len(names))]
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
+            col = b.column(si)
+            flat = col.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            if flat.size < 2:
+                yield b
+                continue
+            o = np.asarray(col.offsets, dtype=np.int64)
+            res = _merge_flat(flat, o - o[0], keys, nids)
+            if res is None:
+                yield b
+                continue
+            vals, offs = res
+            arr = pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(vals.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([arr if i == si else b.column(i) for i in range(len(names))],
+                                             names=names)
 
     return words.mapInArrow(run, schema).filter(F.size("symbols") >= 2)
 

@@ -48,3 +48,15 @@ def test_encode_specials_and_unknown(spark):
     out = bpe.encode_bpe(spark.createDataFrame([("<USER>ab zb",)], "text string"), model).first()["ids"]
     ids = {r["piece"]: r["id"] for r in vocab.collect()}
     assert out[0] == ids["<USER>"] and ids["[UNK]"] in out
+
+
+def test_vectorised_merge_matches_left_to_right():
+    import numpy as np
+    rows = [[1, 1, 1], [1, 1, 1, 1], [2, 3, 1, 1], [3, 2], [1, 2, 3, 2, 3]]
+    table = {(1, 1): 9, (2, 3): 8}
+    flat = np.array([x for r in rows for x in r], dtype=np.int64)
+    offs = np.cumsum([0] + [len(r) for r in rows]).astype(np.int64)
+    items = sorted((a * bpe._PAIR_SHIFT + b, n) for (a, b), n in table.items())
+    vals, new_offs = bpe._merge_flat(flat, offs, np.array([k for k, _ in items]), np.array([n for _, n in items]))
+    got = [list(vals[new_offs[i]:new_offs[i + 1]]) for i in range(len(rows))]
+    assert got == [bpe._merge_symbols(r, table) for r in rows] == [[9, 1], [9, 9], [8, 9], [3, 2], [1, 8, 8]]
