@@ -61,6 +61,33 @@ class Lookup:
         return pa.ListArray.from_arrays(offsets, pa.array(out, pa.int32()), mask=arr.is_null())
 
 
+def map_pieces_by_unique(arr: pa.ListArray, encode_piece) -> pa.ListArray:
+    """array<string> pieces -> array<int> ids where one piece may give several
+    ids (subword models). Each distinct piece of the batch is encoded once
+    (``encode_piece`` has its own per-task cache); the output is gathered with
+    numpy, so there is no per-token Python."""
+    flat = arr.flatten()
+    offsets = np.asarray(arr.offsets, dtype=np.int64)
+    offsets = offsets - offsets[0]
+    if len(flat) == 0:
+        return pa.ListArray.from_arrays(pa.array(np.zeros(len(offsets), np.int32)),
+                                        pa.array([], pa.int32()), mask=arr.is_null())
+    d = pc.dictionary_encode(flat)
+    enc = [np.asarray(encode_piece(u), dtype=np.int32) for u in d.dictionary.to_pylist()]
+    lens = np.array([e.size for e in enc], dtype=np.int64)
+    starts = np.concatenate([[0], np.cumsum(lens)[:-1]])
+    table = np.concatenate(enc) if enc else np.zeros(0, np.int32)
+    idx = d.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    plens = lens[idx]
+    total = int(plens.sum())
+    piece_out_start = np.concatenate([[0], np.cumsum(plens)[:-1]])
+    gather = np.repeat(starts[idx] - piece_out_start, plens) + np.arange(total)
+    values = table[gather]
+    tok_cum = np.concatenate([[0], np.cumsum(plens)])
+    new_offsets = tok_cum[offsets].astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(new_offsets), pa.array(values, pa.int32()), mask=arr.is_null())
+
+
 def make_lookup(vocab: DataFrame, unk: str = "[UNK]") -> Lookup:
     pieces, ids = collect_vocab(vocab)
     d = dict(zip(pieces, ids))

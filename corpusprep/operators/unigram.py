@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusprep.functions import text as tx
-from corpusprep.operators.tokenise import _map_pieces, pre_tokenise
+from corpusprep.operators.tokenise import _map_pieces, map_pieces_by_unique, pre_tokenise
 from corpusprep.operators.vocab import word_counts
 from corpusprep.session import BROADCAST_ROW_LIMIT, reliable_checkpoint
 
@@ -265,9 +265,7 @@ class UnigramEncoder:
         return out
 
     def map_list_array(self, arr: pa.ListArray) -> pa.ListArray:
-        rows = arr.to_pylist()
-        return pa.array([None if r is None else [i for p in r for i in self.encode_piece(p)] for r in rows],
-                        pa.list_(pa.int32()))
+        return map_pieces_by_unique(arr, self.encode_piece)
 
 
 def make_unigram_encoder(vocab: DataFrame, specials: Sequence[str] = (), unk: str = "[UNK]") -> UnigramEncoder:
