@@ -196,7 +196,11 @@ def train_bpe(df: DataFrame, vocab_size: int, specials: Sequence[str], text: str
             old = None
         if not top or top[0]["n"] < 1:
             break
-        lim = _triple_limits(words, [(int(r["a"]), int(r["b"])) for r in top])
+        # the limits only gate the second and later merges of a round: skip
+        # the job when the second candidate is already out by the symbol rule
+        second = (len(top) > 1 and len(pieces) + 1 < vocab_size
+                  and top[1]["a"] != top[0]["b"] and top[1]["b"] != top[0]["a"])
+        lim = _triple_limits(words, [(int(r["a"]), int(r["b"])) for r in top]) if second else {}
         table: dict[tuple[int, int], int] = {}
         lefts: set[int] = set()
         rights: set[int] = set()
