@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -67,3 +68,21 @@ def reliable_checkpoint(df):
     fixes partition borders for later passes)."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make the package importable in the Python workers wherever the driver was
+    started: once per context, a zip of its sources goes out with the job files."""
+    sc = spark.sparkContext
+    if getattr(sc, "_corpusprep_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="corpusprep-src-"), "corpusprep-src.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(root):
+            for n in names:
+                if n.endswith(".py"):
+                    full = os.path.join(folder, n)
+                    z.write(full, os.path.join("corpusprep", os.path.relpath(full, root)))
+    sc.addPyFile(path)
+    sc._corpusprep_shipped = True

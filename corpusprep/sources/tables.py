@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusprep.operators.order import hash_int, rank_within
+from corpusprep.session import ship_package
 
 # Fixed values of the derivations (must equal the oracle SQL).
 WIKI_LINE_STRIDE = 100000      # pos = doc_id * stride + line index
@@ -33,6 +34,7 @@ TEXT_TABLES = frozenset({"documents", "conversations", "pages"})
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     return spread(df) if name in TEXT_TABLES else df
 
