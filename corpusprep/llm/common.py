@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusprep.session import checkpoint_dir
+from corpusprep.session import checkpoint_dir, ship_package
 
 # Rows a small table may have to be broadcast (every use passes a table whose
 # size follows a parameter; beyond the limit the join is left to Catalyst).
@@ -15,6 +15,7 @@ BROADCAST_ROWS = 3_000_000
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 

@@ -7,8 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusprep.llm import bpe_boundary
-from corpusprep.llm.common import read
+from corpusprep.llm import bpe_boundary, mixing, token_binary
+from corpusprep.llm.common import read, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -30,6 +30,18 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+@register("op2_mixing", mixing.oracle())
+def op2_mixing(spark, sf):
+    return mixing.mix(read(spark, sf, "documents"))
+
+
+@register("op3_token_planes")
+def op3_token_planes(spark, sf):
+    path = scratch_path(spark, "tokens")
+    token_binary.write(read(spark, sf, "documents"), path, vocabulary())
+    return token_binary.read_documents(spark, path)
+
+
 @register("op10_bpe_boundary")
 def op10_bpe_boundary(spark, sf):
     return bpe_boundary.encode_decode(read(spark, sf, "documents"), vocabulary())
