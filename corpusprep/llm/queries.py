@@ -6,8 +6,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corpusprep.llm import bpe_boundary, mixing, token_binary
+from corpusprep.llm import bpe_boundary, line_dedup, mixing, token_binary
 from corpusprep.llm.common import read, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,6 +43,12 @@ def op3_token_planes(spark, sf):
     return token_binary.read_documents(spark, path)
 
 
+@register("op4_line_spread", line_dedup.oracle())
+def op4_line_spread(spark, sf):
+    out = line_dedup.remove_spread_lines(read(spark, sf, "documents"))
+    return out.select("doc_id", "text", F.col("_ld_lines").alias("n_lines"), F.col("_ld_removed").alias("n_removed"))
+
+
 @register("op10_bpe_boundary")
 def op10_bpe_boundary(spark, sf):
     return bpe_boundary.encode_decode(read(spark, sf, "documents"), vocabulary())
