@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusprep.llm import bpe_boundary, line_dedup, mixing, token_binary
+from corpusprep.llm import bpe_boundary, line_dedup, mixing, ngram_join, token_binary
 from corpusprep.llm.common import read, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,6 +49,11 @@ def op4_line_spread(spark, sf):
     return out.select("doc_id", "text", F.col("_ld_lines").alias("n_lines"), F.col("_ld_removed").alias("n_removed"))
 
 
+@register("op6_ngram_join")
+def op6_ngram_join(spark, sf):
+    return ngram_join.similar(read(spark, sf, "documents"))
+
+
 @register("op10_bpe_boundary")
 def op10_bpe_boundary(spark, sf):
     return bpe_boundary.encode_decode(read(spark, sf, "documents"), vocabulary())
