@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusprep.llm import bpe_boundary, line_dedup, mixing, ngram_join, token_binary
+from corpusprep.llm import bpe_boundary, line_dedup, mixing, ngram_join, quality, token_binary
 from corpusprep.llm.common import read, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +31,12 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+@register("op1_quality")
+def op1_quality(spark, sf):
+    c = quality.classify(read(spark, sf, "documents"), read(spark, sf, "labels"))
+    return c.select("doc_id", "lang", "perplexity", "limit", "kept")
+
+
 @register("op2_mixing", mixing.oracle())
 def op2_mixing(spark, sf):
     return mixing.mix(read(spark, sf, "documents"))
