@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusprep.llm import bpe_boundary, line_dedup, lm_automaton, mixing, ngram_join, quality, token_binary
+from corpusprep.llm import bpe_boundary, license_scan, line_dedup, lm_automaton, mixing, ngram_join, quality, token_binary
 from corpusprep.llm.common import read, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,6 +65,11 @@ def op7_lm_automaton(spark, sf):
     return lm_automaton.score(read(spark, sf, "documents"))
 
 
+@register("op9_license_scan")
+def op9_license_scan(spark, sf):
+    return license_scan.scan(read(spark, sf, "documents")).drop("places")
+
+
 @register("op10_bpe_boundary")
 def op10_bpe_boundary(spark, sf):
     return bpe_boundary.encode_decode(read(spark, sf, "documents"), vocabulary())
