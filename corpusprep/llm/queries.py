@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusprep.llm import bpe_boundary, license_scan, line_dedup, lm_automaton, mixing, ngram_join, quality, token_binary
+from corpusprep.llm import bpe_boundary, lattice, license_scan, line_dedup, lm_automaton, mixing, ngram_join, quality, token_binary
 from corpusprep.llm.common import read, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,6 +55,11 @@ def op4_line_spread(spark, sf):
     return out.select("doc_id", "text", F.col("_ld_lines").alias("n_lines"), F.col("_ld_removed").alias("n_removed"))
 
 
+@register("op5_lattice")
+def op5_lattice(spark, sf):
+    return lattice.near_duplicates(read(spark, sf, "embeddings"))
+
+
 @register("op6_ngram_join")
 def op6_ngram_join(spark, sf):
     return ngram_join.similar(read(spark, sf, "documents"))
