@@ -25,7 +25,6 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -34,6 +33,7 @@ from pyspark.sql import types as T
 
 from corpusprep.llm import wordhash as wh
 from corpusprep.llm.common import table
+from corpusprep.llm.sharded_counts import ASK, answer, entry, pack, shard_cuts, unpack
 from corpusprep.llm.token_binary import from_planes, to_planes
 
 ORDER = 2
@@ -45,15 +45,6 @@ END = 0x9E0D                # stands for the end of a text among the word hashes
 BEGIN = 0xBE61
 
 
-def pack(a: np.ndarray) -> list[bytes]:
-    """Compressed byte planes of unsigned 64-bit numbers, low half then high half."""
-    return to_planes((a & np.uint64(0xFFFFFFFF)).astype(np.uint32)) + to_planes((a >> np.uint64(32)).astype(np.uint32))
-
-
-def unpack(p: list[bytes], n: int) -> np.ndarray:
-    return from_planes(p[:4], n).astype(np.uint64) | (from_planes(p[4:], n).astype(np.uint64) << np.uint64(32))
-
-
 _BLOCK = [("block", T.LongType()), ("n_words", T.LongType()), ("words", T.ArrayType(T.BinaryType())),
           ("n", T.LongType()), ("idx", T.ArrayType(T.BinaryType())),
           ("held", T.ArrayType(T.BooleanType())), ("count", T.ArrayType(T.LongType()))]
@@ -126,21 +117,12 @@ class Block:
             # -2: so near its beginning the text has no context of this length
             self.hist[n] = np.where(place < n - 2, -2, np.where(place == 0, -1, prev))
         for n in range(1, order + 1):
-            self.train[n] = np.bincount(self.at[n], self.weight, len(self.keys[n])).astype(np.uint32)
-
-
-def shard_cuts(keys: np.ndarray, shards: int) -> np.ndarray:
-    """Borders of the shards (equal ranges of the hash) in sorted keys."""
-    step = (1 << 64) // shards
-    return np.searchsorted(keys, np.array([i * step for i in range(1, shards)], np.uint64))
+            self.train[n] = np.bincount(self.at[n], self.weight, len(self.keys[n])).astype(np.uint64)
 
 
 def ask(b: DataFrame, order: int, shards: int) -> DataFrame:
     """(level, shard, block, n, keys, counts): what each block asks of each shard."""
-    schema = T.StructType([T.StructField("level", T.IntegerType()), T.StructField("shard", T.IntegerType()),
-                           T.StructField("block", T.LongType()), T.StructField("n", T.LongType()),
-                           T.StructField("keys", T.ArrayType(T.BinaryType())),
-                           T.StructField("counts", T.ArrayType(T.BinaryType()))])
+    schema = ASK
 
     def run(batches):
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -153,36 +135,13 @@ def ask(b: DataFrame, order: int, shards: int) -> DataFrame:
                     cuts = [0, *shard_cuts(keys, shards).tolist(), len(keys)]
                     for s, (x, y) in enumerate(zip(cuts, cuts[1:])):
                         if y > x:
-                            out = [level, s, r["block"], y - x, pack(np.diff(keys[x:y], prepend=np.uint64(0))),
-                                   to_planes(block.train[level][x:y])]
+                            out = [level, s, r["block"], y - x, *entry(keys[x:y], block.train[level][x:y])]
                             yield pa.RecordBatch.from_arrays(
                                 [pa.array([v], f.type) for v, f in zip(out, arrow)], schema.names)
 
     return b.drop("keys").mapInArrow(run, schema)
 
 
-def answer(asked: DataFrame) -> DataFrame:
-    """(level, shard, block, n, totals, sum, known): the training counts over all
-    blocks, in the order asked; on one row per shard also the sum of its counts
-    and its number of n-grams seen in training."""
-    schema = ("level int, shard int, block long, n long, totals array<binary>, sum long, known long")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys = [np.cumsum(unpack(list(k), n), dtype=np.uint64) for k, n in zip(pdf["keys"], pdf["n"])]
-        counts = np.concatenate([from_planes(list(c), n) for c, n in zip(pdf["counts"], pdf["n"])])
-        uniq, inv = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(inv, counts, len(uniq)).astype(np.int64)
-        ends = np.cumsum(pdf["n"].to_numpy())
-        back = np.minimum(total, 0xFFFFFFFF).astype(np.uint32)[inv]
-        out = pdf[["level", "shard", "block", "n"]].copy()
-        out["totals"] = [to_planes(back[e - n:e]) for e, n in zip(ends, pdf["n"])]
-        out["sum"], out["known"] = 0, 0
-        out.iloc[0, -2:] = [int(total.sum()), int((total > 0).sum())]
-        return out
-
-    return asked.groupBy("level", "shard").applyInPandas(run, schema)
-
-
 def traverse(block: Block, totals: dict[int, np.ndarray], n_train: int, n_docs: int, vocab: int,
              order: int, k: float, out_one: bool = False) -> np.ndarray:
     """log10 weight of every token's path through the automaton. At a token the
@@ -241,7 +200,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", order: int =
                 totals = {}
                 for level in block.keys:
                     part = sorted((g["shard"], g["n"], g["totals"]) for g in r["got"] if g["level"] == level)
-                    totals[level] = np.concatenate([from_planes(t, n) for _, n, t in part]).astype(np.float64)
+                    totals[level] = np.concatenate([unpack(t, n) for _, n, t in part]).astype(np.float64)
                 add = lambda v: np.add.reduceat(v, block.first)
                 c = totals[1][block.at[1]]
                 base = np.log10((c + ALPHA) / (n_train + ALPHA * (vocab + 1)))
