@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusprep.llm import bpe_boundary, lattice, license_scan, line_dedup, lm_automaton, mixing, ngram_join, quality, token_binary
+from corpusprep.llm import bpe_boundary, lattice, license_scan, line_dedup, lm_automaton, mixing, ngram_join, quality, token_binary, topk_search
 from corpusprep.llm.common import read, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,6 +70,11 @@ def op7_lm_automaton(spark, sf):
     return lm_automaton.score(read(spark, sf, "documents"))
 
 
+@register("op8_topk_search", topk_search.oracle())
+def op8_topk_search(spark, sf):
+    return topk_search.search(read(spark, sf, "documents"), F.col("doc_id") % 20 == 0)
+
+
 @register("op9_license_scan")
 def op9_license_scan(spark, sf):
     return license_scan.scan(read(spark, sf, "documents")).drop("places")
