@@ -17,7 +17,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusprep.operators.order import hash_order
+from corpusprep.operators.order import HASH_SPAN, hash_order
 from corpusprep.profiles import IGNORE_INDEX
 
 
@@ -53,12 +53,12 @@ def nucleus_per_group(p: DataFrame, top_p: float) -> DataFrame:
 
 
 def draw_per_group(p: DataFrame, seed: int) -> DataFrame:
-    """One weighted draw per group by inverse CDF with u = h(seed:group)/2^32:
+    """One weighted draw per group by inverse CDF with u = h(seed:group)/2^60:
     the first item (descending prob, then item) whose cumulative prob exceeds u
     (the last item when rounding leaves none); logp = ln(prob)."""
     w = Window.partitionBy("group_id").orderBy(F.desc("prob"), F.asc("item_id")) \
         .rowsBetween(Window.unboundedPreceding, 0)
-    u = hash_order(seed, F.col("group_id")) / F.lit(float(2 ** 32))
+    u = hash_order(seed, F.col("group_id")) / F.lit(float(HASH_SPAN))
     c = p.withColumn("_cum", F.sum("prob").over(w)).withColumn("_u", u)
     first = F.min(F.struct((-F.col("prob")).alias("np"), F.col("item_id").alias("item_id")))
     hit = c.filter(F.col("_cum") > F.col("_u")).groupBy("group_id").agg(first.alias("_s"))
@@ -136,5 +136,3 @@ def preference_loss(scores: DataFrame, beta: float, mode: str = "position",
                         F.round(margin, 6).alias("reward"))
     raise ValueError(f"unknown mode: {mode}")
 
-
-LOG2 = math.log(2.0)

@@ -17,11 +17,15 @@ from pyspark.sql import functions as F
 
 from corpusprep.operators.order import hash_order, prefix_sum
 from corpusprep.profiles import IGNORE_INDEX
+from corpusprep.session import reliable_checkpoint
 
 
 def doc_offsets(tok: DataFrame, order: Sequence[str], ids: str = "input_ids",
                 num_partitions: int | None = None) -> DataFrame:
-    """Exclusive running token count along ``order`` -> column ``offset``."""
+    """Exclusive running token count along ``order`` (unique keys) -> column
+    ``offset``. The token rows are written once (the encoder does not run again
+    for the rank); only keys and lengths are ranked, and joined back."""
+    tok = reliable_checkpoint(tok)
     t = tok.withColumn("_n", F.size(ids).cast("long"))
     return prefix_sum(t, list(order), "_n", out="offset", inclusive=False,
                       num_partitions=num_partitions).drop("_n")

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusprep.operators.order import global_rank, hash_order, rank_within
+from corpusprep.operators.order import hash_order, keys_at, order_key, rank_within, take_first
 from corpusprep.session import BROADCAST_ROW_LIMIT, reliable_checkpoint
 
 SPLITS = ("train", "validation", "test")
@@ -58,21 +58,27 @@ def split_sequential(df: DataFrame, key: str, sizes: Sequence[tuple[str, int]],
                      seed: int = 42) -> DataFrame:
     """Consume one shuffled stream: first sizes[0] rows to split 0, the
     next sizes[1] to split 1, ...; rows past the end get no split (dropped).
-    Disjoint by construction."""
-    ranked = global_rank(df.withColumn("_h", hash_order(seed, key)), ["_h", key], "_rn")
-    cond, lo = None, 0
+    Disjoint by construction. Only the keys are ranked; rows are labelled by
+    comparing their key with the last key of each split."""
+    keyed = df.withColumn("_h", hash_order(seed, key))
+    ends, at = [], 0
     for name, n in sizes:
-        c = (F.col("_rn") > lo) & (F.col("_rn") <= lo + n)
+        at += n
+        ends.append((name, at))
+    edges = keys_at(keyed, [e for _, e in ends], ["_h", key])
+    here = order_key(["_h", key])
+    cond = None
+    for name, e in ends:     # past the end of the stream: everything that is left
+        c = here <= edges[e] if e in edges else F.lit(True) if e > 0 else F.lit(False)
         cond = F.when(c, F.lit(name)) if cond is None else cond.when(c, F.lit(name))
-        lo += n
-    return ranked.withColumn("split", cond).filter(F.col("split").isNotNull()).drop("_h", "_rn")
+    return keyed.withColumn("split", cond).filter(F.col("split").isNotNull()).drop("_h")
 
 
 def take(df: DataFrame, n: int | None, key: str, seed: int = 42) -> DataFrame:
     """Shuffle then keep the first ``n`` (0/None: no limit)."""
     if not n:
         return df
-    return df.orderBy(hash_order(seed, key), key).limit(int(n))
+    return take_first(df.withColumn("_h", hash_order(seed, key)), n, ["_h", key]).drop("_h")
 
 
 def max_bytes(df: DataFrame, n: int = 16384, text: str = "text") -> DataFrame:
@@ -138,10 +144,10 @@ def prepare_corpus(docs: DataFrame, chunk: int, max_samples: int | None, max_lin
     ch = ch.withColumn("_h", hash_order(seed, ckey))
     order = ["_h", key, "chunk"]
     if max_samples:
-        ch = ch.orderBy(*order).limit(int(max_samples))
+        ch = take_first(ch, max_samples, order)
     lines = ch.withColumn("line", tx.clean_whitespace(F.col("_t"))).filter(F.col("line") != "")
     if max_lines:
-        lines = lines.orderBy(*order).limit(int(max_lines))
+        lines = take_first(lines, max_lines, order)
     return lines.select(key, "chunk", "line")
 
 

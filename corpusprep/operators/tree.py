@@ -16,8 +16,6 @@ from corpusprep.functions import text as tx
 from corpusprep.operators.order import hash_order, rank_within
 from corpusprep.session import BROADCAST_ROW_LIMIT, reliable_checkpoint
 
-MAX_DEPTH = 10_000
-
 
 def is_root(parent: str = "parent_id"):
     p = F.col(parent)
@@ -49,13 +47,15 @@ def children_of(m: DataFrame) -> DataFrame:
                     lambda s: s["message_id"]).alias("children"))
 
 
-def closure(start: DataFrame, edge: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def closure(start: DataFrame, edge: DataFrame) -> DataFrame:
     """Frontier loop: start(root_id, message_id) -> every node reachable over
-    ``edge(parent_id, message_id)``, with depth (0 for the start nodes)."""
+    ``edge(parent_id, message_id)``, with depth (0 for the start nodes). Every
+    message has one parent, so no cycle is reachable from a root and the loop
+    ends with the deepest message."""
     frontier = reliable_checkpoint(start.select("root_id", "message_id", F.lit(0).alias("depth")))
     e = edge.select(F.col("parent_id").alias("message_id"), F.col("message_id").alias("_child"))
     parts = [frontier]
-    for _ in range(max_depth):
+    while True:
         nxt = (frontier.join(e, "message_id")
                .select("root_id", F.col("_child").alias("message_id"), (F.col("depth") + 1).alias("depth")))
         nxt = reliable_checkpoint(nxt)

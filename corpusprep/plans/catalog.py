@@ -551,7 +551,7 @@ def w7_nucleus_per_group(spark, sf):
 
 @register("w8_draw_per_group",
           f"with c as (select *, sum(prob) over (partition by group_id order by prob desc, item_id rows between unbounded "
-          f"preceding and current row) as cum, {S.h_seed('group_id')} / 4294967296.0 as u from ({_NUC})), "
+          f"preceding and current row) as cum, {S.h_seed('group_id')} / 1152921504606846976.0 as u from ({_NUC})), "
           "f as (select group_id, arg_min(item_id, (-prob, item_id)) filter (where cum > u) as hit, "
           "arg_max(item_id, (-prob, item_id)) as last from c group by group_id) "
           "select c.group_id, c.item_id, round(c.prob, 6) as prob, round(ln(c.prob), 6) as logp from f join c "

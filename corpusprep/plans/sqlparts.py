@@ -19,8 +19,8 @@ def q(s: str) -> str:
 
 
 def h(expr: str) -> str:
-    """First 8 hex digits of md5 as bigint."""
-    return f"cast('0x' || substr(md5({expr}), 1, 8) as bigint)"
+    """First 15 hex digits of md5 as bigint."""
+    return f"cast('0x' || substr(md5({expr}), 1, 15) as bigint)"
 
 
 def h_seed(key: str, seed: int = SEED) -> str:

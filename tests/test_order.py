@@ -40,3 +40,41 @@ def test_hash_order_is_stable(spark):
     a = spark.range(5).select(hash_order(42, F.col("id")).alias("h")).collect()
     b = spark.range(5).select(hash_order(42, F.col("id")).alias("h")).collect()
     assert a == b and len({r["h"] for r in a}) == 5
+
+
+def test_rank_within_null_group_and_many_small_groups(spark):
+    df = spark.range(0, 3000).select(
+        F.when(F.col("id") % 9 == 0, F.lit(None)).otherwise((F.col("id") % 501).cast("string")).alias("g"),
+        F.col("id"), F.lit("payload").alias("p"))
+    exact = df.select("g", "id", F.row_number().over(Window.partitionBy("g").orderBy("id")).alias("r"))
+    for parts in (1, 3, 8):
+        got = rank_within(df, "g", ["id"], out="r", num_partitions=parts)
+        assert got.columns == ["g", "id", "p", "r"]
+        assert {(r["g"], r["id"], r["r"]) for r in got.collect()} == {tuple(r) for r in exact.collect()}
+
+
+def test_payload_takes_no_part_in_the_rank(spark):
+    df = spark.range(0, 500).select(F.col("id").alias("k"), F.repeat(F.lit("x"), 50).alias("payload"))
+    for out in (global_rank(df, ["k"], "r"), prefix_sum(df.withColumn("v", F.lit(1)), ["k"], "v", "r"),
+                rank_within(df.withColumn("g", F.col("k") % 2), "g", ["k"], "r")):
+        assert set(out.columns) >= {"k", "payload", "r"} and out.count() == 500
+        plan = out._jdf.queryExecution().analyzed().toString()
+        assert "RepartitionByExpression" not in plan    # the ranked keys are a table of their own
+
+
+def test_draws_reach_the_whole_stream(spark):
+    # more rows than 32 bits can number: the last tenth is drawn too
+    n = 2 * 10 ** 10
+    top = (spark.range(20_000).select(F.pmod(hash_order(1, F.col("id")), F.lit(n)).alias("at"))
+           .agg(F.max("at"), F.sum((F.col("at") >= 9 * n // 10).cast("int"))).first())
+    assert top[0] > 0.99 * n and 1500 < top[1] < 2500
+
+
+def test_take_and_skip_by_threshold(spark, monkeypatch):
+    from corpusprep.operators import order
+    df = spark.range(0, 1000).select((F.col("id") * 7 % 1000).alias("k"), F.lit(1).alias("p"))
+    monkeypatch.setattr(order, "TOP_ROWS", 10)
+    assert sorted(r["k"] for r in order.take_first(df, 300, ["k"]).collect()) == list(range(300))
+    assert order.take_first(df, 5000, ["k"]).count() == 1000
+    assert sorted(r["k"] for r in order.skip(df, 990, ["k"]).collect()) == list(range(990, 1000))
+    assert order.skip(df, 1000, ["k"]).count() == 0 and order.skip(df, 5000, ["k"]).count() == 0

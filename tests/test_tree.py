@@ -43,3 +43,10 @@ def test_unknown_role_raises(spark):
     m = spark.createDataFrame(rows, SCHEMA)
     with pytest.raises(Exception, match="Unknown role"):
         tree.preference_pairs(m).collect()
+
+
+def test_a_chain_of_any_depth_returns_whole(spark):
+    from corpusprep.operators import tree
+    rows = [(f"m{i}", None if i == 0 else f"m{i - 1}", "prompter", "t", None) for i in range(40)]
+    m = spark.createDataFrame(rows, "message_id string, parent_id string, role string, text string, rank int")
+    assert tree.best_path(m).count() == 40 and not hasattr(tree, "MAX_DEPTH")
