@@ -59,7 +59,7 @@ def targets(sized: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS,
     """Per source (code point order, null last, weights repeating): ``sid,
     source, source_size, target``, and the number of sources."""
     src = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    src = global_rank(src, [F.col("source").asc_nulls_last()], "sid")
+    src = global_rank(src, [F.col("source").isNull(), "source"], "sid")
     w = F.array(*[F.lit(int(x)) for x in weights])
     caps = table(src.withColumn("weight", F.get(w, ((F.col("sid") - 1) % len(weights)).cast("int")))
                  .withColumn("cap", F.col("source_size") * F.lit(max_epochs)), "sources")
