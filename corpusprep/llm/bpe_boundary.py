@@ -22,6 +22,7 @@ import hashlib
 import json
 import os
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +34,12 @@ from pyspark.sql import types as T
 _ASCII_SPACE = (9, 10, 11, 12, 13, 28, 29, 30, 31, 32)
 _LEAD = (0xC2, 0x80, 0x81, 0x9A)
 _SPACE_PAIR = re.compile(r"\s ")
-CACHE_ENTRIES = 400_000
+# Letters whose class no Unicode version has changed.
+_OLD_LETTERS = "\u0250"
+CACHE_ENTRIES = 700_000
 CACHE_CHARS = 48
 BATCH_BYTES = 1 << 20
+ID_BYTES = 4
 
 
 def byte_symbols() -> dict[str, int]:
@@ -78,6 +82,9 @@ class BoundaryEncoder:
         cut[:, ord("'")] = False
         self.cut = cut.ravel()
         self.blank_cuts = not any(b" " in b for b in added.values())
+        self.symbols = {b: c for c, b in sym.items()}     # for str.translate of Latin-1
+        # ids of fragments seen so far; those that follow a blank without it
+        self.heads: dict[str, bytes] = {}
         self.seen: dict[str, bytes] = {}
 
     def cuts(self, raw: bytes) -> np.ndarray:
@@ -103,54 +110,85 @@ class BoundaryEncoder:
         cut = [raw[i:j].decode() for i, j in zip(at, at[1:])]
         return [cut[i:j] for i, j in zip(per, per[1:])]
 
-    def words(self, text: str) -> list[str]:
+    def words(self, text: str) -> tuple[list[str], list[str]]:
         """Coarse fragments: a blank after a character that is no white space
-        always starts a new pre-token, which is a sure boundary too."""
+        always starts a new pre-token, which is a sure boundary too. Returns
+        (fragments as they are, fragments without their leading blank), in order."""
         if not self.blank_cuts or _SPACE_PAIR.search(text):
-            return self.fragments([text])[0]
-        head, *tail = text.split(" ")
-        tail = [" " + w for w in tail]
-        return [head, *tail] if head else tail
-
-    def _learn(self, new: list[str], known: dict[str, bytes]) -> None:
-        """Put the ids of the given fragments into ``known``."""
-        fine = self.fragments(new)
-        todo = list({x for fs in fine for x in fs if x not in known})
-        for x, e in zip(todo, self.lib.encode_batch_fast(todo, add_special_tokens=False)):
-            known[x] = np.asarray(e.ids, "<u4").tobytes()
-        for f, fs in zip(new, fine):
+            return self.fragments([text])[0], []
+        tail = text.split(" ")
+        head = tail.pop(0)
+        return ([head] if head else []), tail
+
+    def _ids(self, fragments: list[str]) -> list[bytes]:
+        """Ids of fragments: by the library's BPE model where a fragment is one
+        pre-token for certain (a word of letters), else by its whole encoder."""
+        out: list[bytes] = [b""] * len(fragments)
+        rest = []
+        tokenize, symbols = self.lib.model.tokenize, self.symbols
+        for i, f in enumerate(fragments):
+            if f[f[:1] == " ":].isalpha() and (f.isascii() or max(f) < _OLD_LETTERS):
+                out[i] = array("I", [t.id for t in tokenize(f.encode().decode("latin-1").translate(symbols))]).tobytes()
+            else:
+                rest.append(i)
+        for i, e in zip(rest, self.lib.encode_batch_fast([fragments[i] for i in rest], add_special_tokens=False)):
+            out[i] = array("I", e.ids).tobytes()
+        return out
+
+    def _learn(self, new: set[str], known: dict[str, bytes], blank: str) -> None:
+        """Put the ids of new coarse fragments into ``known`` (their finer
+        fragments too, so that a word is known whatever follows it)."""
+        names = list(new)
+        fine = self.fragments([blank + f for f in names])
+        cut = len(blank)
+        memo: dict[str, bytes] = {}
+        todo = set()
+        for fs in fine:
+            for x in fs:
+                if x not in memo:
+                    got = known.get(x[cut:]) if x.startswith(blank) else self.heads.get(x)
+                    if got is None:
+                        todo.add(x)
+                    else:
+                        memo[x] = got
+        order = list(todo)
+        memo.update(zip(order, self._ids(order)))
+        for f, fs in zip(names, fine):
+            known[f] = memo[fs[0]] if len(fs) == 1 else b"".join([memo[x] for x in fs])
             if len(fs) > 1:
-                known[f] = b"".join([known[x] for x in fs])
+                known[fs[0][cut:]] = memo[fs[0]]
+                for x in fs[1:]:
+                    if len(x) <= CACHE_CHARS:
+                        self.heads[x] = memo[x]
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         out: list[bytes] = []
-        if len(self.seen) > CACHE_ENTRIES:
-            self.seen = {}
-        seen = self.seen
-        held: list[list[str]] = []
+        held: list[tuple[list[str], list[str]]] = []
         size = 0
         for t in texts:
-            held.append(self.words(t) if t else [])
+            held.append(self.words(t) if t else ([], []))
             size += len(t)
             if size >= BATCH_BYTES:
-                out += self._flush(held, seen)
+                out += self._flush(held)
                 held, size = [], 0
-        return out + self._flush(held, seen)
-
-    def _flush(self, held: list[list[str]], seen: dict[str, bytes]) -> list[bytes]:
-        got = [list(map(seen.get, h)) for h in held]
-        new = {f for h, g in zip(held, got) if None in g for f, i in zip(h, g) if i is None}
-        if new:
-            long = {f for f in new if len(f) > CACHE_CHARS}
-            self._learn(list(new - long), seen)
-            once: dict[str, bytes] = {}
-            if long:
-                self._learn(list(long), once)
-            for k, (h, g) in enumerate(zip(held, got)):
-                if None in g:
-                    got[k] = [once[f] if f in once else seen[f] for f in h]
-        return [b"".join(g) for g in got]
+        return out + self._flush(held)
+
+    def _flush(self, held: list[tuple[list[str], list[str]]]) -> list[bytes]:
+        if len(self.seen) + len(self.heads) > CACHE_ENTRIES:
+            self.seen, self.heads = {}, {}
+        heads, seen = self.heads, self.seen
+        sides = ((heads, "", set().union(*[h for h, _ in held])), (seen, " ", set().union(*[t for _, t in held])))
+        for known, blank, here in sides:
+            new = here.difference(known)
+            if new:
+                self._learn(new, known, blank)
+        out = [b"".join([*map(heads.__getitem__, h), *map(seen.__getitem__, t)]) for h, t in held]
+        for known, _, here in sides:       # long fragments hardly recur
+            for f in here:
+                if len(f) > CACHE_CHARS:
+                    del known[f]
+        return out
 
     def decode(self, ids: bytes) -> bytes:
         """UTF-8 of the decoded text: the tokens' bytes, with every invalid
@@ -212,7 +250,7 @@ def encode_decode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "
             for start, texts in text_slices(b.column(1)):
                 ids = enc.encode_batch(texts)
                 cols = [b.column(0).slice(start, len(texts)),
-                        pa.array([len(x) // 4 for x in ids], pa.int64()),
+                        pa.array([len(x) // ID_BYTES for x in ids], pa.int64()),
                         pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
                         pa.array([hashlib.sha256(enc.decode(x)).hexdigest() for x in ids], pa.string())]
                 if with_ids:
