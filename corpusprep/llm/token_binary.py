@@ -13,8 +13,9 @@ atomically and safe against lost executors), one row per chunk:
 ``first, n_ids``   chunk index: ids of the shard before the chunk, ids in it
 ``planes``         array of zstandard frames, lowest plane first
 ``width``          8 (byte planes) or 1 (bit planes)
-``rows, keys, at, count``  the documents' slices in the chunk: row number in
-                   the shard, key, offset inside the document, ids
+``rows, keys, at, count, more``  the documents' slices in the chunk: row number
+                   in the shard, key, offset inside the document, ids, and
+                   whether the document goes on in the next chunk
 
 The index columns are read without the planes (column pruning).
 """
@@ -31,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusprep.llm.bpe_boundary import encoder, text_slices
+from corpusprep.llm.common import table
 
 CHUNK_IDS = 1 << 16
 ID_BYTES = 4
@@ -84,7 +86,8 @@ def _chunk_schema(key: T.DataType) -> T.StructType:
         T.StructField("first", T.LongType()), T.StructField("n_ids", T.LongType()),
         T.StructField("width", T.IntegerType()), T.StructField("planes", T.ArrayType(T.BinaryType())),
         T.StructField("rows", ints), T.StructField("keys", T.ArrayType(key)),
-        T.StructField("at", ints), T.StructField("count", ints)])
+        T.StructField("at", ints), T.StructField("count", ints),
+        T.StructField("more", T.ArrayType(T.BooleanType()))])
 
 
 def write(docs: DataFrame, path: str, vocab: str, key: str = "doc_id", text: str = "text",
@@ -118,7 +121,7 @@ def write(docs: DataFrame, path: str, vocab: str, key: str = "doc_id", text: str
                 while room:
                     r, k, at, c = spans[i]
                     take = min(c, room)
-                    part.append((r, k, at, take))
+                    part.append((r, k, at, take, take < c))
                     room -= take
                     if take < c:
                         spans[i] = (r, k, at + take, c - take)
@@ -173,7 +176,8 @@ def read_documents(spark: SparkSession, path: str, key: str = "doc_id") -> DataF
     schema = T.StructType([
         T.StructField("shard", T.IntegerType()), T.StructField("row", T.LongType()),
         T.StructField(key, kt), T.StructField("at", T.LongType()), T.StructField("n", T.LongType()),
-        T.StructField("pos", T.LongType()), T.StructField("crc", T.LongType())])
+        T.StructField("pos", T.LongType()), T.StructField("crc", T.LongType()),
+        T.StructField("whole", T.BooleanType())])
 
     def slices(batches):
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -186,25 +190,29 @@ def read_documents(spark: SparkSession, path: str, key: str = "doc_id") -> DataF
                 begins = ends - c["count"]
                 crc = [zlib.crc32(raw[4 * s:4 * e]) for s, e in zip(begins.tolist(), ends.tolist())]
                 pos = (c["first"] + begins).tolist()
-                cols = [[c["shard"]] * len(crc), c["rows"], c["keys"], c["at"], c["count"], pos, crc]
+                whole = [not a and not m for a, m in zip(c["at"], c["more"])]
+                cols = [[c["shard"]] * len(crc), c["rows"], c["keys"], c["at"], c["count"], pos, crc, whole]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(v, f.type) for v, f in zip(cols, arrow)], names=schema.names)
 
-    parts = chunks.mapInArrow(slices, schema)
-    whole = (parts.groupBy("shard", "row")
-             .agg(F.first(key).alias(key), F.min("pos").alias("pos"), F.sum("n").alias("n_tokens"),
-                  F.sort_array(F.collect_list(F.struct("at", "n", "crc"))).alias("slices"))
-             .join(F.broadcast(shard_bases(spark, path)), "shard"))
+    parts = table(chunks.mapInArrow(slices, schema), "slices")
+    base = F.broadcast(shard_bases(spark, path))
+    start = (F.col("base") + F.col("pos")).alias("start")
+    whole = parts.filter(F.col("whole")).join(base, "shard").select(
+        key, start, F.col("n").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
 
     @F.pandas_udf("long")
     def joined(s):
-        def one(parts):
+        def one(slices):
             crc = 0
-            for p in parts:
-                crc = crc32_join(crc, int(p["crc"]), 4 * int(p["n"]))
+            for p in slices:
+                crc = crc32_join(crc, int(p["crc"]), ID_BYTES * int(p["n"]))
             return crc
         return s.map(one)
 
-    crc = F.when(F.size("slices") == 1, F.col("slices")[0]["crc"]).otherwise(joined("slices"))
-    return whole.select(key, (F.col("base") + F.col("pos")).alias("start"), "n_tokens",
-                        crc.alias("ids_crc32"))
+    # only documents that span chunks meet again
+    spread = (parts.filter(~F.col("whole")).groupBy("shard", "row")
+              .agg(F.first(key).alias(key), F.min("pos").alias("pos"), F.sum("n").alias("n_tokens"),
+                   F.sort_array(F.collect_list(F.struct("at", "n", "crc"))).alias("slices"))
+              .join(base, "shard").select(key, start, "n_tokens", joined("slices").alias("ids_crc32")))
+    return whole.unionByName(spread)
