@@ -55,9 +55,10 @@ def metaspace(text) -> Column:
 
 
 def metaspace_pieces(text) -> Column:
-    """Split before every '▁' (only U+0020 is a boundary).
-    "a b\\nc" -> [▁a, ▁b\\nc]; "a  b" -> [▁a, ▁, ▁b]."""
-    return F.split(metaspace(text), f"(?={METASPACE})")
+    """Split before every '▁' (only U+0020 is a boundary); an empty text has
+    no piece. "a b\\nc" -> [▁a, ▁b\\nc]; "a  b" -> [▁a, ▁, ▁b]."""
+    return F.when(_c(text) == "", F.array().cast("array<string>")).otherwise(
+        F.split(metaspace(text), f"(?={METASPACE})"))
 
 
 def specials_pattern(specials: Sequence[str]) -> str:
@@ -70,8 +71,9 @@ def pieces_with_specials(text, specials: Sequence[str]) -> Column:
     every other non-empty segment gets its own metaspace pieces."""
     if not specials:
         return metaspace_pieces(text)
-    marked = F.regexp_replace(_c(text), specials_pattern(specials), "\u0001$1\u0001")
-    segs = F.filter(F.split(marked, "\u0001"), lambda s: s != "")
+    # a special token, or a run up to the next one (no separator character in the text)
+    sp = specials_pattern(specials)
+    segs = F.regexp_extract_all(_c(text), F.lit(f"(?s){sp}|.+?(?={sp}|\\z)"), 0)
     sp = F.array(*[F.lit(s) for s in specials])
     return F.flatten(F.transform(
         segs, lambda s: F.when(F.array_contains(sp, s), F.array(s)).otherwise(metaspace_pieces(s))))
@@ -83,8 +85,9 @@ def chars(text) -> Column:
 
 
 def is_title(text) -> Column:
-    """Article title line."""
-    return _c(text).rlike(TITLE_PATTERN)
+    """Article title line, with Python's white space and line ends (only
+    "\\n" ends a line)."""
+    return _c(text).rlike("(?Ud)" + TITLE_PATTERN.replace(r"\s", r"[\s\x1c-\x1f]"))
 
 
 def chunk_words(text, n: int | None) -> Column:

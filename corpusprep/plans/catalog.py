@@ -408,8 +408,8 @@ def l1_pack_blocks(spark, sf):
 
 
 @register("l2_next_token_pairs",
-          _STREAM + f" select cast(a.g // {CTX} as bigint) as block_id, cast(a.g % {CTX} as bigint) as pos, "
-          "cast(a.id as bigint) as x, cast(b.id as bigint) as y from g a join g b on b.g = a.g + 1")
+          _STREAM + f" select * from (select cast(g // {CTX} as bigint) as block_id, cast(g % {CTX} as bigint) as pos, "
+          "cast(id as bigint) as x, cast(lead(id) over (order by g) as bigint) as y from g) where y is not null")
 def l2_next_token_pairs(spark, sf):
     blocks = pack.pack_blocks(pretrain_tokens(spark, sf), CTX, ["doc_id"])
     p = pack.next_token_pairs(blocks)
@@ -848,8 +848,8 @@ def v3_char_vocab(spark, sf):
 
 
 @register("v6_score_table",
-          f"with c as (select piece, count(*) as freq from (select unnest({S.pieces('text')}) as piece from documents) group by piece), "
-          f"v as ({_VOCAB_SQL}) select v.id, v.piece, round(case when v.id < 4 then 0.0 else ln(c.freq / "
+          f"with c as materialized (select piece, count(*) as freq from (select unnest({S.pieces('text')}) as piece from documents) group by piece), "
+          f"v as materialized ({_VOCAB_SQL}) select v.id, v.piece, round(case when v.id < 4 then 0.0 else ln(c.freq / "
           "(select sum(freq) from c join v using (piece) where v.id >= 4)) end, 6) as score from v left join c using (piece)")
 def v6_score_table(spark, sf):
     st = vocab.score_table(word_vocab(spark, sf))

@@ -266,8 +266,8 @@ def t1_encode_word(spark, sf):
 
 
 @register("x2_shift_pair",
-          _T2 + " select a.doc_id, cast(a.pos as bigint) as pos, cast(a.id as bigint) as x, cast(b.id as bigint) as y "
-          "from t a join t b on a.doc_id = b.doc_id and b.pos = a.pos + 1")
+          _T2 + " select * from (select doc_id, cast(pos as bigint) as pos, cast(id as bigint) as x, "
+          "cast(lead(id) over (partition by doc_id order by pos) as bigint) as y from t) where y is not null")
 def x2_shift_pair(spark, sf):
     tok = pretrain_tokens(spark, sf)
     z = tok.select("doc_id", F.arrays_zip(tokenise.drop_last(F.col("input_ids")).alias("x"),

@@ -6,12 +6,13 @@ them so that the same fixed values appear once.
 
 from __future__ import annotations
 
+from corpusprep.functions import text as tx
 from corpusprep.profiles import BASE_SPECIALS, CHAT_SPECIALS
 from corpusprep.sources import tables as tb
 
 SEED = 42
 MS = "▁"
-TITLE = r"^\s=\s[^=].*[^=]\s=\s\n$"
+TITLE = tx.TITLE_PATTERN
 
 
 def q(s: str) -> str:
@@ -33,7 +34,8 @@ def metaspace(t: str) -> str:
 
 
 def pieces(t: str) -> str:
-    return f"(string_split(replace({metaspace(t)}, '{MS}', chr(1) || '{MS}'), chr(1))[2:])"
+    return (f"(case when {t} = '' then []::varchar[] else "
+            f"string_split(replace({metaspace(t)}, '{MS}', chr(1) || '{MS}'), chr(1))[2:] end)")
 
 
 def pieces_with_specials(t: str, specials) -> str:

@@ -26,17 +26,16 @@ class Profile:
 
     def check_mode(self, mode: str) -> str:
         if mode not in self.modes:
-            raise ValueError(f"Mode: {mode} not supported.")
+            raise ValueError(f"profile {self.name} has no mode {mode!r} (it has {', '.join(self.modes)})")
         return mode
 
 
 PRE_TRAINING_V1 = Profile("pre_training_v1", list(BASE_SPECIALS))
 POST_TRAINING_V1 = Profile("post_training_v1", BASE_SPECIALS + CHAT_SPECIALS, stop="</MODEL>",
                            modes=("pre_training", "post_training_sft", "post_training_rl"))
-PRE_TRAINING_V2 = Profile("pre_training_v2", list(BASE_SPECIALS),
-                          modes=("pre_training", "post_training_sft", "post_training_rl"))
+SENTENCE_PIECE_V2 = Profile("sentence_piece_v2", BASE_SPECIALS + CHAT_SPECIALS, stop="</MODEL>")
 
-PROFILES = {p.name: p for p in (PRE_TRAINING_V1, POST_TRAINING_V1, PRE_TRAINING_V2)}
+PROFILES = {p.name: p for p in (PRE_TRAINING_V1, POST_TRAINING_V1, SENTENCE_PIECE_V2)}
 
 
 def get_profile(name: str) -> Profile:

@@ -9,6 +9,7 @@ FileSystem of the session, never a machine-local folder.
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 import warnings
 from collections.abc import Callable, Sequence
@@ -164,13 +165,14 @@ def write_splits(df: DataFrame, root: str, partitions: Sequence[str] = ("dataset
                  mode: str = "overwrite") -> str:
     """K1: one directory per dataset/split. Overwrite replaces only the
     partitions present in ``df`` (dynamic partition overwrite), so writing one
-    dataset leaves the others in place. Rows are clustered by the partition
-    columns first, so each task writes few files."""
+    dataset leaves the others in place. Rows are rebalanced by the partition
+    columns: small partitions are gathered into few files, and a large one is
+    split by size over as many tasks as it needs."""
     spark = df.sparkSession
     prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     try:
-        (df.repartition(*partitions).write.mode(mode).partitionBy(*partitions).parquet(root))
+        (df.hint("rebalance", *partitions).write.mode(mode).partitionBy(*partitions).parquet(root))
     finally:
         spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
     return root
@@ -209,17 +211,30 @@ def vocab_fingerprint(vocab: DataFrame) -> str:
     return f"{int(r['n'])}-{abs(int(r['s'] or 0)) % (1 << 64):016x}"
 
 
+def blocks_fingerprint(blocks: DataFrame) -> str:
+    """Order-free content key of a block table: rows and sum of their hashes."""
+    r = blocks.agg(F.count(F.lit(1)).alias("n"),
+                   F.sum(F.xxhash64(*blocks.columns).cast("decimal(38,0)")).alias("s")).first()
+    return f"{int(r['n'])}-{abs(int(r['s'] or 0)) % (1 << 64):016x}"
+
+
 def write_token_blocks(blocks: DataFrame, root: str, source_key: str, vocab: DataFrame,
-                       check_uint16: bool = True) -> tuple[str, bool]:
-    """K5: the packed block table written once and re-used. The cache key is
-    the source key plus the vocabulary fingerprint (a different input or
-    vocabulary gets its own folder). Ids must fit 16 bits when ``check_uint16``
-    (max id checked on the vocabulary, not on the tokens)."""
+                       check_uint16: bool = True, settings: dict | None = None) -> tuple[str, bool]:
+    """K5: the packed block table written once and re-used. The cache key is the
+    source key, the vocabulary's fingerprint and the ``settings`` that shape the
+    blocks (context length, order, seed, version of the input, ...). Without
+    settings the blocks' own content is the key: they are computed to tell, but
+    a stale table is never returned. Ids must fit 16 bits when
+    ``check_uint16`` (max id checked on the vocabulary, not on the tokens)."""
     if check_uint16:
         top = vocab.agg(F.max("id")).first()[0]
         if top is not None and int(top) > MAX_UINT16:
             raise ValueError(f"id {top} does not fit 16 bits")
-    path = f"{root.rstrip('/')}/{source_key}-{vocab_fingerprint(vocab)}"
+    if settings is None:
+        tag = blocks_fingerprint(blocks)
+    else:
+        tag = hashlib.md5(repr(sorted(settings.items())).encode()).hexdigest()[:16]
+    path = f"{root.rstrip('/')}/{source_key}-{vocab_fingerprint(vocab)}-{tag}"
     spark = blocks.sparkSession
     if path_exists(spark, f"{path}/_SUCCESS"):
         return path, False

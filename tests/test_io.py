@@ -97,3 +97,34 @@ def test_text_scan_spread_keeps_pushdown(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(lang), EqualTo(lang,en)]" in plan
     assert "ReadSchema: struct<doc_id:bigint,lang:string>" in plan
+
+
+def test_block_cache_tells_contexts_and_inputs_apart(spark, tmp_path):
+    from corpusprep.operators import pack, vocab
+    tok = spark.createDataFrame([(i, list(range(4, 40))) for i in range(5)], "doc_id long, input_ids array<int>")
+    from corpusprep.profiles import BASE_SPECIALS
+    v = vocab.train_word_vocab(spark.createDataFrame([("a b c",)], "text string"), 10, BASE_SPECIALS)
+    paths = []
+    for ctx, t in ((16, tok), (32, tok), (16, tok.filter("doc_id < 4")), (16, tok)):
+        blocks = pack.pack_blocks(t, ctx, ["doc_id"])
+        path, new = io.write_token_blocks(blocks, str(tmp_path), "docs", v)
+        assert spark.read.parquet(path).count() == blocks.count()
+        paths.append((path, new))
+    assert len({p for p, _ in paths}) == 3 and [n for _, n in paths] == [True, True, True, False]
+    a, new_a = io.write_token_blocks(pack.pack_blocks(tok, 16, ["doc_id"]), str(tmp_path), "docs", v, settings={"ctx": 16})
+    b, new_b = io.write_token_blocks(pack.pack_blocks(tok, 32, ["doc_id"]), str(tmp_path), "docs", v, settings={"ctx": 32})
+    assert a != b and new_a and new_b
+
+
+def test_a_skewed_dataset_is_written_by_many_tasks(spark, tmp_path):
+    import glob
+    df = spark.range(0, 60_000).selectExpr("case when id % 100 = 0 then 'fr' else 'en' end as dataset", "'train' as split",
+                                           "id as doc_id", "md5(cast(id as string)) as text")
+    old = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "256k")
+    try:
+        io.write_splits(df.repartition(8), str(tmp_path / "s"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", old)
+    assert len(glob.glob(str(tmp_path / "s/dataset=en/split=train/*.parquet"))) >= 4
+    assert spark.read.parquet(str(tmp_path / "s")).count() == 60_000

@@ -25,7 +25,7 @@ def test_metaspace_pieces(spark):
     assert one(spark, tx.metaspace_pieces, "a b\nc") == ["▁a", "▁b\nc"]
     assert one(spark, tx.metaspace_pieces, "a  b") == ["▁a", "▁", "▁b"]
     assert one(spark, tx.metaspace_pieces, " a") == ["▁a"]
-    assert one(spark, tx.metaspace_pieces, "") == ["▁"]
+    assert one(spark, tx.metaspace_pieces, "") == []
 
 
 def test_specials_cut_first(spark):
@@ -62,3 +62,43 @@ def test_format_instruction_empty_input(spark):
     assert rows[0]["p"] == "<SYSTEM>i</SYSTEM><MODEL>" and rows[1]["p"] == rows[0]["p"]
     assert rows[2]["p"] == "<SYSTEM>i</SYSTEM><USER>x</USER><MODEL>"
     assert rows[0]["c"] == "o</MODEL>"
+
+
+def test_titles_with_unicode_white_space_and_line_ends(spark):
+    import re
+    lines = [" = A B = \n", " = A\u0085B = \n", " = A\rB = \n", " = Doc = \n", "\x1c= Doc =\x1d\n",
+             " = Doc = \n\n", " = D = \n", " = Do = \n", " = Doc =", " =  x y = \n", "= Doc = \n"]
+    for t in lines:
+        assert one(spark, tx.is_title, t) == bool(re.match(tx.TITLE_PATTERN, t)), repr(t)
+
+
+def test_control_characters_stay_in_pieces(spark):
+    f = lambda c: tx.pieces_with_specials(c, ["<USER>", "</USER>"])
+    assert one(spark, f, "a\u0001b") == ["▁a\u0001b"]
+    assert one(spark, f, "x\u0001<USER>\n y\u0001</USER>") == ["▁x\u0001", "<USER>", "▁\n", "▁y\u0001", "</USER>"]
+    assert one(spark, f, "") == [] and one(spark, f, "<USER>") == ["<USER>"]
+
+
+def test_format_example_modes(spark):
+    import pytest
+
+    from corpusprep.operators import formats
+    df = spark.createDataFrame([(1, [("prompter", "q"), ("assistant", "a"), ("prompter", "q2")], "yes", "no")],
+                               "id long, context array<struct<role:string,text:string>>, accepted string, rejected string")
+    r = formats.format_example(df, "openassistant", ["id"]).first()
+    assert tuple(r) == (1, "<USER>q</USER><MODEL>a</MODEL><USER>q2</USER><MODEL>", "yes</MODEL>", "no</MODEL>")
+    i = spark.createDataFrame([("s", "u", "o")], "instruction string, input string, output string")
+    assert formats.format_example(i, "alpaca").collect() == formats.format_example(i, "post_training_sft").collect()
+    with pytest.raises(ValueError, match="no example format"):
+        formats.format_example(i, "other")
+
+
+def test_profiles():
+    import pytest
+
+    from corpusprep.profiles import BASE_SPECIALS, CHAT_SPECIALS, get_profile
+    p = get_profile("sentence_piece_v2")
+    assert p.specials == BASE_SPECIALS + CHAT_SPECIALS and p.stop == "</MODEL>" and p.pad == "[PAD]"
+    assert p.check_mode("pre_training") == "pre_training"
+    with pytest.raises(ValueError):
+        p.check_mode("post_training_sft")
