@@ -36,9 +36,9 @@ _LEAD = (0xC2, 0x80, 0x81, 0x9A)
 _SPACE_PAIR = re.compile(r"\s ")
 # Letters whose class no Unicode version has changed.
 _OLD_LETTERS = "\u0250"
-CACHE_ENTRIES = 700_000
+CACHE_ENTRIES = 1_500_000
 CACHE_CHARS = 48
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 21
 ID_BYTES = 4
 
 
@@ -127,7 +127,7 @@ class BoundaryEncoder:
         rest = []
         tokenize, symbols = self.lib.model.tokenize, self.symbols
         for i, f in enumerate(fragments):
-            if f[f[:1] == " ":].isalpha() and (f.isascii() or max(f) < _OLD_LETTERS):
+            if self._plain(f[f[:1] == " ":]):
                 out[i] = array("I", [t.id for t in tokenize(f.encode().decode("latin-1").translate(symbols))]).tobytes()
             else:
                 rest.append(i)
@@ -135,31 +135,54 @@ class BoundaryEncoder:
             out[i] = array("I", e.ids).tobytes()
         return out
 
+    def _plain(self, word: str) -> bool:
+        """Whether the word is letters of one pre-token for certain."""
+        return word.isalpha() and (word.isascii() or max(word) < _OLD_LETTERS)
+
+    def _ends(self, word: str) -> bool:
+        """Whether the word's last character may be cut off for certain."""
+        b = word[-3:].encode()
+        return bool(self.cut[b[-2] << 8 | b[-1]]) and not (b[-2] >= 0x80 and len(b) > 2 and b[-3] in _LEAD)
+
     def _learn(self, new: set[str], known: dict[str, bytes], blank: str) -> None:
-        """Put the ids of new coarse fragments into ``known`` (their finer
-        fragments too, so that a word is known whatever follows it)."""
-        names = list(new)
-        fine = self.fragments([blank + f for f in names])
-        cut = len(blank)
+        """Put the ids of new coarse fragments into ``known``. Words of letters go
+        to the model, a word with one ASCII mark behind it is the word and the
+        mark, all others are cut by their byte pairs."""
+        heads = self.heads
+        stems, marked, odd = set(), [], []
+        for f in new:
+            if self._plain(f):
+                stems.add(f)
+            elif len(f) > 1 and f[-1] < "\x80" and self._plain(f[:-1]) and self._ends(f):
+                marked.append(f)
+                if f[:-1] not in known:
+                    stems.add(f[:-1])
+                if f[-1] not in heads:
+                    heads[f[-1]] = self._ids([f[-1]])[0]
+            else:
+                odd.append(f)
+        order = list(stems)
+        known.update(zip(order, self._ids([blank + f for f in order])))
+        for f in marked:
+            known[f] = known[f[:-1]] + heads[f[-1]]
+        if not odd:
+            return
+        fine = self.fragments([blank + f for f in odd])
         memo: dict[str, bytes] = {}
-        todo = set()
+        todo = []
         for fs in fine:
             for x in fs:
                 if x not in memo:
-                    got = known.get(x[cut:]) if x.startswith(blank) else self.heads.get(x)
+                    got = heads.get(x)
+                    memo[x] = got or b""
                     if got is None:
-                        todo.add(x)
-                    else:
-                        memo[x] = got
-        order = list(todo)
-        memo.update(zip(order, self._ids(order)))
-        for f, fs in zip(names, fine):
-            known[f] = memo[fs[0]] if len(fs) == 1 else b"".join([memo[x] for x in fs])
-            if len(fs) > 1:
-                known[fs[0][cut:]] = memo[fs[0]]
-                for x in fs[1:]:
-                    if len(x) <= CACHE_CHARS:
-                        self.heads[x] = memo[x]
+                        todo.append(x)
+        memo.update(zip(todo, self._ids(todo)))
+        for f, fs in zip(odd, fine):
+            known[f] = b"".join([memo[x] for x in fs])
+            for x in fs[1:]:
+                if len(x) <= CACHE_CHARS:
+                    heads[x] = memo[x]
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -175,19 +198,21 @@ class BoundaryEncoder:
         return out + self._flush(held)
 
     def _flush(self, held: list[tuple[list[str], list[str]]]) -> list[bytes]:
-        if len(self.seen) + len(self.heads) > CACHE_ENTRIES:
-            self.seen, self.heads = {}, {}
+        first = set().union(*[h for h, _ in held])
+        later = set().union(*[t for _, t in held])
+        if len(self.seen) + len(self.heads) > CACHE_ENTRIES:    # keep what is in use now
+            self.heads = {f: self.heads[f] for f in first if f in self.heads}
+            self.seen = {f: self.seen[f] for f in later if f in self.seen}
         heads, seen = self.heads, self.seen
-        sides = ((heads, "", set().union(*[h for h, _ in held])), (seen, " ", set().union(*[t for _, t in held])))
-        for known, blank, here in sides:
+        long = []
+        for known, blank, here in ((heads, "", first), (seen, " ", later)):
             new = here.difference(known)
             if new:
                 self._learn(new, known, blank)
+                long += [(known, f) for f in new if len(f) > CACHE_CHARS]
         out = [b"".join([*map(heads.__getitem__, h), *map(seen.__getitem__, t)]) for h, t in held]
-        for known, _, here in sides:       # long fragments hardly recur
-            for f in here:
-                if len(f) > CACHE_CHARS:
-                    del known[f]
+        for known, f in long:       # long fragments hardly recur
+            del known[f]
         return out
 
     def decode(self, ids: bytes) -> bytes:
