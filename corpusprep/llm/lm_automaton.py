@@ -39,8 +39,8 @@ from corpusprep.llm.token_binary import from_planes, to_planes
 ORDER = 2
 STRENGTHS = (16.0, 64.0, 256.0, 1024.0, 65536.0)
 ALPHA = 0.1
-BLOCK_BYTES = 12 << 20
-SHARD_TOKENS = 4_000_000
+BLOCK_BYTES = 6 << 20
+SHARD_TOKENS = 3_000_000
 END = 0x9E0D                # stands for the end of a text among the word hashes
 BEGIN = 0xBE61
 
