@@ -99,7 +99,8 @@ def phrase_places(ids: np.ndarray, last: np.ndarray, phrase: np.ndarray) -> np.n
 
 
 def idf(docs: DataFrame, text: str) -> dict[str, float]:
-    """IDF of the licence words over all documents (a row per vocabulary word)."""
+    """IDF over all documents of the licence words that occur (a row per
+    vocabulary word)."""
     vocab = vocabulary()
 
     def run(batches):
@@ -119,15 +120,16 @@ def idf(docs: DataFrame, text: str) -> dict[str, float]:
     got = docs.select(text).mapInArrow(run, "word int, df long").groupBy("word").agg(F.sum("df").alias("df")).collect()
     df = {r["word"]: r["df"] for r in got}
     n = df.get(-1, 0)
-    return {w: math.log((n + 1) / (df.get(i, 0) + 0.5)) for i, w in enumerate(vocab)}
+    # a word that stands nowhere cannot point to a place
+    return {w: math.log((n + 1) / (df[i] + 0.5)) for i, w in enumerate(vocab) if df.get(i)}
 
 
 def rare_words(idfs: dict[str, float], rare: int = RARE) -> list[list[tuple[int, str]]]:
-    """The positional index by template: its rarest words with their places."""
+    """The positional index by template: its rarest occurring words with their places."""
     out = []
     for _, t, _ in TEMPLATES:
         words = t.split()
-        top = sorted(set(words), key=lambda w: (-idfs[w], w))[:rare]
+        top = sorted(set(words) & set(idfs), key=lambda w: (-idfs[w], w))[:rare]
         out.append([(i, w) for i, w in enumerate(words) if w in top])
     return out
 
@@ -161,7 +163,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", rare: int = R
             at = wording.split()
             ph = phrase.split()
             must_at = next(i for i in range(len(at)) if at[i:i + len(ph)] == ph)
-            named = []
+            named = [np.zeros((2, 0), np.int64)]
             for q, word in rares:
                 p = np.flatnonzero(ids == w.number[word])
                 named.append(np.stack([doc_of[p], p - q]))
