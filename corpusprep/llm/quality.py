@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from corpusprep.llm.common import small, table, text_key
 from corpusprep.llm.mixing import seeded
 
-MAX_DOCS = 1_200        # training documents per language
-MAX_WORDS = 400_000     # and their words
+MAX_DOCS = 500          # training documents per language
+MAX_WORDS = 150_000     # and their words
 QUANTILE = 0.99
 MARGIN = 1.5            # a limit is the quantile times this
 # The perplexity of a short text rests on few words: its limit is wider by
@@ -28,6 +28,7 @@ MARGIN = 1.5            # a limit is the quantile times this
 SHORT = 2.0
 WORD_CHARS = 6
 SEED = 11
+MODEL_ROWS = 1_000_000  # model tables of more rows are joined by a shuffle
 BEGIN, END = 1, 2       # ids of the padding; words are 64-bit hashes
 
 
@@ -97,16 +98,16 @@ def perplexities(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
     model in joins on their keys and are summed per text before any shuffle."""
     rows = gram_rows(docs, [text_key(F.col(text)).alias("node")], F.col(text))
 
-    def m(name, tag):
-        t = model[name].select(F.col("k").alias("k" + tag), *[F.col(c).alias(c + tag) for c in model[name].columns if c != "k"])
-        return small(t, model["n"][name])
+    def m(name, tag, col):
+        t = model[name].filter(F.col(col).isNotNull())
+        return small(t.select(F.col("k").alias("k" + tag), F.col(col).alias(col + tag)), model["n"][name], MODEL_ROWS)
 
     j = (rows.withColumn("k3", F.xxhash64("a", "b", "w")).withColumn("k2", F.xxhash64("b", "w"))
          .withColumn("kh", F.xxhash64("a", "b"))
-         .join(m("m3", "3"), "k3", "left").join(m("m2", "2").drop("g2"), "k2", "left")
-         .join(m("m2", "h").drop("lph"), "kh", "left")
-         .join(m("m1", "1").drop("g1").withColumnRenamed("k1", "w"), "w", "left")
-         .join(m("m1", "b").drop("lpb").withColumnRenamed("kb", "b"), "b", "left"))
+         .join(m("m3", "3", "lp"), "k3", "left").join(m("m2", "2", "lp"), "k2", "left")
+         .join(m("m2", "h", "g"), "kh", "left")
+         .join(m("m1", "1", "lp").withColumnRenamed("k1", "w"), "w", "left")
+         .join(m("m1", "b", "g").withColumnRenamed("kb", "b"), "b", "left"))
     lp = F.coalesce("lp3", F.coalesce("gh", F.lit(0.0)) + F.coalesce(
         "lp2", F.coalesce("gb", F.lit(0.0)) + F.coalesce("lp1", F.lit(model["unk"]))))
     # copies of a text add up to the same mean
