@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 from corpusprep.functions import text as tx
 from corpusprep.operators.vocab import bounded_broadcast, collect_vocab
 from corpusprep.profiles import IGNORE_INDEX
+from corpusprep.session import BROADCAST_ROW_LIMIT
 
 
 def pre_tokenise(text, model: str = "word", specials: Sequence[str] = ()) -> Column:
@@ -200,9 +201,56 @@ def tokenize_preference(df: DataFrame, vocab, specials: Sequence[str],
 
 
 def decode(df: DataFrame, vocab: DataFrame, ids: str = "input_ids", out: str = "decoded",
-           skip_special: bool = True, key: str | Sequence[str] = "row_id") -> DataFrame:
+           skip_special: bool = True, key: str | Sequence[str] = "row_id", keep: Sequence[str] = (),
+           pieces: str | None = None) -> DataFrame:
     """Ids -> pieces -> text (metaspace decoder: '▁' -> ' ', first space
-    dropped). Plan: posexplode + broadcast join + ordered re-collect per row."""
+    dropped); unknown ids give nothing, a null list gives an empty text. The key
+    and ``keep`` columns stay beside it; ``pieces`` names a column for the piece
+    list (specials included).
+
+    Plan: the vocabulary travels with the task and whole batches are gathered
+    in Arrow - no row per token, no shuffle. Beyond the size that may travel the
+    plan is ``decode_joined``."""
+    keys = list(dict.fromkeys([*([key] if isinstance(key, str) else key), *keep]))
+    if vocab.count() > BROADCAST_ROW_LIMIT:
+        if pieces:
+            raise ValueError("the piece list needs a vocabulary that fits a task")
+        return decode_joined(df, vocab, ids, out, skip_special, keys)
+    rows = vocab.select("id", "piece", F.coalesce("is_special", F.lit(False)).alias("sp")).collect()
+    size = max((r["id"] for r in rows), default=-1) + 2
+    plain = [""] * size                 # the last entry stands for every unknown id
+    shown = [""] * size
+    for r in rows:
+        plain[r["id"]] = r["piece"]
+        shown[r["id"]] = "" if skip_special and r["sp"] else r["piece"]
+    fields = [df.schema[k] for k in keys] + [T.StructField(out, T.StringType())]
+    if pieces:
+        fields.append(T.StructField(pieces, T.ArrayType(T.StringType())))
+    names = [f.name for f in fields]
+
+    def run(batches):
+        table, full = pa.array(shown, pa.string()), pa.array(plain, pa.string())
+        for b in batches:
+            col = b.column(len(keys))
+            n = pc.fill_null(pc.list_value_length(col), 0).to_numpy(zero_copy_only=False)
+            offsets = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
+            at = pc.fill_null(col.flatten(), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            at = pa.array(np.where((at < 0) | (at >= size - 1), size - 1, at))
+            text = pc.binary_join(pa.ListArray.from_arrays(offsets, table.take(at)), "")
+            text = pc.replace_substring(text, tx.METASPACE, " ")
+            text = pc.replace_substring_regex(text, r"\A ", "")
+            cols = [*b.columns[:len(keys)], text]
+            if pieces:
+                cols.append(pa.ListArray.from_arrays(offsets, full.take(at)))
+            yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    return df.select(*keys, ids).mapInArrow(run, T.StructType(fields))
+
+
+def decode_joined(df: DataFrame, vocab: DataFrame, ids: str = "input_ids", out: str = "decoded",
+                  skip_special: bool = True, key: str | Sequence[str] = "row_id") -> DataFrame:
+    """T6 as a join, for a vocabulary that no task should hold: posexplode, join
+    and ordered re-collect per row."""
     keys = [key] if isinstance(key, str) else list(key)
     v = bounded_broadcast(vocab.select("id", "piece", "is_special"))
     ex = df.select(*keys, F.posexplode_outer(ids).alias("pos", "id")).join(v, "id", "left")

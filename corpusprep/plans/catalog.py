@@ -704,13 +704,11 @@ def t6_decode(spark, sf):
           "cast(sum(unk) as bigint) as unknown_tokens, cast(sum(n) as bigint) as tokens from documents join dec using (doc_id) "
           "join u using (doc_id) group by lang")
 def t7_roundtrip_report(spark, sf):
-    t = tb.text_table(spark, sf)
     v = word_vocab(spark, sf)
-    dec = decoded_docs(spark, sf)
     lk = tokenise.make_lookup(v)
-    unk = tokenise.encode(t.select("doc_id", "text"), lk, "text", "ids").select(
-        "doc_id", F.size(F.filter("ids", lambda x: x == lk.unk_id)).alias("unk"), F.size("ids").alias("n"))
-    j = t.join(dec, "doc_id").join(unk, "doc_id")
+    enc = tokenise.encode(tb.text_table(spark, sf).select("dataset", "doc_id", "text"), lk, "text", "ids")
+    enc = enc.withColumn("unk", F.size(F.filter("ids", lambda x: x == lk.unk_id))).withColumn("n", F.size("ids"))
+    j = tokenise.decode(enc, v, "ids", key="doc_id", keep=["dataset", "text", "unk", "n"])
     return j.groupBy("dataset").agg(F.count(F.lit(1)).alias("docs"),
                                     F.count(F.when(F.col("decoded") == F.col("text"), 1)).alias("equal_docs"),
                                     F.sum("unk").cast("long").alias("unknown_tokens"),
@@ -721,13 +719,14 @@ def t7_roundtrip_report(spark, sf):
           _DECODED + " select doc_id, lang as dataset, cast(len(" + S.pieces("text") + ") + 2 as bigint) as n_tokens, "
           "decoded = text as roundtrip_equal from documents join dec using (doc_id)")
 def j6_inspect(spark, sf):
-    t = tb.text_table(spark, sf)
     v = word_vocab(spark, sf)
-    tok = tokenise.tokenize_pretrain(t.select("doc_id", "text"), v)
-    dec = tokenise.decode(tok, v, key="doc_id")
-    return (t.join(tok, "doc_id").join(dec, "doc_id")
-            .select("doc_id", "dataset", F.size("input_ids").cast("long").alias("n_tokens"),
-                    (F.col("decoded") == F.col("text")).alias("roundtrip_equal")))
+    lk = tokenise.make_lookup(v)
+    enc = tokenise.encode(tb.text_table(spark, sf).select("dataset", "doc_id", "text"), lk, "text", "ids")
+    wrapped = enc.withColumn("ids", tokenise.wrap_sos_eos(F.col("ids"), tokenise.ids_of(lk, "[SOS]"),
+                                                          tokenise.ids_of(lk, "[EOS]")))
+    dec = tokenise.decode(wrapped, v, "ids", key="doc_id", keep=["dataset", "text"], pieces="pieces")
+    return dec.select("doc_id", "dataset", F.size("pieces").cast("long").alias("n_tokens"),
+                      (F.col("decoded") == F.col("text")).alias("roundtrip_equal"))
 
 
 SMALL_VOCAB = 8000

@@ -63,3 +63,18 @@ def test_extend_vocab_ids(spark):
     v = vocab.train_word_vocab(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), 10, BASE_SPECIALS)
     e = {r["piece"]: r["id"] for r in vocab.extend_vocab(v, CHAT_SPECIALS + ["[PAD]"]).collect()}
     assert [e[s] for s in CHAT_SPECIALS] == list(range(6, 12)) and e["[PAD]"] == 1
+
+
+def test_decode_is_one_arrow_pass_and_equals_the_join(spark):
+    t = spark.createDataFrame([(1, "a b  c", 7), (2, " lead", 8), (3, "", 9), (4, None, 1)], "doc_id long, text string, x int")
+    v = vocab.train_word_vocab(t.filter("text is not null"), 50, BASE_SPECIALS)
+    tok = tokenise.tokenize_pretrain(t, v)
+    for skip in (True, False):
+        got = tokenise.decode(tok, v, key="doc_id", keep=["x"], skip_special=skip, pieces="pieces")
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "MapInArrow" in plan
+        want = {r["doc_id"]: r["decoded"] for r in tokenise.decode_joined(tok, v, key="doc_id", skip_special=skip).collect()}
+        rows = {r["doc_id"]: r for r in got.collect()}
+        assert {k: r["decoded"] for k, r in rows.items()} == want
+        assert rows[1]["x"] == 7 and rows[1]["pieces"] == ["[SOS]", "▁a", "▁b", "▁", "▁c", "[EOS]"]
+        assert rows[3]["pieces"] == ["[SOS]", "[EOS]"]
