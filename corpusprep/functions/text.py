@@ -144,6 +144,7 @@ def to_json_text(text) -> Column:
 # of other non-space characters (whitespace splits and is dropped).
 SCRIPT_PATTERN = r"\p{IsLatin}+|\p{L}+|\p{N}|[^\p{L}\p{N}\s]+"
 BYTE_PIECE = "<0x$1>"             # a UTF-8 byte as a piece: <0xC3>
+BYTE_PIECES = tuple(f"<0x{b:02X}>" for b in range(256))
 # ---------------------------------------------------------------------------
 
 
@@ -152,6 +153,15 @@ def split_by_script(text) -> Column:
     return F.regexp_extract_all(_c(text), F.lit("(?U)" + SCRIPT_PATTERN), 0)
 
 
+def metaspace_script_pieces(text) -> Column:
+    """C5 then C6: metaspace pieces cut into runs of one script, single digits
+    and runs of marks; a '▁' stays with what follows it."""
+    m = METASPACE
+    pattern = (rf"{m}?\p{{IsLatin}}+|{m}?\p{{L}}+|{m}?\p{{N}}|{m}?[^\p{{L}}\p{{N}}{m}]+|{m}")
+    return F.when(_c(text) == "", F.array().cast("array<string>")).otherwise(
+        F.regexp_extract_all(metaspace(text), F.lit("(?s)" + pattern), 0))
+
+
 def byte_pieces(ch) -> Column:
     """The UTF-8 bytes of a character as pieces '<0xNN>' (joined)."""
     return F.regexp_replace(F.hex(F.encode(_c(ch), "UTF-8")), "(..)", BYTE_PIECE)

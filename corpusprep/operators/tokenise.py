@@ -218,6 +218,11 @@ def decode(df: DataFrame, vocab: DataFrame, ids: str = "input_ids", out: str = "
         return decode_joined(df, vocab, ids, out, skip_special, keys)
     rows = vocab.select("id", "piece", F.coalesce("is_special", F.lit(False)).alias("sp")).collect()
     size = max((r["id"] for r in rows), default=-1) + 2
+    byte_of = np.full(size, -1)
+    for r in rows:
+        if r["piece"] in _BYTE_OF:
+            byte_of[r["id"]] = _BYTE_OF[r["piece"]]
+    in_bytes = (byte_of >= 0).sum() == len(_BYTE_OF)
     plain = [""] * size                 # the last entry stands for every unknown id
     shown = [""] * size
     for r in rows:
@@ -237,6 +242,8 @@ def decode(df: DataFrame, vocab: DataFrame, ids: str = "input_ids", out: str = "
             at = pc.fill_null(col.flatten(), -1).to_numpy(zero_copy_only=False).astype(np.int64)
             at = pa.array(np.where((at < 0) | (at >= size - 1), size - 1, at))
             text = pc.binary_join(pa.ListArray.from_arrays(offsets, table.take(at)), "")
+            if in_bytes:
+                text = _spell_bytes(text, at.to_numpy(), offsets.to_numpy(), byte_of, shown)
             text = pc.replace_substring(text, tx.METASPACE, " ")
             text = pc.replace_substring_regex(text, r"\A ", "")
             cols = [*b.columns[:len(keys)], text]
@@ -247,6 +254,23 @@ def decode(df: DataFrame, vocab: DataFrame, ids: str = "input_ids", out: str = "
     return df.select(*keys, ids).mapInArrow(run, T.StructType(fields))
 
 
+_BYTE_OF = {p: b for b, p in enumerate(tx.BYTE_PIECES)}
+
+
+def _spell_bytes(text: pa.Array, at: np.ndarray, offsets: np.ndarray, byte_of: np.ndarray, shown: list[str]) -> pa.Array:
+    """The texts again, with runs of byte pieces as the characters they spell
+    (only rows that hold byte pieces are touched)."""
+    total = np.concatenate([[0], np.cumsum(byte_of[at] >= 0)])
+    rows = np.flatnonzero(np.diff(total[offsets]))
+    if not len(rows):
+        return text
+    out = text.to_pylist()
+    for i in rows.tolist():
+        parts = [bytes([byte_of[x]]) if byte_of[x] >= 0 else shown[x].encode() for x in at[offsets[i]:offsets[i + 1]].tolist()]
+        out[i] = b"".join(parts).decode("utf-8", "replace")
+    return pa.array(out, pa.string())
+
+
 def decode_joined(df: DataFrame, vocab: DataFrame, ids: str = "input_ids", out: str = "decoded",
                   skip_special: bool = True, key: str | Sequence[str] = "row_id") -> DataFrame:
     """T6 as a join, for a vocabulary that no task should hold: posexplode, join

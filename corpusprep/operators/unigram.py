@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from corpusprep.functions import text as tx
 from corpusprep.operators.tokenise import _map_pieces, map_pieces_by_unique, pre_tokenise
-from corpusprep.operators.vocab import word_counts
+from corpusprep.operators.vocab import char_coverage, piece_counts, word_counts
 from corpusprep.session import BROADCAST_ROW_LIMIT, reliable_checkpoint
 
 UNIGRAM_VOCAB_SCHEMA = "id int, piece string, score double, is_special boolean"
@@ -165,16 +165,54 @@ def _normalise(counts: dict[str, float], keep: set[str]) -> dict[str, float]:
     return {p: math.log(max(counts.get(p, 0.0), floor) / tot) for p in keep}
 
 
+def training_words(df: DataFrame, text: str = "text", normalise: str | None = None, split_scripts: bool = False,
+                   max_bytes: int | None = None, sentences: int | None = None, key: str | None = None,
+                   seed: int = 42) -> DataFrame:
+    """(piece, freq) of the training text, in the order of the usual recipe: drop
+    over-long sentences, sample sentences (needs ``key``), normalise, cut into
+    metaspace pieces and, with ``split_scripts``, each of them into runs of one
+    script and single digits (the '▁' stays with what follows it)."""
+    from corpusprep.operators import split
+    if max_bytes:
+        df = split.max_bytes(df, max_bytes, text)
+    if sentences:
+        df = split.take(df, sentences, key, seed)
+    if normalise:
+        df = df.withColumn(text, tx.normalize_text(F.col(text), normalise))
+    if not split_scripts:
+        return word_counts(df, text)
+    return piece_counts(df, tx.metaspace_script_pieces(F.col(text)))
+
+
+def covered(words: DataFrame, coverage: float) -> tuple[DataFrame, list[str]]:
+    """Words cut at the characters outside the most frequent ``coverage`` share
+    of the text, and these characters (both bounded by the alphabet)."""
+    chars = (words.select(F.explode(tx.chars(F.col("piece"))).alias("piece"), "freq")
+             .groupBy("piece").agg(F.sum("freq").alias("freq")))
+    chars = reliable_checkpoint(chars)
+    rare = [r["piece"] for r in chars.join(char_coverage(chars, coverage).select("piece"), "piece", "left_anti").collect()]
+    if not rare:
+        return words, []
+    cut = F.split(F.translate(F.col("piece"), "".join(rare), "\0" * len(rare)), "\0")
+    return (words.select(F.explode(cut).alias("piece"), "freq").filter(F.col("piece") != "")
+            .groupBy("piece").agg(F.sum("freq").alias("freq"))), rare
+
+
 def train_unigram(df: DataFrame, vocab_size: int, specials: Sequence[str], text: str = "text",
-                  seed_size: int = 100_000, max_piece_len: int = 16, shrink: float = 0.75,
-                  sub_iters: int = 2, history: list | None = None) -> DataFrame:
-    """V2: (id, piece, score, is_special); specials first, then pieces by
-    score desc. ``history`` (optional list) receives (stage, log-likelihood)
-    per EM round."""
+                  seed_size: int = 1_000_000, max_piece_len: int = 16, shrink: float = 0.75,
+                  sub_iters: int = 2, history: list | None = None, coverage: float = 1.0,
+                  byte_fallback: bool = False, **recipe) -> DataFrame:
+    """V2: (id, piece, score, is_special); specials first, then (with
+    ``byte_fallback``) the 256 byte pieces, then pieces by score desc. Characters
+    outside ``coverage`` get no piece of their own. ``recipe``: the options of
+    ``training_words``. ``history`` (optional list) receives (stage,
+    log-likelihood) per EM round."""
     spark = df.sparkSession
     # E-steps are CPU-bound per word: spread the word table over every core
     # (an aggregate's output may have been coalesced into a few partitions)
-    counts = word_counts(df, text)
+    counts = reliable_checkpoint(training_words(df, text, **recipe))
+    if coverage < 1.0:
+        counts, _ = covered(counts, coverage)
     n_words = counts.count()
     parts = max(spark.sparkContext.defaultParallelism, -(-n_words // WORDS_PER_PARTITION))
     words = reliable_checkpoint(counts.repartition(parts))
@@ -184,15 +222,16 @@ def train_unigram(df: DataFrame, vocab_size: int, specials: Sequence[str], text:
         lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(L), F.length("piece") - i)),
                               lambda k: F.substring("piece", i + 1, k)))).alias("ss"), "freq")
     subs = subs.select(F.explode("ss").alias("sub"), "freq").groupBy("sub").agg(F.sum("freq").alias("freq"))
-    chars = [r["sub"] for r in subs.filter(F.length("sub") == 1).limit(BROADCAST_ROW_LIMIT).collect()]
+    # one row per character: bounded by the code points there are
+    char_freq = {r["sub"]: float(r["freq"]) for r in subs.filter(F.length("sub") == 1).collect()}
     seed_rows = (subs.filter((F.length("sub") > 1) & (F.col("freq") >= 2))
                  .orderBy(F.desc(F.col("freq") * F.length("sub")), "sub").limit(int(seed_size)).collect())
-    pieces = set(chars) | {r["sub"] for r in seed_rows}
+    pieces = set(char_freq) | {r["sub"] for r in seed_rows}
     freq0 = {r["sub"]: float(r["freq"]) for r in seed_rows}
-    char_freq = {r["sub"]: float(r["freq"]) for r in subs.filter(F.length("sub") == 1).collect()}
     freq0.update(char_freq)
     scores = _normalise(freq0, pieces)
-    target = vocab_size - len(specials)
+    heads = [*specials, *(tx.BYTE_PIECES if byte_fallback else ())]
+    target = vocab_size - len(heads)
 
     def model_of(sc):
         # lattice edges only up to the longest piece still in the vocabulary
@@ -226,19 +265,21 @@ def train_unigram(df: DataFrame, vocab_size: int, specials: Sequence[str], text:
     if len(ordered) > target:
         chars_first = [x for x in ordered if len(x[0]) == 1] + [x for x in ordered if len(x[0]) > 1]
         ordered = sorted(chars_first[:target], key=lambda x: (-x[1], x[0]))
-    k = len(specials)
-    rows = [(i, s, 0.0, True) for i, s in enumerate(specials)]
-    rows += [(k + i, p, float(sc), False) for i, (p, sc) in enumerate(ordered) if p not in specials]
+    rows = [(i, p, 0.0, i < len(specials)) for i, p in enumerate(heads)]
+    learned = [x for x in ordered if x[0] not in specials]
+    rows += [(len(heads) + i, p, float(sc), False) for i, (p, sc) in enumerate(learned)]
     return spark.createDataFrame(rows, UNIGRAM_VOCAB_SCHEMA)
 
 
 class UnigramEncoder:
     """Picklable Viterbi encoder: pieces -> ids (specials whole; unknown
-    characters -> unk id); per-task cache of encoded words."""
+    characters -> their byte pieces when the vocabulary has them, else unk
+    id); per-task cache of encoded words."""
 
     def __init__(self, scores: dict[str, float], ids: dict[str, int], specials: Sequence[str],
                  unk_id: int, max_len: int):
         self.scores, self.ids, self.specials, self.unk_id, self.max_len = scores, ids, list(specials), unk_id, max_len
+        self.bytes = all(p in ids for p in tx.BYTE_PIECES)
         self._cache = None
 
     def __getstate__(self):
@@ -259,7 +300,14 @@ class UnigramEncoder:
             out = [self.ids[w]]
         else:
             _, seg = self._m.viterbi(w)
-            out = [self.ids.get(p, self.unk_id) for p in seg]
+            out = []
+            for p in seg:
+                if p in self.scores:
+                    out.append(self.ids[p])
+                elif self.bytes:
+                    out += [self.ids[tx.BYTE_PIECES[x]] for x in p.encode()]
+                else:
+                    out.append(self.unk_id)
         if len(self._cache) < 1_000_000:
             self._cache[w] = out
         return out
@@ -273,7 +321,8 @@ def make_unigram_encoder(vocab: DataFrame, specials: Sequence[str] = (), unk: st
     if len(rows) > BROADCAST_ROW_LIMIT:
         raise ValueError("vocabulary too large to broadcast")
     ids = {r["piece"]: int(r["id"]) for r in rows}
-    scores = {r["piece"]: float(r["score"]) for r in rows if not r["is_special"]}
+    in_bytes = set(tx.BYTE_PIECES) if set(tx.BYTE_PIECES) <= set(ids) else set()
+    scores = {r["piece"]: float(r["score"]) for r in rows if not r["is_special"] and r["piece"] not in in_bytes}
     max_len = max((len(p) for p in scores), default=1)
     return UnigramEncoder(scores, ids, specials, ids.get(unk, 0), max_len)
 
@@ -287,7 +336,3 @@ def encode_unigram(df: DataFrame, enc: UnigramEncoder, text: str = "text", out:
 def score_table(vocab: DataFrame) -> DataFrame:
     """V6 for a unigram vocabulary: (id, piece, score), unknown id 0 scored 0."""
     return vocab.select("id", "piece", F.when(F.col("is_special"), F.lit(0.0)).otherwise(F.col("score")).alias("score"))
-
-
-def metaspace_text(text) -> F.Column:
-    return tx.metaspace(text)
