@@ -41,7 +41,7 @@ def t1_encode_bpe(spark, sf):
 from corpusprep.operators import unigram  # noqa: E402
 
 UNIGRAM_VOCAB = 500
-UNIGRAM_SEED = 10_000      # of the library default of 1,000,000: the EM rounds over all seeds are the cost
+UNIGRAM_SEED = 2000        # of the library default of 1,000,000: the EM rounds over all seeds are the cost
 
 
 def unigram_vocab(spark, sf):
