@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from corpusprep.llm.common import small, table, text_key
 from corpusprep.llm.mixing import seeded
 
-MAX_DOCS = 500          # training documents per language
-MAX_WORDS = 150_000     # and their words
+MAX_DOCS = 400          # training documents per language
+MAX_WORDS = 100_000     # and their words
 QUANTILE = 0.99
 MARGIN = 1.5            # a limit is the quantile times this
 # The perplexity of a short text rests on few words: its limit is wider by
