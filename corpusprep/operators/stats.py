@@ -18,7 +18,9 @@ def _ntok(col: str):
 
 def token_stats(df: DataFrame, ids: str = "input_ids",
                 by: tuple[str, ...] = ("dataset", "split")) -> DataFrame:
-    """A1: per dataset/split total tokens, examples and average (0 when empty)."""
+    """A1: per dataset/split total tokens, examples and average (0 when empty).
+    A row's tokens are the length of its ``ids``: of nested preference ids that
+    is the number of sequences, 2 a row."""
     g = df.groupBy(*by).agg(F.sum(_ntok(ids)).alias("total_tokens"),
                             F.count(F.lit(1)).alias("examples"))
     return g.withColumn("avg_tokens", F.round(F.when(F.col("examples") > 0,
@@ -41,9 +43,9 @@ def token_stats_total(df: DataFrame, ids: str = "input_ids") -> DataFrame:
 
 def count_tokens(df: DataFrame, ids: str = "input_ids") -> DataFrame:
     """A3: tokens per split (splits with 0 tokens not reported) plus 'ALL'."""
-    per = df.groupBy("split").agg(F.sum(_ntok(ids)).alias("tokens")).filter(F.col("tokens") > 0)
-    tot = df.agg(F.sum(_ntok(ids)).alias("tokens")).select(F.lit(ALL).alias("split"), "tokens")
-    return per.unionByName(tot.filter(F.col("tokens") > 0))
+    g = (df.rollup("split").agg(F.sum(_ntok(ids)).alias("tokens"), F.grouping_id().alias("_gid"))
+         .filter(F.col("tokens") > 0))
+    return g.select(F.when(F.col("_gid") == 1, F.lit(ALL)).otherwise(F.col("split")).alias("split"), "tokens")
 
 
 def dataset_sizes(df: DataFrame, by: tuple[str, ...] = ("dataset", "split")) -> DataFrame:

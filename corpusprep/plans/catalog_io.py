@@ -8,10 +8,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusprep.functions import text as tx
-from corpusprep.operators import pack, split, vocab
+from corpusprep.operators import pack, split, stats, tree, vocab
 from corpusprep.plans import jobs
 from corpusprep.plans import sqlparts as S
-from corpusprep.plans.catalog import (BATCH, CTX, CORPUS_CHUNK, MAX_LINES, MAX_SAMPLES, ORACLE, SEED,
+from corpusprep.plans.catalog import (_PAIR_ROWS, BATCH, CTX, CORPUS_CHUNK, MAX_LINES, MAX_SAMPLES, ORACLE, SEED, chat_vocab,
                                       pretrain_tokens, register, split_text, word_vocab)
 from corpusprep.sources import io
 from corpusprep.sources import tables as tb
@@ -179,3 +179,46 @@ def t5_tokenize_all(spark, sf):
     src = _written_splits(spark, sf)
     v = vocab.train_word_vocab(io.read_splits(spark, src, "all", ["train"]), 32000, ["[UNK]", "[PAD]", "[SOS]", "[EOS]"])
     return jobs.tokenize_all(spark, src, io.scratch_path(spark, "tokenised"), v)
+
+
+# T5 in the two post-training modes: conversations as instruction rows (every
+# tenth in the test split) and as preference pairs.
+
+_LEN = f"len({S.pieces_with_specials('p', S.ALL_SPECIALS)}) + len({S.pieces_with_specials('c', S.ALL_SPECIALS)}) - 1"
+_SFT = (f"select 'alpaca' as dataset, case when id % 10 = 0 then 'test' else 'train' end as split, {_LEN} as n "
+        f"from (select id, prompt as p, completion as c from ({S.sft_rows()}))")
+
+
+def _stats_sql(rows: str) -> str:
+    agg = "cast(sum(n) as bigint) as total_tokens, count(*) as examples, round(sum(n) / count(*), 6) as avg_tokens"
+    return (f"with r as ({rows}) select dataset, split, {agg} from r group by dataset, split "
+            f"union all select 'ALL', 'ALL', {agg} from r")
+
+
+@register("t5_tokenize_all_sft", _stats_sql(_SFT))
+def t5_tokenize_all_sft(spark, sf):
+    p, c = tx.format_instruction("instruction", "input", "output")
+    rows = tb.instructions(spark, sf).select(
+        F.lit("alpaca").alias("dataset"), F.when(F.col("id") % 10 == 0, "test").otherwise("train").alias("split"),
+        "id", p.alias("prompt"), c.alias("completion"))
+    root = io.write_splits(rows, io.scratch_path(spark, "sft"))
+    return jobs.tokenize_all(spark, root, io.scratch_path(spark, "sft-tokenised"), chat_vocab(spark, sf),
+                             splits=("train", "test"), mode="post_training_sft")
+
+
+@register("t5_tokenize_all_preference",
+          _stats_sql(f"select 'openassistant' as dataset, 'train' as split, 2 as n from ({_PAIR_ROWS})"))
+def t5_tokenize_all_preference(spark, sf):
+    """A row's nested ids count as 2 (A1)."""
+    pairs = tree.preference_pairs(tb.messages(spark, sf)).select(
+        F.lit("openassistant").alias("dataset"), F.lit("train").alias("split"), "node_id", "accepted_id", "rejected_id",
+        "prompts", "accepted", "rejected")
+    root = io.write_splits(pairs, io.scratch_path(spark, "pairs"))
+    return jobs.tokenize_all(spark, root, io.scratch_path(spark, "pairs-tokenised"), chat_vocab(spark, sf),
+                             splits=("train",), mode="post_training_rl")
+
+
+@register("a11_batches_per_epoch_rows",
+          f"select split, count(*) as rows, count(*) // {BATCH} as batches from ({_SPLIT}) group by split")
+def a11_batches_per_epoch_rows(spark, sf):
+    return stats.batches_per_epoch_rows(split_text(spark, sf), BATCH)

@@ -18,13 +18,13 @@ from corpusprep.sources import io
 
 def tokenize_all(spark: SparkSession, in_root: str, out_root: str, vocab: DataFrame,
                  names: str | Sequence[str] = "all", mode: str = "pre_training",
-                 profile: str = "post_training_v1") -> DataFrame:
+                 profile: str = "post_training_v1", splits: Sequence[str] = io.SPLITS) -> DataFrame:
     """T5: read every chosen dataset x split (S1) -> tokenise per mode
     (T2/T3/T4) -> write the tokenised table (K1) -> token statistics with the
     grand total (A2), computed from the written table."""
     p = get_profile(profile)
     p.check_mode(mode)
-    src = io.read_splits(spark, in_root, names)
+    src = io.read_splits(spark, in_root, names, splits)
     lk = tokenise.make_lookup(vocab)
     if mode == "pre_training":
         tok = tokenise.tokenize_pretrain(src, lk)
@@ -33,4 +33,4 @@ def tokenize_all(spark: SparkSession, in_root: str, out_root: str, vocab: DataFr
     else:
         tok = tokenise.tokenize_preference(src, lk, p.specials)
     io.write_splits(tok, out_root)
-    return stats.token_stats_total(io.read_splits(spark, out_root, names))
+    return stats.token_stats_total(io.read_splits(spark, out_root, names, splits))
