@@ -4,7 +4,9 @@ An interpolated modified Kneser-Ney model of word trigrams is trained on
 trusted documents; joins of every document's n-grams with the count tables,
 sharded by n-gram key, give its perplexity; a document whose perplexity is
 above its language's limit, a quantile over trusted documents that the model
-has not seen, is rejected.
+has not seen, is rejected. Perplexities are compared after division by their
+length's allowance, in the quantile as in the test. An upper limit cannot see
+junk that the model finds likely, such as one common word repeated.
 
 The training text is a bounded sample of the trusted documents
 (``max_docs`` and ``max_words`` per language). Everything else, the scores and
@@ -22,7 +24,6 @@ from corpusprep.llm.mixing import seeded
 MAX_DOCS = 400          # training documents per language
 MAX_WORDS = 100_000     # and their words
 QUANTILE = 0.99
-MARGIN = 1.5            # a limit is the quantile times this
 # The perplexity of a short text rests on few words: its limit is wider by
 # exp(SHORT / sqrt(n)), n its length in words of WORD_CHARS characters.
 SHORT = 2.0
@@ -59,6 +60,11 @@ def discount(d: list[float]) -> Column:
     return F.when(F.col("c") == 1, F.lit(d[0])).when(F.col("c") == 2, F.lit(d[1])).otherwise(F.lit(d[2]))
 
 
+def allowance(size: Column, short: float) -> Column:
+    """How much wider the limit of a text of ``size`` words is."""
+    return F.exp(F.lit(short) / F.sqrt(size))
+
+
 def train(sample: DataFrame, text: str = "text") -> dict:
     """Model tables of a bounded sample: ``m3(k, lp)``, ``m2(k, lp, g)``,
     ``m1(k, lp, g)`` (natural logarithms; ``g`` is the weight left to the lower
@@ -116,7 +122,7 @@ def perplexities(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
 
 def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang",
              max_docs: int = MAX_DOCS, max_words: int = MAX_WORDS, quantile: float = QUANTILE,
-             margin: float = MARGIN, short: float = SHORT, seed: int = SEED) -> DataFrame:
+             short: float = SHORT, seed: int = SEED) -> DataFrame:
     """Per row of ``docs``: ``key, lang, node`` (key of the text), ``perplexity``,
     ``limit`` and ``kept``.
 
@@ -143,10 +149,10 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     scores = table(perplexities(docs, model, text), "perplexity")
     held = trusted.filter(F.col("h") % 2 == 0).join(picked, "node", "left_anti")
     limits = (held.join(scores, "node").groupBy("l")
-              .agg((F.percentile_approx("perplexity", quantile, 10_000) * margin).alias("limit")))
+              .agg(F.percentile_approx(F.col("perplexity") / allowance(F.col("size"), short), quantile, 10_000).alias("limit")))
     limits = table(limits, "limits")
     out = narrow.join(scores, "node").join(small(limits, limits.count()), "l", "left")
-    out = out.withColumn("limit", F.col("limit") * F.exp(F.lit(short) / F.sqrt("size")))
+    out = out.withColumn("limit", F.col("limit") * allowance(F.col("size"), short))
     return out.select(F.col("doc").alias(key), F.col("lang").alias(lang), "node", "perplexity", "limit",
                       (F.col("limit").isNull() | (F.col("perplexity") <= F.col("limit"))).alias("kept"))
 

@@ -3,8 +3,11 @@
 import math
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
 from corpusprep.llm import quality
 from corpusprep.llm.common import read
+from corpusprep.llm.mixing import seeded
 from conftest import SMALL
 from llm import brute
 
@@ -88,6 +91,25 @@ def test_clean_documents_stay_and_junk_goes(spark):
     assert r[0, False] > 0.6 * (r[0, False] + r.get((0, True), 0))
 
 
+def test_limits_are_no_wider_than_unseen_trusted_texts(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = read(spark, sf, "documents"), read(spark, sf, "labels")
+    size = (F.length("text") / quality.WORD_CHARS + 1).cast("long")
+    rows = (quality.classify(docs, labels).join(docs.select("doc_id", size.alias("size")), "doc_id")
+            .join(labels.select("doc_id", "quality", "toxic"), "doc_id")
+            .withColumn("h", seeded(quality.SEED, F.col("doc_id"))).collect())
+    wide = lambda r: math.exp(quality.SHORT / math.sqrt(r["size"]))
+    unseen = defaultdict(list)
+    for r in rows:
+        if r["quality"] == 1 and not r["toxic"] and r["h"] % 2 == 0:
+            unseen[r["lang"]].append(r["perplexity"] / wide(r))
+    assert unseen
+    for r in rows:
+        assert r["limit"] / wide(r) <= max(unseen[r["lang"]]) * 1.0001
+    junk = [r["kept"] for r in rows if r["quality"] == 0]
+    assert junk.count(False) > 0.93 * len(junk)
+
+
 def test_awkward_rows(spark):
     docs = brute.awkward(spark)
     labels = spark.createDataFrame([(1, 1, 0), (2, 1, None), (3, None, None), (None, 1, 0), (9, 0, 1), (11, 1, 0), (12, 1, 0), (12, 1, 0)],
