@@ -143,9 +143,9 @@ def global_rank(df: DataFrame, order: Sequence, out: str = "rank",
 
 
 def prefix_sum(df: DataFrame, order: Sequence, value: str, out: str = "cum",
-               inclusive: bool = True, num_partitions: int | None = None) -> DataFrame:
+               inclusive: bool = True, num_partitions: int | None = None, unique: bool = True) -> DataFrame:
     """Running sum of ``value`` along ``order`` (two-phase, distributed; order
-    keys must be unique).
+    keys must be unique, or ``unique=False``: all columns take the range shuffle).
 
     Only the order columns and ``value`` are range-partitioned. Phase 1:
     per-partition totals (P numbers). Phase 2: an Arrow pass inside each
@@ -153,7 +153,7 @@ def prefix_sum(df: DataFrame, order: Sequence, value: str, out: str = "cum",
     are joined on the keys."""
     columns = df.columns
     df, keys, names = _keyed(df, order, [value])
-    r = _ranged(keys, [F.col(n) for n in names], num_partitions)
+    r = _ranged(keys if unique else df, [F.col(n) for n in names], num_partitions)
     bases = {p: s for p, (_, s) in _partition_bases(r, F.col(value)).items()}
     schema = T.StructType(list(r.schema.fields) + [T.StructField(out, T.LongType(), False)])
     vi = r.columns.index(value)
@@ -173,21 +173,21 @@ def prefix_sum(df: DataFrame, order: Sequence, value: str, out: str = "cum",
                 list(b.columns) + [pa.array(col, pa.int64())],
                 schema=b.schema.append(pa.field(out, pa.int64(), nullable=False)))
 
-    return _attach(df, r.mapInArrow(scan, schema), names, out, columns, True)
+    return _attach(df, r.mapInArrow(scan, schema), names, out, columns, unique)
 
 
 def rank_within(df: DataFrame, group: str, order: Sequence, out: str = "rank",
-                num_partitions: int | None = None) -> DataFrame:
+                num_partitions: int | None = None, unique: bool = True) -> DataFrame:
     """Position inside ``group``, without a per-group window and without a join
     on ``group``: a group with any share of the rows spreads over as many tasks
     as its range needs.
 
     The rows are ranked by (group, order). Where a group starts follows from a
     few numbers per partition (first and last group, where the last one
-    starts); an Arrow pass subtracts it."""
+    starts); an Arrow pass subtracts it. ``unique`` as in ``prefix_sum``."""
     columns = df.columns
     df, keys, names = _keyed(df, order, [group])
-    r = _ranged(keys, [F.col(group), *[F.col(n) for n in names]], num_partitions)
+    r = _ranged(keys if unique else df, [F.col(group), *[F.col(n) for n in names]], num_partitions)
     ends = r.groupBy("_pid").agg(F.count(F.lit(1)).alias("n"), F.min_by(F.struct(group), "_mid").alias("first"),
                                  F.max_by(F.struct(group), "_mid").alias("last"))
     ends = reliable_checkpoint(ends)
@@ -228,7 +228,7 @@ def rank_within(df: DataFrame, group: str, order: Sequence, out: str = "rank",
                 schema=b.schema.append(pa.field(out, pa.int64(), nullable=False)))
 
     ranked = r.mapInArrow(scan, schema)
-    return _attach(df, ranked, list(dict.fromkeys([group, *names])), out, columns, True)
+    return _attach(df, ranked, list(dict.fromkeys([group, *names])), out, columns, unique)
 
 
 def keys_at(df: DataFrame, positions: Sequence[int], order: Sequence, num_partitions: int | None = None):

@@ -104,13 +104,13 @@ def sample_by_fraction(df: DataFrame, fractions: dict[str, float], key: str,
 
 
 def interleave(df: DataFrame, group: str, order: Sequence[str], group_order: Sequence[str],
-               stop: str = "first_exhausted") -> DataFrame:
+               stop: str = "first_exhausted", unique: bool = True) -> DataFrame:
     """Round-robin over groups in ``group_order``; stops when the first
     group runs out. Output has ``rn`` (round) and ``gi`` (group index) and a
-    global ``position``."""
+    global ``position``. ``unique=False``: rows of a group may repeat in ``order``."""
     spark = df.sparkSession
     gi = spark.createDataFrame([(g, i) for i, g in enumerate(group_order)], f"{group} string, gi int")
-    ranked = rank_within(df.join(F.broadcast(gi), group), group, list(order), out="rn")
+    ranked = rank_within(df.join(F.broadcast(gi), group), group, list(order), out="rn", unique=unique)
     counts = ranked.groupBy(group).count().collect()
     m = min(r["count"] for r in counts) if len(counts) == len(group_order) else 0
     if stop == "first_exhausted":

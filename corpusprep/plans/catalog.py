@@ -213,14 +213,14 @@ _ART = (f"select pos, text, sum(case when regexp_matches(text, '{S.TITLE}') then
 
 @register("w1_article_id", f"select pos, cast(article_id as bigint) as article_id from ({_ART})")
 def w1_article_id(spark, sf):
-    return segment.article_ids(tb.wiki_lines(spark, sf)).select("pos", "article_id")
+    return segment.article_ids(tb.placed_wiki_lines(spark, sf), tb.WIKI_ORDER).select("pos", "article_id")
 
 
 @register("a4_coalesce_articles",
           rf"select cast(article_id as bigint) as article_id, regexp_replace(string_agg(text, '' order by pos), '^\s+|\s+$', '', 'g') as text "
           rf"from ({_ART}) where regexp_replace(text, '\s', '', 'g') <> '' group by article_id")
 def a4_coalesce_articles(spark, sf):
-    return segment.coalesce_articles(tb.wiki_lines(spark, sf))
+    return segment.coalesce_articles(tb.placed_wiki_lines(spark, sf), tb.WIKI_ORDER)
 
 
 # --------------------------------------------------------------------------

@@ -236,10 +236,12 @@ _U2_KEYS = ("select 'documents' as dataset, doc_id as k from documents union all
           "select dataset, k, cast((rn - 1) * 2 + gi as bigint) as position from r where rn <= (select m from m)")
 def u2_interleave(spark, sf):
     a = tb.read_table(spark, sf, "documents").select(F.lit("documents").alias("dataset"),
-                                                     F.col("doc_id").cast("long").alias("k"))
+                                                     F.col("doc_id").cast("long").alias("k"),
+                                                     F.col("doc_id").alias("_id"), F.lit(0).alias("_turn"))
     b = tb.read_table(spark, sf, "conversations").select(
-        F.lit("conversations").alias("dataset"), (F.col("conv_id") * 1000 + F.col("turn")).cast("long").alias("k"))
-    out = split.interleave(split.union_all([a, b]), "dataset", ["k"], ["documents", "conversations"])
+        F.lit("conversations").alias("dataset"), (F.col("conv_id") * 1000 + F.col("turn")).cast("long").alias("k"),
+        F.col("conv_id").alias("_id"), F.col("turn").alias("_turn"))
+    out = split.interleave(split.union_all([a, b]), "dataset", ["_id", "_turn"], ["documents", "conversations"], unique=False)
     return out.select("dataset", "k", F.col("position").cast("long"))
 
 

@@ -122,7 +122,7 @@ def _registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         return tb.text_table(spark, sf).select("dataset", "text")
 
     def wiki(spark, sf):
-        return segment.coalesce_articles(tb.wiki_lines(spark, sf)).select(F.lit("wiki").alias("dataset"), "text")
+        return segment.coalesce_articles(tb.placed_wiki_lines(spark, sf), tb.WIKI_ORDER).select(F.lit("wiki").alias("dataset"), "text")
 
     def books(spark, sf):
         b = tb.books(spark, sf)

@@ -21,7 +21,7 @@ from corpusprep.operators.order import hash_int, rank_within
 from corpusprep.session import ship_package
 
 # Fixed values of the derivations (must equal the oracle SQL).
-WIKI_LINE_STRIDE = 100000      # pos = doc_id * stride + line index
+WIKI_LINE_STRIDE = 100000      # pos = doc_id * stride + line index: a name for a line, not its order
 BOOK_AUTHOR_NULL_MOD = 7       # author NULL when doc_id % 7 = 0
 BOOK_YEAR_BASE = 1900          # date = 1900 + doc_id % 100
 MESSAGE_GROUP = 4              # conversations grouped by conv_id div 4
@@ -55,19 +55,27 @@ def text_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("lang").alias("dataset"), "doc_id", "source", "text")
 
 
+# Order of the lines: documents of one doc_id (or none) stay apart by their
+# text, exact copies by the row they came from.
+WIKI_ORDER = ("doc_id", "doc", "copy", "line")
+
+
+def placed_wiki_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flat line stream: per document a title line, a blank line, then every
+    text line, each ending in a newline; ordered by ``WIKI_ORDER``."""
+    d = read_table(spark, sf_dir, "documents").select(
+        "doc_id", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("doc"),
+        F.monotonically_increasing_id().alias("copy"), "text")
+    title = F.concat(F.lit(" = Doc "), F.col("doc_id").cast("string"), F.lit(" = \n"))
+    body = F.transform(F.split("text", "\n"), lambda x: F.concat(x, F.lit("\n")))
+    lines = F.concat(F.array(title, F.lit(" \n")), F.coalesce(body, F.array().cast("array<string>")))
+    return (d.select("doc_id", "doc", "copy", F.posexplode(lines).alias("line", "text"))
+            .withColumn("pos", F.col("doc_id") * WIKI_LINE_STRIDE + F.col("line")))
+
+
 def wiki_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flat ordered line stream: per document a title line, a blank line, then
-    every text line, each ending in a newline; order column ``pos``."""
-    d = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    base = F.col("doc_id") * WIKI_LINE_STRIDE
-    title = d.select(base.alias("pos"),
-                     F.concat(F.lit(" = Doc "), F.col("doc_id").cast("string"),
-                              F.lit(" = \n")).alias("text"))
-    blank = d.select((base + 1).alias("pos"), F.lit(" \n").alias("text"))
-    body = (d.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
-            .select((F.col("doc_id") * WIKI_LINE_STRIDE + 2 + F.col("i")).alias("pos"),
-                    F.concat("line", F.lit("\n")).alias("text")))
-    return title.unionByName(blank).unionByName(body)
+    """The lines with their ``pos`` only, in no order."""
+    return placed_wiki_lines(spark, sf_dir).select("pos", "text")
 
 
 def word_count(text) -> F.Column:
