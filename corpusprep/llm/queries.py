@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusprep.llm import bpe_boundary, lattice, license_scan, line_dedup, lm_automaton, mixing, ngram_join, quality, token_binary, topk_search
+from corpusprep.llm import bpe_boundary, bpe_segment_tree, lattice, license_scan, line_dedup, lm_automaton, mixing, ngram_join, quality, token_binary, topk_search
 from corpusprep.llm.common import read, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,3 +83,11 @@ def op9_license_scan(spark, sf):
 @register("op10_bpe_boundary")
 def op10_bpe_boundary(spark, sf):
     return bpe_boundary.encode_decode(read(spark, sf, "documents"), vocabulary())
+
+
+@register("op13_bpe_segment_tree")
+def op13_bpe_segment_tree(spark, sf):
+    import public_tokenizers
+
+    return bpe_segment_tree.encode_decode(read(spark, sf, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
+                                          public_tokenizers.PATTERN)
