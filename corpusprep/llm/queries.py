@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusprep.llm import bpe_boundary, bpe_segment_tree, lattice, license_scan, line_dedup, lm_automaton, mixing, ngram_join, quality, token_binary, topk_search
-from corpusprep.llm.common import read, scratch_path
+from corpusprep.llm import bpe_boundary, bpe_segment_tree, lattice, license_scan, line_dedup, lm_automaton, merkle, mixing, ngram_join, quality, token_binary, topk_search
+from corpusprep.llm.common import ascii_lower, read, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -85,6 +85,16 @@ def op10_bpe_boundary(spark, sf):
     return bpe_boundary.encode_decode(read(spark, sf, "documents"), vocabulary())
 
 
+@register("op11_merkle", merkle.oracle())
+def op11_merkle(spark, sf):
+    docs = read(spark, sf, "documents")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    now = {"text": F.when(tampered, ascii_lower(F.col("text"))).otherwise(F.col("text"))}
+    path = scratch_path(spark, "merkle")
+    merkle.write(merkle.leaves(docs, "doc_id", ["doc_id", "source", "lang", "n_chars", "text"], "lang", now), path)
+    return merkle.verify(spark, path)
+
+
 @register("op13_bpe_segment_tree")
 def op13_bpe_segment_tree(spark, sf):
     import public_tokenizers
