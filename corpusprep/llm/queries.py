@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusprep.llm import bpe_boundary, bpe_segment_tree, lattice, license_scan, line_dedup, lm_automaton, merkle, mixing, ngram_join, quality, token_binary, topk_search
+from corpusprep.llm import bpe_boundary, bpe_segment_tree, cover_tree, lattice, license_scan, line_dedup, lm_automaton, merkle, mixing, ngram_join, quality, token_binary, topk_search
 from corpusprep.llm.common import ascii_lower, read, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,6 +95,18 @@ def op11_merkle(spark, sf):
     return merkle.verify(spark, path)
 
 
+@register("op12_cover_tree", cover_tree.oracle())
+def op12_cover_tree(spark, sf):
+    v = read(spark, sf, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    # floor() would turn NaN into a number: components that are not finite stay
+    odd = lambda x: F.isnan(x) | (F.abs(x) == float("inf"))
+    whole = F.transform("embedding", lambda x: F.when(odd(x), x.cast("double")).otherwise(
+        F.floor(256 * x.cast("double")).cast("double")))
+    v = v.select("vec_id", label.alias("label"), whole.alias("embedding"))
+    return cover_tree.mine(v, F.col("vec_id") % 50 == 0)
+
+
 @register("op13_bpe_segment_tree")
 def op13_bpe_segment_tree(spark, sf):
     import public_tokenizers
