@@ -90,10 +90,25 @@ def signatures(docs: DataFrame, key: str, text: str, k: int, bands: int, rows: i
     return src.mapInArrow(run, schema)
 
 
-def link_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, weight: np.ndarray,
-                similarity: float):
-    """Links between texts marked ``left`` and texts marked ``right``: per text
-    the weights of its partners, and the smallest index it reaches by links."""
+def closure(linked: np.ndarray) -> np.ndarray:
+    """Smallest index that each row of a link matrix reaches."""
+    n = len(linked)
+    root = np.arange(n)
+    while True:     # smallest label among the neighbours, then along pointers
+        near = np.where(linked, root[None, :], n).min(axis=1, initial=n)
+        new = np.minimum(root, near)
+        new = np.minimum(new, new[new])
+        if (new == root).all():
+            return root
+        root = new
+
+
+def link_counts(sets: list[np.ndarray], side: np.ndarray, weight: np.ndarray, similarity: float):
+    """Links among the texts of one block (``side`` all equal), or between the
+    two blocks that ``side`` tells apart: per text the weights of its partners
+    and a smaller index that it reaches, or its own. Between blocks only the
+    first text of what is linked inside a block names another one, so the second
+    list holds the edges that the blocks' own texts do not give already."""
     n = len(sets)
     size = np.array([len(s) for s in sets], np.float64)
     owner = np.repeat(np.arange(n), size.astype(np.int64))
@@ -130,23 +145,20 @@ def link_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, wei
     union = size[:, None] + size[None, :] - common
     linked = common.astype(np.float64) / np.maximum(union, 1) >= similarity
     np.fill_diagonal(linked, False)
-    linked &= (left[:, None] & right[None, :]) | (right[:, None] & left[None, :])
-    links = linked @ weight
-    root = np.arange(n)
-    while True:     # smallest label among the neighbours, then along pointers
-        near = np.where(linked, root[None, :], n).min(axis=1, initial=n)
-        new = np.minimum(root, near)
-        new = np.minimum(new, new[new])
-        if (new == root).all():
-            return links, root
-        root = new
+    across = side[:, None] != side[None, :]
+    if not across.any():
+        return linked @ weight, closure(linked)
+    own, both = closure(linked & ~across), closure(linked)
+    return (linked & across) @ weight, np.where(own == np.arange(n), both, np.arange(n))
 
 
 def verify(groups: DataFrame, k: int, similarity: float) -> DataFrame:
     """(node, links, root) per node and group of ``groups(label, i, j, block,
     node, copies, t)``, sorted so that a group stands together: links of the node
-    to others in the group (block i against block j), and the smallest node of
-    the group that it reaches."""
+    to others in the group (inside block i, or block i against block j), and a
+    smaller node of the group that it reaches, or itself. Nodes with neither are
+    left out. Edges (node, root) number at most one per node for a block, and for
+    two blocks one per class inside either of them."""
     schema = T.StructType([T.StructField("node", T.BinaryType()), T.StructField("links", T.LongType()),
                            T.StructField("root", T.BinaryType())])
 
@@ -154,9 +166,10 @@ def verify(groups: DataFrame, k: int, similarity: float) -> DataFrame:
         rows.sort(key=lambda r: r[2])
         h, at = shingle_sets(pa.array([r[4] for r in rows], pa.string()), k)
         sets = [np.unique(h[a:z]) for a, z in zip(at[:-1], at[1:])]
-        (i, j), block = rows[0][0][1:], np.array([r[1] for r in rows])
-        links, root = link_counts(sets, block == i, block == j, np.array([r[3] for r in rows], np.int64), similarity)
-        return [r[2] for r in rows], links, [rows[int(x)][2] for x in root]
+        side = np.array([r[1] for r in rows])
+        links, root = link_counts(sets, side, np.array([r[3] for r in rows], np.int64), similarity)
+        some = np.flatnonzero((links > 0) | (root != np.arange(len(rows)))).tolist()
+        return [rows[x][2] for x in some], links[some], [rows[int(root[x])][2] for x in some]
 
     def run(batches):
         held, now = [], None

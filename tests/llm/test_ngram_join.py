@@ -62,3 +62,38 @@ def test_bands_reach_the_recall():
         for r in (3, 5):
             b = nj.bands_for(s, 0.9999, r)
             assert 1 - (1 - s ** r) ** b >= 0.9999 > 1 - (1 - s ** r) ** (b - 1)
+
+
+def near_copies(n, words=110, seed=1):
+    rng = np.random.default_rng(seed)
+    base = [f"b{i}" for i in range(words)]
+    out = []
+    for i in range(n):
+        w = list(base)
+        w[int(rng.integers(words))] = f"x{i}"
+        out.append((i, " ".join(w)))
+    return out
+
+
+def test_edges_of_a_large_group_grow_with_it(spark, monkeypatch):
+    """Verified edges number at most one per node, and candidate edges a few,
+    however large a group of near copies is."""
+    seen = []
+    plain = nj.components
+    monkeypatch.setattr(nj, "components", lambda e: (seen.append(e.count()), plain(e))[1])
+    for m in (1000, 4000, 16_000):
+        seen.clear()
+        got = nj.similar(spark.createDataFrame(near_copies(m), "doc_id long, text string"), block_nodes=512).select(
+            "class_id", "n_links").distinct().collect()
+        candidates, verified = seen
+        assert candidates <= 24 * m and verified <= m + (m / 512) ** 2
+        assert len(got) < 3000 and all(r["n_links"] > 0.5 * m for r in got) and {r["class_id"] for r in got} == {0}
+
+
+def test_links_across_blocks_make_one_class(spark):
+    """Chains whose neighbours stand in different blocks."""
+    rows, w = [], [f"c{i}" for i in range(70)]
+    for i in range(60):
+        w = w[2:] + [f"n{i}a", f"n{i}b"]
+        rows.append((i, " ".join(w)))
+    check(spark.createDataFrame(rows + near_copies(40, seed=3), "doc_id long, text string"), block_nodes=4)
