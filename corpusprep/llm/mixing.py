@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusprep.llm.common import small, table
+from corpusprep.llm.common import small, table, text_key
 from corpusprep.operators.order import global_rank
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -84,6 +84,14 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     sized = table(docs.select(F.col(key).alias("doc"), F.col(source).alias("source"),
                               word_count(F.col(text)).alias("size"),
                               seeded(seed, F.col(key)).alias("h")), "sized")
+    out = taken(sized, weights, max_epochs, split_last)
+    return out.select(F.col("doc").alias(key), "size", "source_size", "target", "taken")
+
+
+def taken(sized: DataFrame, weights, max_epochs: int, split_last: bool) -> DataFrame:
+    """``sized(doc, source, size, h)``, a row per document, with the words that
+    the mix takes of each in the order (h, doc, size); ``doc`` may be any row
+    identity."""
     src, n = targets(sized, weights, max_epochs)
     src = src.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(
         F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
@@ -121,23 +129,29 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
         "part", F.when(before, F.col("size")).otherwise(F.lit(0)))
     cols = ["doc", "size", "source_size", "target", "whole", "part"]
     out = rest.select(cols).unionByName(last.withColumn("part", part).select(cols))
-    return out.select(F.col("doc").alias(key), "size", "source_size", "target",
+    return out.select("doc", "size", "source_size", "target",
                       (F.col("whole") * F.col("size") + F.col("part")).cast("long").alias("taken"))
 
 
 def repeat(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source",
-           **options) -> DataFrame:
+           weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
     """The mix itself: every document as many times as it is taken (whole
     documents only; documents without words are left out, the mix takes
-    nothing of them). All columns of ``docs`` are kept."""
-    taken = mix(docs, key, text, source, split_last=False, **options)
-    reps = (taken.filter(F.col("taken") > 0)
-            .select(F.col(key).alias("_mix_key"), (F.col("taken") / F.col("size")).cast("int").alias("_mix_reps"),
-                    F.col("size").alias("_mix_size"))
-            .groupBy("_mix_key", "_mix_size").agg(F.max("_mix_reps").alias("_mix_reps")))
-    d = docs.withColumn("_mix_n", word_count(F.col(text)))
-    d = d.join(reps, F.col(key).eqNullSafe(F.col("_mix_key")) & (F.col("_mix_n") == F.col("_mix_size")))
-    return (d.withColumn("_mix_i", F.explode(F.sequence(F.lit(1), F.col("_mix_reps"))))
+    nothing of them). All columns of ``docs`` are kept.
+
+    Each row is a document of its own, also where its key is null or repeated:
+    the table is written with a row number that decisions are joined back on.
+    The seeded order goes by key and text, so rows that share a key are dealt
+    over it; only rows alike in both may change places, and reruns agree. An
+    empty table gives an empty result."""
+    row = "_mix_row"
+    d = table(docs.withColumn(row, F.monotonically_increasing_id()), "mix-rows")
+    order = F.concat(F.coalesce(F.col(key).cast("string"), F.lit("null")), F.lit(":"), F.hex(text_key(F.col(text))))
+    sized = table(d.select(F.col(row).alias("doc"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"),
+                           seeded(seed, order).alias("h")), "sized")
+    reps = (taken(sized, weights, max_epochs, split_last=False).filter(F.col("taken") > 0)
+            .select(F.col("doc").alias(row), (F.col("taken") / F.col("size")).cast("int").alias("_mix_reps")))
+    return (d.join(reps, row).withColumn("_mix_i", F.explode(F.sequence(F.lit(1), F.col("_mix_reps"))))
             .select(*docs.columns))
 
 

@@ -62,3 +62,36 @@ def test_repeat_gives_whole_documents(spark):
     got = [(r["doc_id"], r["text"]) for r in out.collect()]
     assert set(got) <= have and max(got.count(x) for x in set(got)) <= 6    # the repeated row twice three times
     assert mixing.repeat(brute.empty(spark)).count() == 0
+
+
+def taken_by_source(docs, out):
+    size, got, most = defaultdict(int), defaultdict(int), defaultdict(int)
+    for r in docs.collect():
+        n = len(brute.words(r["text"]))
+        size[r["source"]] += n
+        most[r["source"]] = max(most[r["source"]], n)
+    for r in out.collect():
+        got[r["source"]] += len(brute.words(r["text"]))
+    want = plain_targets(dict(size))
+    return {s: (got[s], want[s], most[s]) for s in size}
+
+
+def test_repeat_keeps_to_targets_with_null_and_repeated_keys(spark):
+    rows = [(None, " ".join([f"w{i}"] * (1 + i % 3)), "a") for i in range(90)]
+    rows += [(7, f"same key {i}", "a") for i in range(60)] + [(8, "same row twice", "a")] * 40
+    rows += [(100 + i, " ".join(["x"] * (i % 9)), "b") for i in range(300)] + [(None, "one more", None)] * 20
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    first = mixing.repeat(docs)
+    for got, want, most in taken_by_source(docs, first).values():
+        assert abs(got - want) <= most
+    again = mixing.repeat(docs.repartition(7))
+    assert brute.key_of(again.collect()) == brute.key_of(first.collect())       # reruns agree
+    times = brute.key_of(first.collect())
+    have = brute.key_of(docs.collect())
+    assert all(n <= 3 * have[r] for r, n in times.items())
+
+
+def test_repeat_of_awkward_rows_keeps_to_targets(spark):
+    docs = brute.awkward(spark)
+    for got, want, most in taken_by_source(docs, mixing.repeat(docs)).values():
+        assert abs(got - want) <= most
