@@ -1,6 +1,16 @@
 """Corpus pipeline over ``documents``: quality model, cross-site line removal,
 near-duplicate removal, source mix, BPE. Each stage is written as Parquet and
-reread as the next one's input."""
+reread as the next one's input.
+
+Every stage takes nulls in any column, empty and very long texts, ties and
+repeated rows, and extra columns of any name, which all but the last return. A
+text without words (null, empty, blank) is kept by the first three stages (the
+classifier has nothing against it, it has no line to remove, it is nobody's
+copy) and left out by the mix, which takes words. Repeated rows are one
+document to near-duplicate removal and rows of their own elsewhere. Without
+usable labels the classifier rejects nothing. An empty table gives an empty
+result of the same columns. ``n_chars``, where there is such a column, follows
+the text when lines are removed."""
 
 from __future__ import annotations
 
@@ -20,6 +30,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that stand on many sites go; all documents stay (operator 4)."""
     out = line_dedup.remove_spread_lines(docs)
+    if "n_chars" not in docs.columns:
+        return out.select(*docs.columns)
     n_chars = F.when(F.col("_ld_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.withColumn("n_chars", F.coalesce(n_chars, "n_chars")).select(*docs.columns)
 
