@@ -23,6 +23,7 @@ from corpusprep.llm.mixing import seeded
 
 MAX_DOCS = 400          # training documents per language
 MAX_WORDS = 100_000     # and their words
+LONGEST = 0.1           # of MAX_WORDS: no training document is longer
 QUANTILE = 0.99
 # The perplexity of a short text rests on few words: its limit is wider by
 # exp(SHORT / sqrt(n)), n its length in words of WORD_CHARS characters.
@@ -128,8 +129,8 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
 
     Trusted are the rows whose key has a label ``quality = 1`` (and none that
     says otherwise, nor a toxic one). By a seeded hash of the key half of them
-    may train (the first ``max_docs`` per language, up to ``max_words``), the
-    other half sets the limits. A language (null is one) without trusted
+    may train (of those of at most a tenth of ``max_words`` the first
+    ``max_docs`` per language, up to ``max_words``), the other half sets the limits. A language (null is one) without trusted
     documents has no limit and keeps all. Null and empty texts have one token,
     the end. Without any trusted document everything is kept."""
     good = (labels.filter(F.col(key).isNotNull()).groupBy(key)
@@ -140,9 +141,10 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
                                (F.length(F.coalesce(F.col(text), F.lit(""))) / WORD_CHARS + 1).cast("long").alias("size")), "narrow")
     trusted = table(narrow.join(good, "doc").withColumn("h", seeded(seed, F.col("doc"))), "trusted")
     w = Window.partitionBy("l").orderBy("h", "doc", "node")
-    top = trusted.filter(F.col("h") % 2 == 1).withColumn("r", F.row_number().over(w)).filter(F.col("r") <= max_docs)
+    fit = (F.col("h") % 2 == 1) & (F.col("size") <= LONGEST * max_words)
+    top = trusted.filter(fit).withColumn("r", F.row_number().over(w)).filter(F.col("r") <= max_docs)
     top = top.withColumn("sum", F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    picked = table(top.filter((F.col("sum") <= max_words) | (F.col("r") == 1)).select("node").distinct(), "picked")
+    picked = table(top.filter(F.col("sum") <= max_words).select("node").distinct(), "picked")
     texts = (docs.select(text_key(F.col(text)).alias("node"), F.col(text).alias("t"))
              .join(small(picked, picked.count()), "node").dropDuplicates(["node"]))
     model = train(texts, "t")

@@ -121,3 +121,46 @@ def test_awkward_rows(spark):
     kept = quality.keep_good(docs, none)
     assert kept.columns == docs.columns and brute.key_of(kept.collect()) == brute.key_of(docs.collect())
     assert quality.keep_good(brute.empty(spark), labels).count() == 0
+
+
+def test_shuffled_model_joins_give_the_same(spark, monkeypatch):
+    """Model tables beyond the broadcast limit are joined by their keys."""
+    docs, labels = read(spark, SMALL, "documents"), read(spark, SMALL, "labels")
+    plain = quality.classify(docs, labels).collect()
+    monkeypatch.setattr(quality, "MODEL_ROWS", 0)
+    out = quality.classify(docs, labels)
+    assert brute.key_of((r["doc_id"], r["perplexity"], r["limit"], r["kept"]) for r in out.collect()) == brute.key_of(
+        (r["doc_id"], r["perplexity"], r["limit"], r["kept"]) for r in plain)
+
+
+def test_long_trusted_texts_do_not_end_the_sample(spark, monkeypatch):
+    """The sample's bound holds, and a text that does not fit is passed over."""
+    rows = [(i, " ".join([f"w{j}" for j in range(40)]), "en") for i in range(200)] + [(1000 + i, "longer " * 5000, "en") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = docs.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    seen = []
+    plain = quality.train
+    monkeypatch.setattr(quality, "train", lambda sample, text: (seen.extend(sample.collect()), plain(sample, text))[1])
+    quality.classify(docs, labels, max_docs=20, max_words=20_000).collect()
+    assert seen and all(r["t"].startswith("w0") for r in seen)
+
+
+def test_limit_and_kept_follow_from_perplexities(spark):
+    docs, labels = read(spark, "/root/testdata/sf0.01", "documents"), read(spark, "/root/testdata/sf0.01", "labels")
+    size = (F.length("text") / quality.WORD_CHARS + 1).cast("long")
+    rows = (quality.classify(docs, labels).join(docs.select("doc_id", size.alias("size")), "doc_id")
+            .join(labels.select("doc_id", "quality", F.coalesce("toxic", F.lit(0)).alias("toxic")), "doc_id", "left")
+            .withColumn("h", seeded(quality.SEED, F.col("doc_id"))).collect())
+    wide = lambda r: math.exp(quality.SHORT / math.sqrt(r["size"]))
+    by = defaultdict(list)
+    for r in rows:
+        if r["quality"] == 1 and not r["toxic"] and r["h"] % 2 == 0:
+            by[r["lang"]].append(r["perplexity"] / wide(r))
+    for lang, v in by.items():
+        v.sort()
+        limits = {round(r["limit"] / wide(r), 6) for r in rows if r["lang"] == lang}
+        assert len(limits) == 1
+        at = limits.pop()       # the quantile: so many of the unseen are at or below it
+        share = sum(x <= at * (1 + 1e-9) for x in v) / len(v)
+        assert share >= quality.QUANTILE - 1e-9 and sum(x < at * (1 - 1e-9) for x in v) / len(v) <= quality.QUANTILE
+    assert all(r["kept"] == (r["limit"] is None or r["perplexity"] <= r["limit"]) for r in rows)
