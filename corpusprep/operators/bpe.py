@@ -292,7 +292,7 @@ class BpeModel:
         return out
 
     def map_list_array(self, arr: pa.ListArray) -> pa.ListArray:
-        return map_pieces_by_unique(arr, self.encode_piece)
+        return map_pieces_by_unique(arr, lambda pieces: [self.encode_piece(p) for p in pieces])
 
 
 def make_bpe_model(vocab: DataFrame, merges: DataFrame, specials: Sequence[str] = (),

@@ -62,11 +62,11 @@ class Lookup:
         return pa.ListArray.from_arrays(offsets, pa.array(out, pa.int32()), mask=arr.is_null())
 
 
-def map_pieces_by_unique(arr: pa.ListArray, encode_piece) -> pa.ListArray:
+def map_pieces_by_unique(arr: pa.ListArray, encode_pieces) -> pa.ListArray:
     """array<string> pieces -> array<int> ids where one piece may give several
-    ids (subword models). Each distinct piece of the batch is encoded once
-    (``encode_piece`` has its own per-task cache); the output is gathered with
-    numpy, so there is no per-token Python."""
+    ids (subword models). The distinct pieces of the batch are encoded once and
+    together (``encode_pieces`` has its own per-task cache); the output is
+    gathered with numpy, so there is no per-token Python."""
     flat = arr.flatten()
     offsets = np.asarray(arr.offsets, dtype=np.int64)
     offsets = offsets - offsets[0]
@@ -74,7 +74,7 @@ def map_pieces_by_unique(arr: pa.ListArray, encode_piece) -> pa.ListArray:
         return pa.ListArray.from_arrays(pa.array(np.zeros(len(offsets), np.int32)),
                                         pa.array([], pa.int32()), mask=arr.is_null())
     d = pc.dictionary_encode(flat)
-    enc = [np.asarray(encode_piece(u), dtype=np.int32) for u in d.dictionary.to_pylist()]
+    enc = [np.asarray(u, dtype=np.int32) for u in encode_pieces(d.dictionary.to_pylist())]
     lens = np.array([e.size for e in enc], dtype=np.int64)
     starts = np.concatenate([[0], np.cumsum(lens)[:-1]])
     table = np.concatenate(enc) if enc else np.zeros(0, np.int32)

@@ -3,166 +3,119 @@
 Plan:
 * word table ``(piece, freq)`` = the metaspace piece count (A6), the only
   pass over the corpus;
-* seed pieces: every substring of up to ``max_piece_len`` characters of every
-  word, counted with ``explode`` + ``groupBy`` (partial aggregation), the top
-  ``seed_size`` by freq x length, plus every character of the alphabet;
+* seed pieces: the repeated substrings of the words that a distributed suffix
+  sort finds (``suffixes.repeated_substrings``), the first ``seed_size`` by
+  freq x length, plus every character of the alphabet;
 * EM: the E-step is an Arrow pass over word partitions - forward-backward on
-  each word's lattice with the current piece log-probabilities (broadcast,
-  bounded by ``seed_size``) - and emits expected piece counts already summed
-  per task; the M-step is ``groupBy(piece).sum`` and a renormalisation;
+  the lattices of a whole batch at once (``lattice.Lattice``) - and emits
+  expected piece counts already summed per task; the M-step adds them up and
+  renormalises;
 * pruning: after ``sub_iters`` EM rounds the pieces are ranked by the
   likelihood lost when each is removed (Viterbi usage x (its log-prob - the
   log-prob of its best segmentation without it)) and the best ``shrink``
   share is kept (characters always stay), until ``vocab_size`` is reached.
+  Usage is a pass over the words, the second-best segmentations a pass over
+  the pieces; both run in tasks.
 
-The vocabulary table is model state bounded by ``seed_size``; the corpus-sized
-work (counting, E-steps, Viterbi usage) runs in Spark tasks.
+The model is two arrays, broadcast to tasks: the trie of the pieces and their
+scores, bounded by ``seed_size`` (at most ``BROADCAST_ROW_LIMIT``). The driver
+holds these arrays and adds up one count per piece; nothing there walks words
+or segments pieces.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusprep.functions import text as tx
+from corpusprep.operators.lattice import Lattice, PieceTrie, chunks, code_points
+from corpusprep.operators.order import take_first
+from corpusprep.operators.suffixes import repeated_substrings
 from corpusprep.operators.tokenise import _map_pieces, map_pieces_by_unique, pre_tokenise
 from corpusprep.operators.vocab import char_coverage, piece_counts, word_counts
 from corpusprep.session import BROADCAST_ROW_LIMIT, reliable_checkpoint
 
 UNIGRAM_VOCAB_SCHEMA = "id int, piece string, score double, is_special boolean"
-NEG_INF = -1e30
 UNK_PENALTY = 10.0   # an unknown character costs min(score) - 10
 WORDS_PER_PARTITION = 50_000
+PIECES_PER_PARTITION = 100_000
 
 
-def _logsumexp(a: float, b: float) -> float:
-    if a < b:
-        a, b = b, a
-    if b <= NEG_INF:
-        return a
-    return a + math.log1p(math.exp(b - a))
+def _unknown(score: np.ndarray) -> float:
+    return float(score[score > -np.inf].min()) - UNK_PENALTY
 
 
-class UnigramModel:
-    """Picklable piece -> log-probability table with lattice routines."""
+_COUNTS = T.StructType([T.StructField("id", T.IntegerType()), T.StructField("count", T.DoubleType())])
 
-    def __init__(self, scores: dict[str, float], max_len: int, unk_score: float):
-        self.scores, self.max_len, self.unk_score = scores, max_len, unk_score
 
-    def __getstate__(self):
-        return {"scores": self.scores, "max_len": self.max_len, "unk_score": self.unk_score}
-
-    def __setstate__(self, st):
-        self.__init__(st["scores"], st["max_len"], st["unk_score"])
-
-    def _edges(self, w: str, j: int):
-        """(start, piece, score) of the pieces ending at j (an unknown single
-        character is an edge with the unknown score)."""
-        sc = self.scores
-        for i in range(max(0, j - self.max_len), j):
-            p = w[i:j]
-            s = sc.get(p)
-            if s is not None:
-                yield i, p, s
-            elif j - i == 1:
-                yield i, None, self.unk_score
-
-    def forward_backward(self, w: str) -> tuple[float, dict[str, float]]:
-        """log Z of the word and the expected count of each piece."""
-        n = len(w)
-        alpha = [NEG_INF] * (n + 1)
-        alpha[0] = 0.0
-        edges = [list(self._edges(w, j)) for j in range(n + 1)]
-        for j in range(1, n + 1):
-            acc = NEG_INF
-            for i, _, s in edges[j]:
-                acc = _logsumexp(acc, alpha[i] + s)
-            alpha[j] = acc
-        beta = [NEG_INF] * (n + 1)
-        beta[n] = 0.0
-        for j in range(n, 0, -1):
-            for i, _, s in edges[j]:
-                beta[i] = _logsumexp(beta[i], beta[j] + s)
-        z = alpha[n]
-        exp: dict[str, float] = {}
-        for j in range(1, n + 1):
-            for i, p, s in edges[j]:
-                if p is None:
-                    continue
-                g = math.exp(alpha[i] + s + beta[j] - z)
-                if g > 0:
-                    exp[p] = exp.get(p, 0.0) + g
-        return z, exp
-
-    def viterbi(self, w: str, exclude: str | None = None) -> tuple[float, list[str | None]]:
-        n = len(w)
-        best = [NEG_INF] * (n + 1)
-        back: list[tuple[int, str | None]] = [(0, None)] * (n + 1)
-        best[0] = 0.0
-        for j in range(1, n + 1):
-            for i, p, s in self._edges(w, j):
-                if p is not None and p == exclude:
-                    continue
-                v = best[i] + s
-                if v > best[j]:
-                    best[j], back[j] = v, (i, p if p is not None else w[i:j])
-        out, j = [], n
-        while j > 0:
-            i, p = back[j]
-            out.append(p)
-            j = i
-        return best[n], out[::-1]
-
-
-def _e_step(words: DataFrame, model: UnigramModel, viterbi: bool = False) -> DataFrame:
-    """(piece, count): expected (or Viterbi) piece counts weighted by word
-    frequency, summed inside each task first; the row with a NULL piece holds
-    the task's log-likelihood."""
-    schema = T.StructType([T.StructField("piece", T.StringType()), T.StructField("count", T.DoubleType())])
-    names = words.columns
-    wi, fi = names.index("piece"), names.index("freq")
+def _e_step(words: DataFrame, trie, score: np.ndarray, viterbi: bool = False) -> tuple[np.ndarray, float]:
+    """(expected or Viterbi count of each piece, log-likelihood) over
+    ``words(piece, freq)``, weighted by frequency and summed inside each task
+    first. ``trie`` is a broadcast ``PieceTrie``."""
+    unknown, n = _unknown(score), len(score)
 
     def run(batches):
-        acc: dict[str, float] = {}
-        ll = 0.0
+        total, likelihood = np.zeros(n), 0.0
         for b in batches:
-            ws, fs = b.column(wi).to_pylist(), b.column(fi).to_pylist()
-            for w, f in zip(ws, fs):
+            ws, fs = b.column(0).to_pylist(), b.column(1).to_numpy(zero_copy_only=False).astype(np.float64)
+            for part in chunks(ws):
+                flat, offs = code_points([ws[i] for i in part])
+                lat, weight = Lattice(trie.value, flat, offs, score, unknown), fs[part]
                 if viterbi:
-                    z, seg = model.viterbi(w)
-                    for p in seg:
-                        if p in model.scores:
-                            acc[p] = acc.get(p, 0.0) + f
+                    word, e = lat.paths()
+                    known = lat.piece[e] >= 0
+                    total += np.bincount(lat.piece[e][known], weight[word[known]], n)
                 else:
-                    z, exp = model.forward_backward(w)
-                    for p, g in exp.items():
-                        acc[p] = acc.get(p, 0.0) + g * f
-                ll += z * f
-        keys = list(acc)
-        yield pa.RecordBatch.from_arrays([pa.array(keys + [None], pa.string()),
-                                          pa.array([acc[k] for k in keys] + [ll], pa.float64())],
-                                         names=["piece", "count"])
-
-    return words.mapInArrow(run, schema).groupBy("piece").agg(F.sum("count").alias("count"))
+                    got, z = lat.expected(weight, n)
+                    total += got
+                    likelihood += z
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1), pa.int32()),
+                                          pa.array(np.append(total[some], likelihood))], _COUNTS.names)
 
+    rows = words.select("piece", "freq").mapInArrow(run, _COUNTS).groupBy("id").agg(F.sum("count").alias("count")).toArrow()
+    ids, count = rows["id"].to_numpy(), rows["count"].to_numpy()
+    out = np.zeros(n)
+    out[ids[ids >= 0]] = count[ids >= 0]
+    return out, float(count[ids < 0].sum())
 
-def _collect_counts(counts: DataFrame) -> tuple[dict[str, float], float]:
-    rows = counts.limit(BROADCAST_ROW_LIMIT + 2).collect()
-    if len(rows) > BROADCAST_ROW_LIMIT + 1:
-        raise ValueError("piece table too large")
-    ll = next((r["count"] for r in rows if r["piece"] is None), 0.0)
-    return {r["piece"]: r["count"] for r in rows if r["piece"] is not None}, ll
 
+def _without(spark, trie, score: np.ndarray) -> np.ndarray:
+    """Log-probability of each piece's best segmentation into other pieces
+    (single characters: their own): a pass over the pieces."""
+    unknown, n = _unknown(score), len(score)
 
-def _normalise(counts: dict[str, float], keep: set[str]) -> dict[str, float]:
-    tot = sum(counts.get(p, 0.0) for p in keep) or 1.0
-    floor = 1e-12
-    return {p: math.log(max(counts.get(p, 0.0), floor) / tot) for p in keep}
+    def run(batches):
+        t = trie.value
+        for b in batches:
+            ids = b.column(0).to_numpy()
+            size = np.diff(t.offs)[ids]
+            ids = ids[np.argsort(size, kind="stable")]
+            for i in range(0, len(ids), 1 << 14):
+                part = ids[i:i + (1 << 14)]
+                size = np.diff(t.offs)[part]
+                offs = np.concatenate([[0], np.cumsum(size)])
+                flat = t.codes[np.repeat(t.offs[part] - offs[:-1], size) + np.arange(offs[-1])].astype(np.int64)
+                top, _ = Lattice(t, flat, offs, score, unknown, whole=False).best()
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(top)], _COUNTS.names)
+
+    parts = max(1, min(spark.sparkContext.defaultParallelism, -(-n // 1000)), -(-n // PIECES_PER_PARTITION))
+    rows = spark.range(0, n, 1, parts).mapInArrow(run, _COUNTS).toArrow()
+    out = np.zeros(n)
+    out[rows["id"].to_numpy()] = rows["count"].to_numpy()
+    return out
+
+
+def _normalise(counts: np.ndarray, keep: np.ndarray) -> np.ndarray:
+    """Log-probabilities of the pieces kept, -inf for the others."""
+    c = np.maximum(np.where(keep, counts, 0.0), 1e-12)
+    return np.where(keep, np.log(c / (counts[keep].sum() or 1.0)), -np.inf)
 
 
 def training_words(df: DataFrame, text: str = "text", normalise: str | None = None, split_scripts: bool = False,
@@ -216,65 +169,62 @@ def train_unigram(df: DataFrame, vocab_size: int, specials: Sequence[str], text:
     n_words = counts.count()
     parts = max(spark.sparkContext.defaultParallelism, -(-n_words // WORDS_PER_PARTITION))
     words = reliable_checkpoint(counts.repartition(parts))
-    L = int(max_piece_len)
-    subs = words.select(F.explode(F.transform(
-        F.sequence(F.lit(0), F.length("piece") - 1),
-        lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(L), F.length("piece") - i)),
-                              lambda k: F.substring("piece", i + 1, k)))).alias("ss"), "freq")
-    subs = subs.select(F.explode("ss").alias("sub"), "freq").groupBy("sub").agg(F.sum("freq").alias("freq"))
+    if seed_size > BROADCAST_ROW_LIMIT:
+        raise ValueError("seed_size is beyond what a model may have to be broadcast")
     # one row per character: bounded by the code points there are
-    char_freq = {r["sub"]: float(r["freq"]) for r in subs.filter(F.length("sub") == 1).collect()}
-    seed_rows = (subs.filter((F.length("sub") > 1) & (F.col("freq") >= 2))
-                 .orderBy(F.desc(F.col("freq") * F.length("sub")), "sub").limit(int(seed_size)).collect())
-    pieces = set(char_freq) | {r["sub"] for r in seed_rows}
-    freq0 = {r["sub"]: float(r["freq"]) for r in seed_rows}
-    freq0.update(char_freq)
-    scores = _normalise(freq0, pieces)
+    chars = (words.select(F.explode(tx.chars(F.col("piece"))).alias("sub"), "freq")
+             .groupBy("sub").agg(F.sum("freq").alias("freq")))
+    seeds = (repeated_substrings(words, int(max_piece_len)).filter(F.length("sub") > 1)
+             .withColumn("gain", -F.col("freq") * F.length("sub")))
+    seeds = take_first(reliable_checkpoint(seeds), int(seed_size), ["gain", "sub"]).select("sub", "freq")
+    rows = chars.unionByName(seeds).toArrow().sort_by("sub")
+    pieces = rows["sub"].to_pylist()        # in code point order: ties go by index
     heads = [*specials, *(tx.BYTE_PIECES if byte_fallback else ())]
     target = vocab_size - len(heads)
 
-    def model_of(sc):
-        # lattice edges only up to the longest piece still in the vocabulary
-        return UnigramModel(sc, max(len(p) for p in sc), min(sc.values()) - UNK_PENALTY)
-
-    while True:
+    size = np.array([len(p) for p in pieces], np.int64)
+    single, keep = size == 1, np.ones(len(pieces), bool)
+    score = _normalise(rows["freq"].to_numpy().astype(np.float64), keep)
+    trie = spark.sparkContext.broadcast(PieceTrie(pieces))
+    while len(pieces):
         for _ in range(int(sub_iters)):
-            counts, ll = _collect_counts(_e_step(words, model_of(scores)))
+            counts, ll = _e_step(words, trie, score)
             if history is not None:
-                history.append((len(scores), ll))
+                history.append((int(keep.sum()), ll))
             # characters always stay; other pieces with no expected use go
-            keep = {p for p in scores if len(p) == 1 or counts.get(p, 0.0) > 0.5}
-            scores = _normalise(counts, keep)
-        if len(scores) <= target:
+            keep &= single | (counts > 0.5)
+            score = _normalise(counts, keep)
+        if keep.sum() <= target:
             break
-        m = model_of(scores)
-        usage, _ = _collect_counts(_e_step(words, m, viterbi=True))
-        loss = []
-        for p, s in scores.items():
-            if len(p) == 1:
-                continue
-            alt, _ = m.viterbi(p, exclude=p)
-            loss.append((usage.get(p, 0.0) * (s - alt), p))
-        loss.sort(key=lambda x: (-x[0], x[1]))
-        n_chars = sum(1 for p in scores if len(p) == 1)
-        n_keep = max(target, int(len(scores) * shrink)) - n_chars
-        kept = {p for p in scores if len(p) == 1} | {p for _, p in loss[:max(n_keep, 0)]}
-        scores = {p: scores[p] for p in kept}
-    # final: renormalised, at most target pieces (characters first if over)
-    ordered = sorted(scores.items(), key=lambda x: (-x[1], x[0]))
-    if len(ordered) > target:
-        chars_first = [x for x in ordered if len(x[0]) == 1] + [x for x in ordered if len(x[0]) > 1]
-        ordered = sorted(chars_first[:target], key=lambda x: (-x[1], x[0]))
+        usage, _ = _e_step(words, trie, score, viterbi=True)
+        many = np.flatnonzero(keep & ~single)
+        loss = usage[many] * (score[many] - _without(spark, trie, score)[many])
+        n_keep = max(target, int(keep.sum() * shrink)) - int(single.sum())
+        keep[many[np.argsort(-loss, kind="stable")[max(n_keep, 0):]]] = False
+        score = np.where(keep, score, -np.inf)
+        if keep.sum() < len(pieces) / 2:    # leave out what is gone
+            at = np.flatnonzero(keep)
+            pieces, score, single, keep = [pieces[i] for i in at.tolist()], score[at], single[at], keep[at]
+            trie.unpersist()
+            trie = spark.sparkContext.broadcast(PieceTrie(pieces))
+    trie.unpersist()
+    # at most target pieces (characters first if over), by score desc, then piece
+    at = np.flatnonzero(keep)
+    at = at[np.argsort(-score[at], kind="stable")]
+    if len(at) > target:
+        at = np.concatenate([at[single[at]], at[~single[at]]])[:max(target, 0)]
+        at = np.sort(at)[np.argsort(-score[np.sort(at)], kind="stable")]
+    learned = [(pieces[i], float(score[i])) for i in at.tolist() if pieces[i] not in specials]
     rows = [(i, p, 0.0, i < len(specials)) for i, p in enumerate(heads)]
-    learned = [x for x in ordered if x[0] not in specials]
-    rows += [(len(heads) + i, p, float(sc), False) for i, (p, sc) in enumerate(learned)]
+    rows += [(len(heads) + i, p, sc, False) for i, (p, sc) in enumerate(learned)]
     return spark.createDataFrame(rows, UNIGRAM_VOCAB_SCHEMA)
 
 
 class UnigramEncoder:
     """Picklable Viterbi encoder: pieces -> ids (specials whole; unknown
     characters -> their byte pieces when the vocabulary has them, else unk
-    id); per-task cache of encoded words."""
+    id). The distinct words of a batch are segmented together; per-task cache
+    of encoded words."""
 
     def __init__(self, scores: dict[str, float], ids: dict[str, int], specials: Sequence[str],
                  unk_id: int, max_len: int):
@@ -289,31 +239,47 @@ class UnigramEncoder:
     def __setstate__(self, st):
         self.__init__(st["scores"], st["ids"], st["specials"], st["unk_id"], st["max_len"])
 
-    def encode_piece(self, w: str) -> list[int]:
-        if self._cache is None:
-            self._cache = {}
-            self._m = UnigramModel(self.scores, self.max_len, min(self.scores.values()) - UNK_PENALTY)
-        hit = self._cache.get(w)
-        if hit is not None:
-            return hit
-        if w in self.specials and w in self.ids:
-            out = [self.ids[w]]
-        else:
-            _, seg = self._m.viterbi(w)
-            out = []
-            for p in seg:
-                if p in self.scores:
-                    out.append(self.ids[p])
+    def _prepare(self):
+        pieces = [p for p in self.scores if p]
+        self._cache = {s: [self.ids[s]] for s in self.specials if s in self.ids}
+        self._score = np.array([self.scores[p] for p in pieces])
+        self._trie = PieceTrie(pieces)
+        self._ids = np.array([self.ids[p] for p in pieces], np.int32)
+        self._unknown = _unknown(self._score) if pieces else -UNK_PENALTY
+
+    def _segment(self, words: list[str]) -> list[list[int]]:
+        """Ids of each word's best segmentation, all words at once."""
+        out: list[list[int]] = [[] for _ in words]
+        for part in chunks(words):
+            flat, offs = code_points([words[i] for i in part])
+            lat = Lattice(self._trie, flat, offs, self._score, self._unknown)
+            word, e = lat.paths()
+            piece = lat.piece[e]
+            ids = np.where(piece >= 0, self._ids[piece] if len(self._ids) else 0, -1).tolist()
+            for w, i, at in zip(word.tolist(), ids, lat.start[e].tolist()):
+                if i >= 0:
+                    out[part[w]].append(i)
                 elif self.bytes:
-                    out += [self.ids[tx.BYTE_PIECES[x]] for x in p.encode()]
+                    out[part[w]] += [self.ids[tx.BYTE_PIECES[x]] for x in chr(int(flat[at])).encode()]
                 else:
-                    out.append(self.unk_id)
-        if len(self._cache) < 1_000_000:
-            self._cache[w] = out
+                    out[part[w]].append(self.unk_id)
         return out
 
+    def encode_pieces(self, words: list[str]) -> list[list[int]]:
+        if self._cache is None:
+            self._prepare()
+        cache = self._cache
+        new = [w for w in dict.fromkeys(words) if w not in cache]
+        got = dict(zip(new, self._segment(new)))
+        if len(cache) + len(got) <= 1_000_000:
+            cache.update(got)
+        return [cache[w] if w in cache else got[w] for w in words]
+
+    def encode_piece(self, w: str) -> list[int]:
+        return self.encode_pieces([w])[0]
+
     def map_list_array(self, arr: pa.ListArray) -> pa.ListArray:
-        return map_pieces_by_unique(arr, self.encode_piece)
+        return map_pieces_by_unique(arr, self.encode_pieces)
 
 
 def make_unigram_encoder(vocab: DataFrame, specials: Sequence[str] = (), unk: str = "[UNK]") -> UnigramEncoder:
