@@ -7,32 +7,45 @@ lowest (left id, right id) pair), everywhere, left to right, until the
 vocabulary is full. Words are the metaspace pieces.
 
 Plan:
-* the word table ``(symbols array<int>, freq)`` comes from the piece count
+* the word table ``(wid, symbols array<int>, freq)`` comes from the piece count
   (A6), the only pass over the corpus; words of one symbol drop out since
   they hold no pair;
-* per round, pair counts are a distributed ``groupBy(a, b).sum(freq)`` and
-  only the top ``top_k`` pairs plus two maxima per involved symbol reach the
-  driver (bounded by ``top_k``);
-* a round takes several merges when that cannot change the result: walking
-  the pairs by (count desc, a, b), after accepting (a, b) the next pair (c, d)
-  is accepted only if c is no accepted right symbol and d no accepted left
-  symbol (a merge of (a, b) changes only the counts of pairs (b, .) and
-  (., a), and such (c, d) never overlaps an (a, b) occurrence), and its count
+* per round, pair counts (occurrences and words) are a distributed
+  ``groupBy(a, b)``; the first ``top_k`` pairs by (count desc, a, b) come to
+  the driver, and of these as many as stand in ``pull_words`` words together;
+* the words that hold one of these pairs are fetched (``pull_words`` at most)
+  and the training goes on over them alone, with an inverted index from pairs
+  to words and counts changed by each merge's own words only. That is the
+  training over all words as long as the best pair comes before every pair that
+  was not fetched: a fetched pair stands in fetched words only, what a merge
+  makes stands in that merge's words, and counts of other pairs only fall (where
+  a merged token existed before, other pairs may grow; their growth is held
+  against the bound). When the bound is reached, the new symbols are joined back on ``wid`` and
+  the next round counts again;
+* while the first pair alone stands in more than ``pull_words`` words, a round
+  takes several merges over the whole table instead, when that cannot change the
+  result: walking the pairs by (count desc, a, b), after accepting (a, b) the
+  next pair (c, d) is accepted only if c is no accepted right symbol and d no
+  accepted left symbol (a merge of (a, b) changes only the counts of pairs (b, .)
+  and (., a), and such (c, d) never overlaps an (a, b) occurrence), and its count
   is strictly above the largest count of a triple (x, a, b) or (a, b, y) of
   the accepted ones (an upper bound on any pair their merges create); a merge
-  whose token already exists ends the round;
-* the accepted merges are applied to the word table in one vectorised Arrow
-  pass (numpy over the flat symbol values, no per-word Python); the
-  table is persisted per round and written to the shared checkpoint folder
-  every ``checkpoint_every`` rounds.
+  whose token already exists ends the round. They are applied in one vectorised
+  Arrow pass (numpy over the flat symbol values, no per-word Python);
+* the table is written to the shared checkpoint folder every
+  ``checkpoint_every`` rounds.
 
 Encoding: an Arrow pass per partition; pieces are cut on the JVM (specials
-first), each distinct piece is merged by rank once per task (cache), and the
-merge table (bounded by the vocabulary size, checked) travels with the task.
+first), each distinct piece is merged by rank once per task (cache) over a
+linked list of symbols with a heap of pairs, so a piece of n characters takes
+O(n log n), and the merge table (bounded by the vocabulary size, checked)
+travels with the task.
 """
 
 from __future__ import annotations
 
+import heapq
+from collections import defaultdict
 from collections.abc import Sequence
 
 import numpy as np
@@ -49,16 +62,19 @@ from corpusprep.session import BROADCAST_ROW_LIMIT, reliable_checkpoint
 MERGES_SCHEMA = "rank int, left_id int, right_id int, id int, count long"
 ALPHABET_LIMIT = 1_000_000
 WORDS_PER_PARTITION = 200_000
+TOP_PAIRS = 200_000
+PULL_WORDS = 200_000    # words that a round may fetch
 
 
 def _pairs(words: DataFrame) -> DataFrame:
-    """(a, b, n): adjacent symbol pairs weighted by word frequency."""
+    """(a, b, n, d): adjacent symbol pairs weighted by word frequency, and how
+    often they stand in the words as listed."""
     s = F.col("symbols")
     n = F.size(s) - 1
     z = F.arrays_zip(F.slice(s, 1, n).alias("a"), F.slice(s, 2, n).alias("b"))
     return (words.select(F.explode(z).alias("p"), "freq")
             .groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b"))
-            .agg(F.sum("freq").alias("n")))
+            .agg(F.sum("freq").alias("n"), F.count(F.lit(1)).alias("d")))
 
 
 def _triple_limits(words: DataFrame, cands: list[tuple[int, int]]) -> dict[tuple[int, int], int]:
@@ -158,8 +174,86 @@ def _apply_merges(words: DataFrame, table: dict[tuple[int, int], int]) -> DataFr
     return words.mapInArrow(run, schema).filter(F.size("symbols") >= 2)
 
 
+def _holding(words: DataFrame, keys: np.ndarray) -> DataFrame:
+    """The words that hold one of the pairs ``keys`` (sorted)."""
+    si = words.columns.index("symbols")
+
+    def run(batches):
+        for b in batches:
+            col = b.column(si)
+            flat = col.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            o = np.asarray(col.offsets, dtype=np.int64)
+            o = o - o[0]
+            if flat.size < 2:
+                continue
+            k = flat[:-1] * _PAIR_SHIFT + flat[1:]
+            hit = keys[np.minimum(np.searchsorted(keys, k), len(keys) - 1)] == k
+            last = o[1:] - 1
+            hit[last[(last >= 0) & (last < k.size)]] = False
+            before = np.concatenate([[0], np.cumsum(hit), [hit.sum()]])
+            some = np.flatnonzero(before[np.maximum(o[1:] - 1, o[:-1])] > before[o[:-1]])
+            if some.size:
+                yield b.take(pa.array(some))
+
+    return words.mapInArrow(run, words.schema)
+
+
+class _Merger:
+    """Merging over some of the words: exact counts of the pairs that stand in
+    them only, the words of each pair, and a heap of pairs."""
+
+    def __init__(self, symbols: list[list[int]], freq: list[int], counts: dict[tuple[int, int], int], first_new: int):
+        self.symbols, self.freq, self.n, self.first_new = symbols, freq, dict(counts), first_new
+        self.known = set(counts)
+        self.where: dict[tuple[int, int], set[int]] = defaultdict(set)
+        for i, s in enumerate(symbols):
+            for p in zip(s, s[1:]):
+                if p in self.known:
+                    self.where[p].add(i)
+        self.heap = [(-n, p) for p, n in self.n.items()]
+        heapq.heapify(self.heap)
+        self.grown: dict[tuple[int, int], int] = defaultdict(int)     # pairs of old tokens that are not known
+
+    def best(self) -> tuple[int, tuple[int, int]] | None:
+        while self.heap:
+            n, p = self.heap[0]
+            if self.n[p] == -n and n:
+                return -n, p
+            heapq.heappop(self.heap)
+        return None
+
+    def merge(self, pair: tuple[int, int], new: int) -> None:
+        delta: dict[tuple[int, int], int] = defaultdict(int)
+        table = {pair: new}
+        for i in self.where.pop(pair, ()):
+            old, f = self.symbols[i], self.freq[i]
+            now = _merge_symbols(old, table)
+            if len(now) == len(old):
+                continue
+            for p in zip(old, old[1:]):
+                delta[p] -= f
+            for p in zip(now, now[1:]):
+                delta[p] += f
+                if new in p:
+                    self.where[p].add(i)
+            self.symbols[i] = now
+        for p, d in delta.items():
+            if not d:
+                continue
+            if p not in self.known:
+                if max(p) < self.first_new:     # of old tokens, in other words too
+                    self.grown[p] += d
+                    continue
+                self.known.add(p)
+                self.n[p] = 0
+            self.n[p] += d
+            if self.n[p] > 0:
+                heapq.heappush(self.heap, (-self.n[p], p))
+
+
 def train_bpe(df: DataFrame, vocab_size: int, specials: Sequence[str], text: str = "text",
-              top_k: int = 256, checkpoint_every: int = 25) -> tuple[DataFrame, DataFrame]:
+              top_k: int = TOP_PAIRS, checkpoint_every: int = 25,
+              pull_words: int = PULL_WORDS) -> tuple[DataFrame, DataFrame]:
     """V1: returns (vocab (id, piece, freq, is_special), merges (rank, left_id,
     right_id, id, count)); both bounded by ``vocab_size``."""
     spark = df.sparkSession
@@ -186,49 +280,62 @@ def train_bpe(df: DataFrame, vocab_size: int, specials: Sequence[str], text: str
     # but keep every core busy
     n_words = counts.count()
     parts = max(spark.sparkContext.defaultParallelism, -(-n_words // WORDS_PER_PARTITION))
-    words = reliable_checkpoint(words.repartition(parts))
+    words = reliable_checkpoint(words.repartition(parts).withColumn("wid", F.monotonically_increasing_id()))
     merges: list[tuple[int, int, int, int, int]] = []
+
+    def take(a: int, b: int, n: int) -> tuple[int, bool]:
+        """Give the merged token an id; whether it is new."""
+        new = pieces[a] + pieces[b]
+        nid = piece_id.setdefault(new, len(pieces))
+        fresh = nid == len(pieces)
+        if fresh:
+            pieces.append(new)
+            freqs.append(n)
+        merges.append((len(merges), a, b, nid, n))
+        return nid, fresh
+
+    def fetched(top, whole: bool) -> DataFrame | None:
+        """Merge over the words of the pairs ``top``; the new word table."""
+        keys = np.sort(np.array([int(r["a"]) * _PAIR_SHIFT + int(r["b"]) for r in top], np.int64))
+        rows = _holding(words, keys).toArrow()
+        wid = rows["wid"].to_numpy()
+        m = _Merger(rows["symbols"].to_pylist(), rows["freq"].to_pylist(),
+                    {(int(r["a"]), int(r["b"])): int(r["n"]) for r in top}, len(pieces))
+        # pairs that were not fetched come after the last one fetched
+        edge = (0, (0, 0)) if whole else (int(top[-1]["n"]), (int(top[-1]["a"]), int(top[-1]["b"])))
+        before, size = len(merges), np.array([len(s) for s in m.symbols])
+        while len(pieces) < vocab_size and (best := m.best()) is not None:
+            n, pair = best
+            most = edge[0] + max((d for d in m.grown.values() if d > 0), default=0)
+            if len(merges) > before and (n <= most if most > edge[0] else (-n, pair) > (-edge[0], edge[1])):
+                break
+            m.n[pair] = 0
+            m.merge(pair, take(*pair, n)[0])
+        changed = np.flatnonzero(np.array([len(s) for s in m.symbols]) != size)
+        new = pa.table({"wid": pa.array(wid[changed], pa.int64()),
+                        "now": pa.array([m.symbols[i] for i in changed.tolist()], pa.list_(pa.int32()))})
+        new = spark.createDataFrame(new)
+        if len(changed) <= BROADCAST_ROW_LIMIT:     # pull_words at most
+            new = F.broadcast(new)
+        return (words.join(new, "wid", "left").select(F.coalesce("now", "symbols").alias("symbols"), "freq", "wid")
+                .filter(F.size("symbols") >= 2))
+
     rounds, old = 0, None
     while len(pieces) < vocab_size:
-        top = _pairs(words).orderBy(F.desc("n"), "a", "b").limit(int(top_k)).collect()
+        top = (_pairs(words).orderBy(F.desc("n"), "a", "b").limit(int(top_k)).toArrow().to_pylist())
         if old is not None:
             old.unpersist()  # the new table is cached now
             old = None
         if not top or top[0]["n"] < 1:
             break
-        # the limits only gate the second and later merges of a round: skip
-        # the job when the second candidate is already out by the symbol rule
-        second = (len(top) > 1 and len(pieces) + 1 < vocab_size
-                  and top[1]["a"] != top[0]["b"] and top[1]["b"] != top[0]["a"])
-        lim = _triple_limits(words, [(int(r["a"]), int(r["b"])) for r in top]) if second else {}
-        table: dict[tuple[int, int], int] = {}
-        lefts: set[int] = set()
-        rights: set[int] = set()
-        bound = -1
-        for r in top:
-            a, b, n = int(r["a"]), int(r["b"]), int(r["n"])
-            if len(pieces) >= vocab_size or n < 1:
-                break
-            if table and (a in rights or b in lefts or n <= bound):
-                break
-            new = pieces[a] + pieces[b]
-            existing = piece_id.get(new)
-            nid = existing if existing is not None else len(pieces)
-            if existing is None:
-                piece_id[new] = nid
-                pieces.append(new)
-                freqs.append(n)
-            merges.append((len(merges), a, b, nid, n))
-            table[(a, b)] = nid
-            lefts.add(a)
-            rights.add(b)
-            bound = max(bound, lim.get((a, b), 0))
-            if existing is not None:
-                break
-        if not table:
-            break
-        old = words
-        words = _apply_merges(words, table)
+        many = int(np.searchsorted(np.cumsum([r["d"] for r in top]), pull_words, "right"))
+        whole = many == len(top) < top_k
+        if many:
+            new = fetched(top[:many], whole)
+        else:
+            table = _batch(words, top[:256], pieces, piece_id, vocab_size, take)
+            new = _apply_merges(words, table)
+        old, words = words, new
         rounds += 1
         if rounds % checkpoint_every == 0:
             words = reliable_checkpoint(words)
@@ -244,6 +351,33 @@ def train_bpe(df: DataFrame, vocab_size: int, specials: Sequence[str], text: str
     return vocab, mdf
 
 
+def _batch(words: DataFrame, top: list[dict], pieces: list[str], piece_id: dict[str, int], vocab_size: int,
+           take) -> dict[tuple[int, int], int]:
+    """Merges of the first pairs that together equal one-at-a-time training."""
+    # the limits only gate the second and later merges of a round: skip
+    # the job when the second candidate is already out by the symbol rule
+    second = (len(top) > 1 and len(pieces) + 1 < vocab_size
+              and top[1]["a"] != top[0]["b"] and top[1]["b"] != top[0]["a"])
+    lim = _triple_limits(words, [(int(r["a"]), int(r["b"])) for r in top]) if second else {}
+    table: dict[tuple[int, int], int] = {}
+    lefts: set[int] = set()
+    rights: set[int] = set()
+    bound = -1
+    for r in top:
+        a, b, n = int(r["a"]), int(r["b"]), int(r["n"])
+        if len(pieces) >= vocab_size or n < 1:
+            break
+        if table and (a in rights or b in lefts or n <= bound):
+            break
+        table[(a, b)], fresh = take(a, b, n)
+        lefts.add(a)
+        rights.add(b)
+        bound = max(bound, lim.get((a, b), 0))
+        if not fresh:
+            break
+    return table
+
+
 class BpeModel:
     """Picklable merge table for tasks: pair -> (rank, new id)."""
 
@@ -267,6 +401,30 @@ class BpeModel:
             self._cache: dict[str, list[int]] = {}
             self._ready = True
 
+    def _merged(self, ids: list[int]) -> list[int]:
+        """Merge by rank, of equal ranks the leftmost first: symbols are a linked
+        list, their pairs a heap of (rank, position); an entry that no longer
+        says what stands there is passed over."""
+        n, rank = len(ids), self._rank
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r[0], i) for i in range(n - 1) if (r := rank.get((ids[i], ids[i + 1]))) is not None]
+        heapq.heapify(heap)
+        live = [True] * n
+        while heap:
+            at, i = heapq.heappop(heap)
+            j = after[i] if live[i] else n
+            if j >= n or (r := rank.get((ids[i], ids[j]))) is None or r[0] != at:
+                continue
+            ids[i], live[j] = r[1], False
+            after[i] = after[j]
+            if after[j] < n:
+                before[after[j]] = i
+            for x in (before[i], i):
+                y = after[x] if x >= 0 else n
+                if y < n and (r := rank.get((ids[x], ids[y]))) is not None:
+                    heapq.heappush(heap, (r[0], x))
+        return [x for x, ok in zip(ids, live) if ok]
+
     def encode_piece(self, piece: str) -> list[int]:
         self._prepare()
         hit = self._cache.get(piece)
@@ -276,17 +434,7 @@ class BpeModel:
         if piece in self.specials and sid is not None:
             out = [sid]
         else:
-            out = [self._id.get(ch, self.unk_id) for ch in piece]
-            rank = self._rank
-            while len(out) > 1:
-                best = None
-                for i in range(len(out) - 1):
-                    r = rank.get((out[i], out[i + 1]))
-                    if r is not None and (best is None or r[0] < best[0]):
-                        best = (r[0], out[i], out[i + 1], r[1])
-                if best is None:
-                    break
-                out = _merge_symbols(out, {(best[1], best[2]): best[3]})
+            out = self._merged([self._id.get(ch, self.unk_id) for ch in piece])
         if len(self._cache) < 1_000_000:
             self._cache[piece] = out
         return out

@@ -60,3 +60,44 @@ def test_vectorised_merge_matches_left_to_right():
     vals, new_offs = bpe._merge_flat(flat, offs, np.array([k for k, _ in items]), np.array([n for _, n in items]))
     got = [list(vals[new_offs[i]:new_offs[i + 1]]) for i in range(len(rows))]
     assert got == [bpe._merge_symbols(r, table) for r in rows] == [[9, 1], [9, 9], [8, 9], [3, 2], [1, 8, 8]]
+
+
+@pytest.mark.parametrize("pull", [0, 40, 2000, 100_000])
+def test_fetching_words_gives_the_same_merges(spark, pull):
+    """Rounds over few fetched words, over all of them, or over the whole table."""
+    df = tb.text_table(spark, SMALL).filter(F.col("doc_id") < (2 if pull < 100 else 30))
+    texts = [r["text"] for r in df.orderBy("doc_id").collect()]
+    size = 75 if pull < 100 else 700
+    vocab, merges = bpe.train_bpe(df, size, BASE_SPECIALS, pull_words=pull)
+    assert {r["piece"]: r["id"] for r in vocab.collect()} == _library(texts, size).get_vocab()
+
+
+def test_until_no_pair_is_left(spark):
+    """A vocabulary larger than the corpus can fill ends with every word one token."""
+    df = tb.text_table(spark, SMALL).filter(F.col("doc_id") < 25).select("doc_id", "text")
+    docs = sorted((r["doc_id"], r["text"]) for r in df.collect())
+    lib = _library([t for _, t in docs], 32_000)
+    for pull in (4000, 100_000):
+        vocab, merges = bpe.train_bpe(df, 32_000, BASE_SPECIALS, pull_words=pull)
+        assert {r["piece"]: r["id"] for r in vocab.collect()} == lib.get_vocab()
+    model = bpe.make_bpe_model(vocab, merges, BASE_SPECIALS)
+    enc = {r["doc_id"]: list(r["ids"]) for r in bpe.encode_bpe(df, model).collect()}
+    for d, t in docs:
+        assert enc[d] == lib.encode(t).ids
+
+
+def test_long_piece_is_merged_in_line_with_its_length(spark):
+    import random
+    import time
+    df = tb.text_table(spark, SMALL).filter(F.col("doc_id") < 10)
+    texts = [r["text"] for r in df.orderBy("doc_id").collect()]
+    vocab, merges = bpe.train_bpe(df, 900, BASE_SPECIALS)
+    model, lib = bpe.make_bpe_model(vocab, merges, BASE_SPECIALS), _library(texts, 900)
+    rnd = random.Random(1)
+    letters = [r["piece"] for r in vocab.collect() if len(r["piece"]) == 1 and r["piece"].isalpha()]
+    word = "".join(rnd.choice(letters) for _ in range(100_000))
+    t0 = time.time()
+    got = model.encode_piece("▁" + word)
+    assert time.time() - t0 < 20 and got == lib.encode(word).ids
+    for w in ("aaaaaaa", "abababab", "eeteeteet", "nnn"):
+        assert model.encode_piece("▁" + w) == lib.encode(w).ids
