@@ -63,7 +63,7 @@ MERGES_SCHEMA = "rank int, left_id int, right_id int, id int, count long"
 ALPHABET_LIMIT = 1_000_000
 WORDS_PER_PARTITION = 200_000
 TOP_PAIRS = 200_000
-PULL_WORDS = 200_000    # words that a round may fetch
+PULL_WORDS = 500_000    # words that a round may fetch
 
 
 def _pairs(words: DataFrame) -> DataFrame:
@@ -328,7 +328,9 @@ def train_bpe(df: DataFrame, vocab_size: int, specials: Sequence[str], text: str
             old = None
         if not top or top[0]["n"] < 1:
             break
-        many = int(np.searchsorted(np.cumsum([r["d"] for r in top]), pull_words, "right"))
+        # so many pairs that their words are within the bound (all of them, if all words are)
+        many = (len(top) if n_words <= pull_words
+                else int(np.searchsorted(np.cumsum([r["d"] for r in top]), pull_words, "right")))
         whole = many == len(top) < top_k
         if many:
             new = fetched(top[:many], whole)

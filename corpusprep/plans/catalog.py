@@ -848,8 +848,11 @@ def v3_char_vocab(spark, sf):
 
 @register("v6_score_table",
           f"with c as materialized (select piece, count(*) as freq from (select unnest({S.pieces('text')}) as piece from documents) group by piece), "
-          f"v as materialized ({_VOCAB_SQL}) select v.id, v.piece, round(case when v.id < 4 then 0.0 else ln(c.freq / "
-          "(select sum(freq) from c join v using (piece) where v.id >= 4)) end, 6) as score from v left join c using (piece)")
+          f"k as materialized (select piece, freq, row_number() over (order by freq desc, piece) as rn from c "
+          f"where piece not in ({', '.join(S.q(s) for s in BASE_SPECIALS)}) qualify rn <= {VOCAB_SIZE - len(BASE_SPECIALS)}), "
+          "t as materialized (select cast(sum(freq) as double) as total from k) "
+          f"select cast(rn + {len(BASE_SPECIALS) - 1} as integer) as id, piece, round(ln(freq / total), 6) as score from k, t union all "
+          + " union all ".join(f"select {i}, {S.q(s)}, 0.0" for i, s in enumerate(BASE_SPECIALS)))
 def v6_score_table(spark, sf):
     st = vocab.score_table(word_vocab(spark, sf))
     return st.select("id", "piece", F.round("score", 6).alias("score"))
