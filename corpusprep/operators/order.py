@@ -110,6 +110,12 @@ def _ranged(df: DataFrame, order: Sequence, num_partitions: int | None) -> DataF
     return r.withColumn("_pid", F.shiftrightunsigned("_mid", _IDX_BITS).cast("int"))
 
 
+def ranged(df: DataFrame, order: Sequence, num_partitions: int | None = None) -> DataFrame:
+    """``df`` range-partitioned, sorted and materialised, with ``_pid`` (the
+    physical partition) and ``_mid`` (the position)."""
+    return _ranged(df, order, num_partitions)
+
+
 def _partition_bases(r: DataFrame, value: Column | None) -> dict[int, tuple[int, int]]:
     """Rows and sum of ``value`` before each partition (bounded by the partition
     count, not by the data)."""

@@ -1,19 +1,21 @@
 """Conversation forest jobs.
 
-Messages are an edge list (message_id, parent_id). Closures are loops of
-frontier joins (one join per tree level, lineage cut by a reliable checkpoint
-each round); only keys and depth travel through the loop, text is attached
-afterwards. Sibling order is (coalesce(rank, 0), message_id) - a distributed
+Messages are an edge list (message_id, parent_id). Closures double the way up
+in each round (log2 of the depth, lineage cut by a reliable checkpoint each
+round); only keys and depth travel through the loop, text is attached
+afterwards. Contexts are a running concatenation along the paths. Sibling order is (coalesce(rank, 0), message_id) - a distributed
 rank, so a parent with a huge fan-out still spreads over all tasks.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusprep.functions import text as tx
-from corpusprep.operators.order import hash_order, rank_within
+from corpusprep.operators.order import hash_order, rank_within, ranged
 from corpusprep.session import BROADCAST_ROW_LIMIT, reliable_checkpoint
 
 
@@ -48,25 +50,30 @@ def children_of(m: DataFrame) -> DataFrame:
 
 
 def closure(start: DataFrame, edge: DataFrame) -> DataFrame:
-    """Frontier loop: start(root_id, message_id) -> every node reachable over
-    ``edge(parent_id, message_id)``, with depth (0 for the start nodes). Every
-    message has one parent, so no cycle is reachable from a root and the loop
-    ends with the deepest message."""
-    frontier = reliable_checkpoint(start.select("root_id", "message_id", F.lit(0).alias("depth")))
-    e = edge.select(F.col("parent_id").alias("message_id"), F.col("message_id").alias("_child"))
-    parts = [frontier]
+    """start(root_id, message_id) -> every node reachable over
+    ``edge(parent_id, message_id)``, with depth (0 for the start nodes, which
+    have no parent in ``edge``).
+
+    Path doubling: every message knows an ancestor and how far up it is, at
+    first its parent; a round replaces it by that ancestor's own ancestor, so
+    depth d takes log2(d) rounds of one join on unique keys. Messages whose way
+    up ends elsewhere drop out (orphans, other trees), and so do cycles, which
+    are what is left when a round brings no message to a root."""
+    state = (start.select("message_id", F.col("root_id").alias("up"), F.lit(0).alias("depth"), F.lit(True).alias("done"))
+             .unionByName(edge.select("message_id", F.col("parent_id").alias("up"), F.lit(1).alias("depth"), F.lit(False).alias("done"))))
+    state, left = reliable_checkpoint(state), None
     while True:
-        nxt = (frontier.join(e, "message_id")
-               .select("root_id", F.col("_child").alias("message_id"), (F.col("depth") + 1).alias("depth")))
-        nxt = reliable_checkpoint(nxt)
-        if nxt.isEmpty():
+        ways = state.filter(~F.col("done"))
+        n = ways.count()
+        if n == 0 or n == left:
             break
-        parts.append(nxt)
-        frontier = nxt
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        left = n
+        over = state.select(F.col("message_id").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_more"),
+                            F.col("done").alias("_done"))
+        moved = ways.join(over, "up").select("message_id", F.col("_up").alias("up"), (F.col("depth") + F.col("_more")).alias("depth"),
+                                             F.col("_done").alias("done"))
+        state = reliable_checkpoint(state.filter("done").unionByName(moved))
+    return state.filter("done").select(F.col("up").alias("root_id"), "message_id", "depth")
 
 
 def descendants(m: DataFrame, root_ids: DataFrame) -> DataFrame:
@@ -86,17 +93,60 @@ def best_path(m: DataFrame, ranked: DataFrame | None = None) -> DataFrame:
 
 def render_context(path: DataFrame, m: DataFrame, upto: DataFrame) -> DataFrame:
     """For each (node_id, root_id, depth) in ``upto`` the rendered turns of
-    its path prefix (depth 0..depth, in order) + '<MODEL>'. Built by an
-    equi-join on (root_id, depth) of the exploded prefix depths."""
-    turns = (path.join(m.select("message_id", "role", "text"), "message_id")
-             .select("root_id", "depth", tx.render_turn("role", "text").alias("turn")))
-    want = upto.select("node_id", "root_id",
-                       F.explode(F.sequence(F.lit(0), F.col("depth"))).alias("depth"))
-    j = want.join(turns, ["root_id", "depth"])
-    return j.groupBy("node_id").agg(
-        F.concat(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("depth", "turn"))),
-                                          lambda s: s["turn"]), ""),
-                 F.lit(tx.MODEL_OPEN)).alias("prompts"))
+    its path prefix (depth 0..depth, in order) + '<MODEL>'.
+
+    A running concatenation along (root_id, depth) in two phases: the turns are
+    range-partitioned and sorted, one row each, and a partition needs from the
+    ones before it only the text of the path that crosses its border. No prefix
+    is taken apart into rows of its own."""
+    far = upto.groupBy("root_id").agg(F.max("depth").alias("_far"))
+    turns = (path.join(far, "root_id").filter(F.col("depth") <= F.col("_far"))
+             .join(m.select("message_id", "role", "text"), "message_id")
+             .join(upto.select("node_id", "root_id", "depth"), ["root_id", "depth"], "left")
+             .select("root_id", "depth", "node_id", tx.render_turn("role", "text").alias("turn")))
+    turns = ranged(turns, ["root_id", "depth"]).select("root_id", "node_id", "turn", "_pid")
+
+    def ends(batches):
+        pid, first, last, whole, held = None, None, None, True, []
+        for b in batches:
+            for r, t, p in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
+                if pid is None:
+                    pid, first = p, r
+                elif r != last:
+                    whole, held = False, []
+                last = r
+                held.append(t or "")
+        if pid is not None:
+            yield pa.RecordBatch.from_pydict({"pid": pa.array([pid], pa.int32()), "first": pa.array([first], pa.string()),
+                                              "last": pa.array([last], pa.string()), "whole": [whole], "tail": pa.array(["".join(held)])})
+
+    # a row per partition; its text is that of one path
+    carry, text, open_root = {}, "", None
+    for e in sorted(turns.select(F.col("root_id").cast("string"), "node_id", "turn", "_pid").mapInArrow(
+            ends, "pid int, first string, last string, whole boolean, tail string").collect(), key=lambda e: e["pid"]):
+        if e["first"] == open_root:
+            carry[e["pid"]] = text
+        text = (text if e["whole"] and e["first"] == open_root else "") + e["tail"]
+        open_root = e["last"]
+
+    def scan(batches):
+        root, held = None, None
+        for b in batches:
+            nodes, out = [], []
+            for r, node, t, p in zip(*(b.column(i).to_pylist() for i in range(4))):
+                if held is None:
+                    root, held = r, [carry.get(p, "")]
+                elif r != root:
+                    root, held = r, []
+                held.append(t or "")
+                if node is not None:
+                    held = ["".join(held)]
+                    nodes.append(node)
+                    out.append(held[0] + tx.MODEL_OPEN)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, b.column(1).type), pa.array(out, pa.string())], ["node_id", "prompts"])
+
+    kind = T.StructType([turns.schema["node_id"], T.StructField("prompts", T.StringType())])
+    return turns.mapInArrow(scan, kind)
 
 
 def preference_pairs(m: DataFrame, assistant_only: bool = False) -> DataFrame:
