@@ -7,12 +7,14 @@ a distributed top-k, large ranks from the range-partitioned ``global_rank``.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusprep.operators.order import hash_order, keys_at, order_key, rank_within, take_first
+from corpusprep.operators.vocab import bounded_broadcast
 from corpusprep.session import BROADCAST_ROW_LIMIT, reliable_checkpoint
 
 SPLITS = ("train", "validation", "test")
@@ -86,21 +88,53 @@ def max_bytes(df: DataFrame, n: int = 16384, text: str = "text") -> DataFrame:
     return df.filter(F.octet_length(text) <= n)
 
 
+def first_of_groups(df: DataFrame, quotas: dict[str, int], key: str, group: str = "dataset", seed: int = 42) -> DataFrame:
+    """Per group exactly its quota of rows, first in hash order (groups without
+    one are left out; keys must be unique).
+
+    Only (group, hash, key) is ranked; the key at each group's quota comes back
+    (a row per group), and the rest is a filter over the table: its other
+    columns take no shuffle, however many groups end somewhere."""
+    quotas = {g: int(n) for g, n in quotas.items() if n > 0}
+    if not quotas:
+        return df.limit(0)
+    spark = df.sparkSession
+    q = spark.createDataFrame(list(quotas.items()), f"{group} string, _quota long")
+    keys = df.filter(F.col(group).isin(list(quotas))).select(group, hash_order(seed, key).alias("_h"), F.col(key).alias("_k"))
+    # the last row that counts: at the quota, or the group's last one
+    ranked = rank_within(keys, group, ["_h", "_k"], out="_rn").join(bounded_broadcast(q), group)
+    edge = (ranked.filter(F.col("_rn") <= F.col("_quota")).groupBy(group)
+            .agg(F.max(F.struct("_h", "_k")).alias("_edge")))
+    return (df.join(bounded_broadcast(reliable_checkpoint(edge)), group)
+            .filter(F.struct(hash_order(seed, key).alias("_h"), F.col(key).alias("_k")) <= F.col("_edge")).select(*df.columns))
+
+
 def sample_by_fraction(df: DataFrame, fractions: dict[str, float], key: str,
                        group: str = "dataset", seed: int = 42) -> DataFrame:
     """Per group keep exactly floor(count * fraction) rows (fraction capped
     at 1; groups without a fraction or with 0 are skipped) in hash order."""
     fr = {g: min(float(f), 1.0) for g, f in fractions.items() if f and f > 0}
-    if not fr:
-        return df.limit(0)
-    spark = df.sparkSession
-    quotas = (df.filter(F.col(group).isin(list(fr))).groupBy(group).count().collect())
-    q = spark.createDataFrame([(r[group], int(r["count"] * fr[r[group]])) for r in quotas],
-                              f"{group} string, _quota long")
-    keyed = df.filter(F.col(group).isin(list(fr))).withColumn("_h", hash_order(seed, key))
-    ranked = rank_within(keyed, group, ["_h", key], out="_rn")
-    return (ranked.join(F.broadcast(q), group)  # one row per group
-            .filter(F.col("_rn") <= F.col("_quota")).drop("_h", "_rn", "_quota"))
+    counts = df.filter(F.col(group).isin(list(fr))).groupBy(group).count().collect() if fr else []
+    return first_of_groups(df, {r[group]: int(r["count"] * fr[r[group]]) for r in counts}, key, group, seed)
+
+
+def sample_by_shards(df: DataFrame, requested: dict[str, int], key: str, shard: str,
+                     group: str = "dataset", seed: int = 42) -> DataFrame:
+    """``requested`` shards of each dataset, as so large a share of its rows:
+    of ``a`` available shards (distinct values of ``shard``) and ``c`` rows,
+    exactly floor(c * requested / a) in hash order, all of them if as many or
+    more are asked for than there are (with a warning). 0 skips a dataset; one
+    that does not exist is an error."""
+    want = {g: int(n) for g, n in requested.items() if n}
+    have = {r[group]: r for r in (df.filter(F.col(group).isin(list(want))).groupBy(group)      # a row per dataset
+                                  .agg(F.countDistinct(shard).alias("a"), F.count(F.lit(1)).alias("c")).collect())}
+    missing = sorted(set(want) - set(have))
+    if missing:
+        raise FileNotFoundError(f"no such dataset: {', '.join(missing)}")
+    for g, n in want.items():
+        if n > have[g]["a"]:
+            warnings.warn(f"{n} shards of {g} requested, {have[g]['a']} available: all are used", stacklevel=2)
+    return first_of_groups(df, {g: have[g]["c"] * min(n, have[g]["a"]) // have[g]["a"] for g, n in want.items()}, key, group, seed)
 
 
 def interleave(df: DataFrame, group: str, order: Sequence[str], group_order: Sequence[str],

@@ -795,6 +795,21 @@ def r5_sample_by_fraction(spark, sf):
         "dataset", "doc_id")
 
 
+# requested shards of each dataset; a source is a shard
+SHARDS = {"en": 5, "fr": 300, "de": 1, "es": 0}
+
+
+@register("r5_sample_by_shards",
+          "select dataset, doc_id, octet_length(encode(text)) as bytes from (select *, row_number() over (partition by dataset order by "
+          f"{S.h_seed('doc_id')}, doc_id) as rn, count(*) over (partition by dataset) as cnt from ({S.text_table()})) join "
+          "(select lang as dataset, count(distinct source) as a from documents group by lang) using (dataset) "
+          "where rn <= cnt * least(a, case dataset " + " ".join(f"when '{k}' then {v}" for k, v in SHARDS.items())
+          + " else 0 end) // a")
+def r5_sample_by_shards(spark, sf):
+    some = split.sample_by_shards(tb.text_table(spark, sf), SHARDS, "doc_id", "source", "dataset", SEED)
+    return some.select("dataset", "doc_id", F.octet_length("text").alias("bytes"))
+
+
 @register("r7_max_bytes", f"select doc_id, octet_length(encode(text)) as bytes from documents where octet_length(encode(text)) <= {MAX_BYTES}")
 def r7_max_bytes(spark, sf):
     d = tb.read_table(spark, sf, "documents")

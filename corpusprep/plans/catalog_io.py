@@ -45,6 +45,22 @@ def k1_write_splits(spark, sf):
 _V3 = ORACLE["v3_word_vocab"]
 
 
+@register("k2_numbered_files",
+          "select printf('books_%05d.jsonl', cast((rn - 1) // {n} as integer)) as file, cast(count(*) as bigint) as rows, "
+          "cast(sum(length(text)) as bigint) as chars, "
+          "md5(string_agg(md5(text), '' order by rn)) as content from (select text, row_number() over (order by doc_id) as rn from documents) "
+          "group by file".format(n=RECORDS_PER_FILE))
+def k2_numbered_files(spark, sf):
+    root = io.scratch_path(spark, "numbered")
+    io.write_numbered(tb.read_table(spark, sf, "documents").select("doc_id", "text"), root, ["doc_id"], RECORDS_PER_FILE)
+    files = spark.read.text(f"{root}/*.jsonl", wholetext=True).withColumn("file", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1))
+    texts = F.transform(F.filter(F.split("value", "\n"), lambda x: x != ""), lambda x: F.get_json_object(x, "$.text"))
+    t = files.select("file", texts.alias("t"))      # a file holds RECORDS_PER_FILE texts at most
+    return t.select("file", F.size("t").cast("long").alias("rows"),
+                    F.aggregate("t", F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("chars"),
+                    F.md5(F.array_join(F.transform("t", lambda x: F.md5(x)), "")).alias("content"))
+
+
 def _saved_vocab(spark, sf):
     path = io.scratch_path(spark, "vocab")
     io.save_vocab(word_vocab(spark, sf), path)

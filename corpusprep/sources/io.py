@@ -186,6 +186,43 @@ def write_jsonl(df: DataFrame, root: str, records_per_file: int = 100, text: str
     return root
 
 
+def write_numbered(df: DataFrame, root: str, order: Sequence[str], records_per_file: int = 100, prefix: str = "books",
+                   text: str = "text") -> list[str]:
+    """K2: JSON-lines files ``{prefix}_{00000}.jsonl``, ``{prefix}_{00001}.jsonl``
+    ... of exactly ``records_per_file`` rows in ``order`` (unique), the last one
+    of what is left. Returns their names; an empty table gives none.
+
+    Two phases: a row's file follows from its distributed rank, each file is
+    written whole by one task into a staging folder under Spark's own commit
+    protocol, and only when that job has committed are the files moved to their
+    names. A failed job leaves no file under ``root``, and the staging folder
+    goes in either case."""
+    from corpusprep.operators.order import global_rank
+    spark = df.sparkSession
+    staging = f"{root.rstrip('/')}/_staging-{uuid.uuid4().hex[:12]}"
+    fs, base = _fs(spark, root)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    try:
+        ranked = global_rank(df.select(*dict.fromkeys([*order, text])), list(order), "_pos")
+        number = F.floor((F.col("_pos") - 1) / int(records_per_file)).cast("long")
+        (ranked.withColumn("_file", number).repartition("_file").sortWithinPartitions("_file", "_pos")
+         .select("_file", text).write.partitionBy("_file").json(staging))
+        names = []
+        for s in fs.listStatus(path(staging)):      # one entry per file written
+            if not s.isDirectory():
+                continue
+            i = int(s.getPath().getName().split("=")[1])
+            part = [x.getPath() for x in fs.listStatus(s.getPath()) if x.getPath().getName().startswith("part-")]
+            name = f"{prefix}_{i:05d}.jsonl"
+            fs.delete(path(base, name), False)
+            if len(part) != 1 or not fs.rename(part[0], path(base, name)):
+                raise OSError(f"{name} cannot be put in place")
+            names.append(name)
+        return sorted(names)
+    finally:
+        fs.delete(path(staging), True)
+
+
 def write_corpus(df: DataFrame, path: str, line: str = "line") -> str:
     """K3: one cleaned line per sample, UTF-8 text files."""
     df.select(line).write.mode("overwrite").text(path)

@@ -128,3 +128,37 @@ def test_a_skewed_dataset_is_written_by_many_tasks(spark, tmp_path):
         spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", old)
     assert len(glob.glob(str(tmp_path / "s/dataset=en/split=train/*.parquet"))) >= 4
     assert spark.read.parquet(str(tmp_path / "s")).count() == 60_000
+
+
+def test_numbered_files_hold_exactly_n_rows_in_order(spark, tmp_path):
+    import json
+    import os
+
+    rows = [(i * 7 % 1009, f"text {i}\nsecond \"line\" é") for i in range(1009)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(9)
+    root = f"{tmp_path}/out"
+    names = io.write_numbered(df, root, ["doc_id"], 100)
+    assert names == [f"books_{i:05d}.jsonl" for i in range(11)]
+    assert sorted(n for n in os.listdir(root) if not n.startswith(".")) == names
+    want = [t for _, t in sorted(rows)]
+    got = []
+    for i, n in enumerate(names):
+        with open(f"{root}/{n}", encoding="utf-8") as f:
+            lines = [json.loads(x) for x in f]
+        assert len(lines) == (100 if i < 10 else 9) and all(set(x) == {"text"} for x in lines)
+        got += [x["text"] for x in lines]
+    assert got == want
+    assert io.write_numbered(df.limit(0), f"{tmp_path}/none", ["doc_id"]) == []
+
+
+def test_a_failed_write_leaves_no_numbered_file(spark, tmp_path):
+    import os
+
+    from pyspark.sql import functions as F
+
+    df = spark.range(500).select(F.col("id").alias("doc_id"), F.when(F.col("id") == 444, F.raise_error("broken")).otherwise(
+        F.col("id").cast("string")).alias("text"))
+    root = f"{tmp_path}/out"
+    with pytest.raises(Exception, match="broken"):
+        io.write_numbered(df, root, ["doc_id"], 100)
+    assert not os.path.exists(root) or not [n for n in os.listdir(root) if not n.startswith(".")]
