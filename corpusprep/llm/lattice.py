@@ -75,7 +75,7 @@ def cells(y: np.ndarray, probes: int) -> np.ndarray:
 def scale_for(n: int) -> float:
     """Lattice scale at which the cells grow with the number of vectors (a unit
     vector's projection covers about (4.13 scale)**8 cells)."""
-    return float(np.clip((8.0 * max(n, 1)) ** 0.125 / 4.13, 0.8, 1.8))
+    return float(max((8.0 * max(n, 1)) ** 0.125 / 4.13, 0.8))
 
 
 def tables_for(scale: float, probes: int, cosine: float = COSINE, recall: float = RECALL, samples: int = 4000) -> int:
@@ -87,7 +87,7 @@ def tables_for(scale: float, probes: int, cosine: float = COSINE, recall: float
     y = x + scale * gap * rng.standard_normal((samples, 8))
     a, b = cells(x, probes), cells(y, probes)
     meet = (a[:, None, 0] == b).all(axis=2).any(axis=1) | (b[:, None, 0] == a).all(axis=2).any(axis=1)
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - min(max(meet.mean(), 0.01), 0.999))))
+    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - min(max(meet.mean(), 1e-4), 0.999))))
 
 
 def projections(tables: int, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -117,7 +117,8 @@ def units(vecs: list[bytes]) -> np.ndarray:
 
 
 def prepare(vectors: DataFrame, key: str, vector: str, label: str) -> DataFrame:
-    """(id, label, vec): valid vectors as bytes of doubles, null for the others."""
+    """(id, label, vec): valid vectors as bytes of doubles, null for the others;
+    a label of any type goes by the hash of its text."""
     kt = vectors.schema[key].dataType
     schema = T.StructType([T.StructField("id", kt), T.StructField("label", T.LongType()),
                            T.StructField("vec", T.BinaryType())])
@@ -135,7 +136,8 @@ def prepare(vectors: DataFrame, key: str, vector: str, label: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1).cast(pa.int64()), pa.array(out, pa.binary())],
                                              schema.names)
 
-    return vectors.select(F.col(key).alias("id"), F.col(label).cast("long").alias("label"), vector).mapInArrow(run, schema)
+    hashed = F.when(F.col(label).isNotNull(), F.xxhash64(F.col(label).cast("string")))
+    return vectors.select(F.col(key).alias("id"), hashed.alias("label"), vector).mapInArrow(run, schema)
 
 
 def owned(cell: int, a: dict, b: dict, i: np.ndarray, j: np.ndarray) -> np.ndarray:

@@ -94,3 +94,17 @@ def test_decoder_finds_the_nearest_point():
     assert np.allclose(p * 2, np.round(p * 2)) and np.allclose(p.sum(axis=1) % 2, 0)
     mine = ((x - p) ** 2).sum(axis=1)
     assert (mine <= (((x - p)[:, None] - v[None]) ** 2).sum(axis=2).min(axis=1) + 1e-9).all()
+
+
+def test_labels_of_any_type(spark):
+    """Text labels are compared as they are; results equal those of numbers."""
+    docs = read(spark, SMALL, "embeddings")
+    plain = sorted(tuple(r) for r in L.near_duplicates(docs).collect())
+    for kind in ("concat('label ', label)", "cast(label as double)"):
+        got = sorted(tuple(r) for r in L.near_duplicates(docs.selectExpr("vec_id", "embedding", f"{kind} as label")).collect())
+        assert got == plain
+
+
+def test_cells_keep_growing_with_the_vectors():
+    scales = [L.scale_for(10 ** k) for k in range(3, 13)]
+    assert all(a < b for a, b in zip(scales[2:], scales[3:]))
