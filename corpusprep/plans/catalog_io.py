@@ -175,6 +175,21 @@ def k6_append_metrics(spark, sf):
     return spark.read.schema(m.schema).parquet(path).select("run", "tag", "step", "value")
 
 
+# a log holds numbers and texts; a second append replaces only the runs it has
+@register("k6_metric_texts",
+          "select run, tag, cast(step as bigint) as step, case when step % 2 = 1 then value end as value, "
+          f"case when step % 2 = 0 then tag || ' at ' || step end as text from ({S.metrics()})")
+def k6_metric_texts(spark, sf):
+    m = tb.metrics(spark, sf).select("run", "tag", F.col("step").cast("long"), "value")
+    even = F.col("step") % 2 == 0
+    note = F.concat("tag", F.lit(" at "), F.col("step").cast("string"))
+    rows = m.select("run", "tag", "step", F.when(~even, F.col("value")).alias("value"), F.when(even, note).alias("text"))
+    path = io.scratch_path(spark, "metric-texts")
+    io.append_metrics(rows.withColumn("text", F.lit("replaced")), path)
+    io.append_metrics(rows, path, overwrite=True)
+    return spark.read.schema(rows.schema).parquet(path).select("run", "tag", "step", "value", "text")
+
+
 HPARAMS = {"batch": float(BATCH), "ctx": float(CTX)}
 
 

@@ -49,6 +49,23 @@ def p6_format_example(spark, sf):
     return pre.unionByName(sft.select(F.lit("post_training_sft").alias("mode"), "row_id", "prompt", "completion"))
 
 
+# turns to render, and prompts that are rendered already
+@register("p6_format_preference",
+          "select 'openassistant' as mode, id, '<USER>' || instruction || '</USER>' || case when input is not null then "
+          "'<MODEL>' || input || '</MODEL>' else '' end || '<MODEL>' as prompts, output || '</MODEL>' as accepted, "
+          f"instruction || '</MODEL>' as rejected from ({S.instructions()}) "
+          "union all select 'post_training_rl', id, instruction, output || '</MODEL>', instruction || '</MODEL>' "
+          f"from ({S.instructions()})")
+def p6_format_preference(spark, sf):
+    i = tb.instructions(spark, sf)
+    turn = lambda role, text: F.struct(F.lit(role).alias("role"), F.col(text).alias("text"))
+    context = F.filter(F.array(turn("prompter", "instruction"), turn("assistant", "input")), lambda t: t["text"].isNotNull())
+    rows = i.select("id", context.alias("context"), F.col("instruction").alias("prompts"), F.col("output").alias("accepted"),
+                    F.col("instruction").alias("rejected"))
+    out = [formats.format_example(rows, mode, ["id"]).withColumn("mode", F.lit(mode)) for mode in ("openassistant", "post_training_rl")]
+    return out[0].unionByName(out[1]).select("mode", "id", "prompts", "accepted", "rejected")
+
+
 @register("c3_strip", rf"select pos, regexp_replace(text, '^\s+|\s+$', '', 'g') as text from ({S.wiki_lines()})")
 def c3_strip(spark, sf):
     return tb.wiki_lines(spark, sf).select("pos", tx.strip("text").alias("text"))
