@@ -10,8 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusprep.functions import text as tx
 from corpusprep.session import BROADCAST_ROW_LIMIT, reliable_checkpoint
@@ -139,3 +143,43 @@ def compare_encodings(df: DataFrame, vocab_a: DataFrame, vocab_b: DataFrame,
     return r.groupBy(group).agg(F.count(F.lit(1)).alias("docs"),
                                 F.count(F.when(F.col("_d") == 0, 1)).alias("equal_docs"),
                                 F.round(F.sum("_d") / F.sum("_n"), 6).alias("mismatch_rate"))
+
+
+def compare_alignment(df: DataFrame, a: Column, b: Column, key: str = "doc_id") -> DataFrame:
+    """V7 by characters: two ways ``a`` and ``b`` (array<string>) to cut the same
+    text. Per row ``key, n_a, n_b`` (tokens), ``n_same`` (tokens that both have
+    at the same characters) and ``n_different`` (stretches between cuts that
+    both make which they fill differently), so one token more or less is one
+    difference and the rest of the text still counts as the same.
+
+    Character ends of all rows of a batch are merged as one sorted array; a null
+    or empty list has no tokens."""
+    schema = T.StructType([df.schema[key], *[T.StructField(c, T.LongType()) for c in ("n_a", "n_b", "n_same", "n_different")]])
+    shift = 1 << 32
+
+    def spans(col):
+        """(row * 2**32 + start, row * 2**32 + end) of each token, tokens per row."""
+        offs = np.asarray(col.offsets, dtype=np.int64)
+        offs = offs - offs[0]
+        n = np.diff(offs)
+        size = pc.utf8_length(col.flatten()).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        end = np.cumsum(size)
+        base = np.repeat(np.concatenate([[0], end])[offs[:-1]], n)
+        row = np.repeat(np.arange(len(n)), n) * shift
+        return row + end - base - size, row + end - base, n
+
+    def run(batches):
+        for batch in batches:
+            rows = batch.num_rows
+            (sa, ea, na), (sb, eb, nb) = spans(batch.column(1)), spans(batch.column(2))
+            cuts = np.intersect1d(ea, eb)
+            # the tokens of a row are in order, so equal ends are met once; both must start there too
+            same = np.intersect1d(ea, eb, return_indices=True)[1:]
+            same = cuts[sa[same[0]] == sb[same[1]]]
+            per = [np.bincount(x // shift, minlength=rows) for x in (same, cuts)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(na), pa.array(nb), pa.array(per[0]), pa.array(per[1] - per[0])],
+                                             schema.names)
+
+    none = F.array().cast("array<string>")
+    keep = lambda c: F.filter(F.coalesce(c, none), lambda x: x != "")
+    return df.select(key, keep(a).alias("a"), keep(b).alias("b")).mapInArrow(run, schema)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusprep.functions import text as tx
-from corpusprep.operators import bpe, tokenise, unigram
+from corpusprep.operators import bpe, tokenise, unigram, vocab
 from corpusprep.plans import sqlparts as S
 from corpusprep.plans.catalog import register
 from corpusprep.profiles import BASE_SPECIALS
@@ -123,6 +123,27 @@ def t1_encode_unigram(spark, sf):
     return t.join(dec, "doc_id").select("doc_id", (F.col("decoded") == F.col("text")).alias("roundtrip_equal"))
 
 
+_META = S.metaspace("text")
+_SCRIPT_PIECES = "'▁?\\p{Latin}+|▁?\\p{L}+|▁?\\p{N}|▁?[^\\p{L}\\p{N}▁]+|▁'"
+
+
+def _spans_sql(name: str, pieces: str) -> str:
+    return (f"{name}l as (select doc_id, unnest(p) as piece, generate_subscripts(p, 1) as i from (select doc_id, {pieces} as p from documents)), "
+            f"{name} as (select doc_id, sum(length(piece)) over w - length(piece) as s, sum(length(piece)) over w as e from {name}l "
+            "window w as (partition by doc_id order by i rows unbounded preceding))")
+
+
+# whole words against runs of one script: where they cut alike, and how often they differ
+@register("v7_aligned_tokens",
+          f"with {_spans_sql('a', S.pieces('text'))}, {_spans_sql('b', f'regexp_extract_all({_META}, {_SCRIPT_PIECES})')}, "
+          "j as (select a.doc_id, count(*) as cuts, count(*) filter (a.s = b.s) as same from a join b on a.doc_id = b.doc_id and a.e = b.e group by a.doc_id) "
+          "select doc_id, (select count(*) from a where a.doc_id = d.doc_id) as n_a, (select count(*) from b where b.doc_id = d.doc_id) as n_b, "
+          "coalesce(same, 0) as n_same, coalesce(cuts - same, 0) as n_different from documents d left join j using (doc_id)")
+def v7_aligned_tokens(spark, sf):
+    t = tb.text_table(spark, sf)
+    return vocab.compare_alignment(t, tx.metaspace_pieces(F.col("text")), tx.metaspace_script_pieces(F.col("text")))
+
+
 @register("c4_normalize_text", "select doc_id, text from documents")
 def c4_normalize_text(spark, sf):
     """NFKC leaves the given documents unchanged (checked); the literal
