@@ -161,6 +161,7 @@ def preference_pairs(m: DataFrame, assistant_only: bool = False) -> DataFrame:
     branching = (path.join(rc.select(F.col("parent_id").alias("message_id"), "n_children").distinct(),
                            "message_id")
                  .filter(F.col("n_children") >= 2))
+    branching = reliable_checkpoint(branching)      # keys only, read several times
     prompts = render_context(path, m, branching.select(F.col("message_id").alias("node_id"),
                                                        "root_id", "depth"))
     kids = rc.join(m.select("message_id", "text", "role"), "message_id")
