@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusprep.functions import text as tx
-from corpusprep.operators import pack, split, stats, tree, vocab
+from corpusprep.operators import order, pack, split, stats, tree, vocab
 from corpusprep.plans import jobs
 from corpusprep.plans import sqlparts as S
 from corpusprep.plans.catalog import (_PAIR_ROWS, BATCH, CTX, CORPUS_CHUNK, MAX_LINES, MAX_SAMPLES, ORACLE, SEED, chat_vocab,
@@ -155,6 +155,46 @@ def a9_running_totals(spark, sf):
     return spark.read.parquet(out).select("ok", "failed", "tokens")
 
 
+# The stream in seeded order, every thirteenth book with a page missing; splits
+# take 70 %, 10 % and 5 % of the records, the rest is left in the stream.
+BROKEN_MOD = 13
+QUOTAS = {"train": (7, 10), "validation": (1, 10), "test": (1, 20)}
+_BOOK_COLUMNS = ["book_id", "title_src", "author_src", "date1_src", "text_by_page_src", "token_count"]
+_QUOTA_ROWS = ("select doc_id, rn, case " + " ".join(
+    f"when rn <= {' + '.join(f'n * {a} // {b}' for a, b in list(QUOTAS.values())[:i + 1])} then '{s}'" for i, s in enumerate(QUOTAS))
+    + " end as split from (select doc_id, row_number() over (order by "
+    f"{S.h_seed("doc_id")}, doc_id) as rn, count(*) over () as n from documents)")
+
+
+def _quota_run(spark, sf):
+    b = tb.books(spark, sf)
+    broken = F.concat("text_by_page_src", F.array(F.lit(None).cast("string")))
+    b = b.withColumn("text_by_page_src", F.when(F.col("book_id") % BROKEN_MOD == 0, broken).otherwise(F.col("text_by_page_src")))
+    n = b.count()
+    shards, out, ck = (io.scratch_path(spark, x) for x in ("quota-shards", "quota", "quota-ckpt"))
+    b = b.withColumn("position", order.hash_order(SEED, "book_id"))
+    io.write_numbered(b, shards, ["position", "book_id"], RECORDS_PER_FILE, text=["position", *_BOOK_COLUMNS])
+    io.stamp_in_name_order(spark, shards)
+    ingest.stream_quota(spark, shards, out, ck, {s: n * a // b for s, (a, b) in QUOTAS.items()}, ["position", "book_id"],
+                        "position long, " + ingest.BOOK_SCHEMA, max_files_per_trigger=10 * FILES_PER_TRIGGER)
+    return out
+
+
+@register("s6_stream_quota", f"select r.split, b.book_id, b.text, b.token_count from ({_QUOTA_ROWS}) r join "
+          f"(select book_id, text, token_count from ({_P2})) b on b.book_id = r.doc_id "
+          f"where r.split is not null and r.doc_id % {BROKEN_MOD} <> 0")
+def s6_stream_quota(spark, sf):
+    return ingest.quota_rows(spark, _quota_run(spark, sf)).select("split", "book_id", "text", "token_count")
+
+
+@register("a9_quota_totals", f"select r.split, count(*) as records, count(*) filter (where r.doc_id % {BROKEN_MOD} <> 0) as ok, "
+          f"count(*) filter (where r.doc_id % {BROKEN_MOD} = 0) as failed, "
+          f"cast(coalesce(sum(b.token_count) filter (where r.doc_id % {BROKEN_MOD} <> 0), 0) as bigint) as tokens "
+          f"from ({_QUOTA_ROWS}) r join ({S.books()}) b on b.book_id = r.doc_id where r.split is not null group by r.split")
+def a9_quota_totals(spark, sf):
+    return ingest.quota_totals(spark, _quota_run(spark, sf)).filter("records > 0").select("split", "records", "ok", "failed", "tokens")
+
+
 @register("k5_write_token_blocks", ORACLE["l1_pack_blocks"])
 def k5_write_token_blocks(spark, sf):
     v = word_vocab(spark, sf)

@@ -10,6 +10,7 @@ FileSystem of the session, never a machine-local folder.
 from __future__ import annotations
 
 import hashlib
+import time
 import uuid
 import warnings
 from collections.abc import Callable, Sequence
@@ -187,10 +188,11 @@ def write_jsonl(df: DataFrame, root: str, records_per_file: int = 100, text: str
 
 
 def write_numbered(df: DataFrame, root: str, order: Sequence[str], records_per_file: int = 100, prefix: str = "books",
-                   text: str = "text") -> list[str]:
+                   text: str | Sequence[str] = "text") -> list[str]:
     """K2: JSON-lines files ``{prefix}_{00000}.jsonl``, ``{prefix}_{00001}.jsonl``
     ... of exactly ``records_per_file`` rows in ``order`` (unique), the last one
-    of what is left. Returns their names; an empty table gives none.
+    of what is left. ``text`` names the column or columns of a record. Returns
+    the names; an empty table gives none.
 
     Two phases: a row's file follows from its distributed rank, each file is
     written whole by one task into a staging folder under Spark's own commit
@@ -199,14 +201,15 @@ def write_numbered(df: DataFrame, root: str, order: Sequence[str], records_per_f
     goes in either case."""
     from corpusprep.operators.order import global_rank
     spark = df.sparkSession
+    record = [text] if isinstance(text, str) else list(text)
     staging = f"{root.rstrip('/')}/_staging-{uuid.uuid4().hex[:12]}"
     fs, base = _fs(spark, root)
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     try:
-        ranked = global_rank(df.select(*dict.fromkeys([*order, text])), list(order), "_pos")
+        ranked = global_rank(df.select(*dict.fromkeys([*order, *record])), list(order), "_pos")
         number = F.floor((F.col("_pos") - 1) / int(records_per_file)).cast("long")
         (ranked.withColumn("_file", number).repartition("_file").sortWithinPartitions("_file", "_pos")
-         .select("_file", text).write.partitionBy("_file").json(staging))
+         .select("_file", *record).write.partitionBy("_file").json(staging))
         names = []
         for s in fs.listStatus(path(staging)):      # one entry per file written
             if not s.isDirectory():
@@ -223,6 +226,19 @@ def write_numbered(df: DataFrame, root: str, order: Sequence[str], records_per_f
         fs.delete(path(staging), True)
 
 
+def stamp_in_name_order(spark: SparkSession, root: str, step_ms: int = 1000) -> int:
+    """Give the files under ``root`` modification times that rise with their
+    names, which is the order in which a file stream takes them. Returns the
+    number of files (one call a file; the content is not touched)."""
+    fs, p = _fs(spark, root)
+    files = sorted((s.getPath() for s in fs.listStatus(p) if s.isFile() and s.getPath().getName()[:1] not in "._"),
+                   key=lambda f: f.getName())
+    start = int(time.time() * 1000) - step_ms * len(files)
+    for i, f in enumerate(files):
+        fs.setTimes(f, start + i * step_ms, -1)
+    return len(files)
+
+
 def write_corpus(df: DataFrame, path: str, line: str = "line") -> str:
     """K3: one cleaned line per sample, UTF-8 text files."""
     df.select(line).write.mode("overwrite").text(path)

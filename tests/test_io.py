@@ -1,6 +1,8 @@
 """Sources, sinks and streaming ingest: behaviour the oracle cannot see
 (resume after restart, strict reads, cache keys, per-run overwrite)."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -162,3 +164,86 @@ def test_a_failed_write_leaves_no_numbered_file(spark, tmp_path):
     with pytest.raises(Exception, match="broken"):
         io.write_numbered(df, root, ["doc_id"], 100)
     assert not os.path.exists(root) or not [n for n in os.listdir(root) if not n.startswith(".")]
+
+
+def _book_shards(spark, root, n, per_file):
+    rows = [(i, f"T{i}", "A", "1901", ["p", None] if i % 5 == 0 else [f"p{i}"], i) for i in range(n)]
+    io.write_numbered(spark.createDataFrame(rows, ingest.BOOK_SCHEMA), root, ["book_id"], per_file,
+                      text=["book_id", "title_src", "author_src", "date1_src", "text_by_page_src", "token_count"])
+    assert io.stamp_in_name_order(spark, root) == -(-n // per_file)
+
+
+def _quota_state(spark, out):
+    totals = {r["split"]: (r["records"], r["ok"], r["failed"], r["tokens"]) for r in ingest.quota_totals(spark, out).collect()}
+    rows = {}
+    for r in ingest.quota_rows(spark, out).collect():
+        rows.setdefault(r["split"], []).append(r["book_id"])
+    return totals, {s: sorted(v) for s, v in rows.items()}
+
+
+def _expected_quotas(quotas, n):
+    totals, rows, at = {}, {}, 0
+    for s, q in quotas.items():
+        ids = range(at, min(at + q, n))
+        ok = [i for i in ids if i % 5]
+        totals[s] = (len(ids), len(ok), len(ids) - len(ok), sum(ok))
+        if ok:
+            rows[s] = ok
+        at += q
+    return totals, rows
+
+
+@pytest.mark.parametrize("files", [1, 3, 100])
+def test_stream_quota_stops_after_its_records(spark, tmp_path, files):
+    shards, out = str(tmp_path / "in"), str(tmp_path / "out")
+    _book_shards(spark, shards, 60, 7)
+    quotas = {"train": 25, "none": 0, "validation": 3, "test": 4}     # two splits end inside one shard
+    ingest.stream_quota(spark, shards, out, str(tmp_path / "ck"), quotas, max_files_per_trigger=files)
+    assert _quota_state(spark, out) == _expected_quotas(quotas, 60)
+    # a finished run reads nothing more, other quotas are refused
+    assert ingest.stream_quota(spark, shards, out, str(tmp_path / "ck"), quotas, max_files_per_trigger=files) is None
+    with pytest.raises(ValueError):
+        ingest.stream_quota(spark, shards, out, str(tmp_path / "ck"), {**quotas, "test": 5})
+
+
+def test_stream_quota_is_exact_after_interruptions(spark, tmp_path):
+    from pyspark.errors import StreamingQueryException
+    shards, out, ck = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck")
+    _book_shards(spark, shards, 40, 6)
+    quotas = {"train": 20, "validation": 9, "test": 100}              # the stream ends before the last is full
+    calls = []
+
+    def breaks(books, *keep):
+        calls.append(1)
+        if len(calls) == 3:
+            raise RuntimeError("interrupted")
+        return ingest.format_books(books, *keep)
+
+    with pytest.raises(StreamingQueryException):
+        ingest.stream_quota(spark, shards, out, ck, quotas, transform=breaks)
+    assert ingest.quota_totals(spark, out).agg(F.sum("records")).first()[0] == 12
+    ingest.stream_quota(spark, shards, out, ck, quotas)
+    want = _expected_quotas(quotas, 40)
+    assert _quota_state(spark, out) == want
+    # stopped after the last batch was written, before it was committed: it runs again
+    last = max(int(f) for f in os.listdir(f"{ck}/commits") if f.isdigit())
+    for f in (f"{ck}/commits/{last}", f"{ck}/commits/.{last}.crc"):
+        os.remove(f)
+    ingest.stream_quota(spark, shards, out, ck, quotas)
+    assert _quota_state(spark, out) == want
+    # later shards go on where the stream ended
+    io.write_numbered(spark.createDataFrame([(i, "T", "A", "1", [f"p{i}"] if i % 5 else ["p", None], i) for i in range(40, 50)],
+                                            ingest.BOOK_SCHEMA), shards, ["book_id"], 10, "later",
+                      text=["book_id", "title_src", "author_src", "date1_src", "text_by_page_src", "token_count"])
+    ingest.stream_quota(spark, shards, out, ck, quotas)
+    assert _quota_state(spark, out) == _expected_quotas(quotas, 50)
+
+
+def test_stream_quota_over_repeated_records(spark, tmp_path):
+    """Equal records at a split's end are told apart by where they were read."""
+    shards, out = str(tmp_path / "in"), str(tmp_path / "out")
+    spark.createDataFrame([(7, "T", "A", "1", ["p"], 1)] * 30, ingest.BOOK_SCHEMA).coalesce(1).write.json(shards)
+    ingest.stream_quota(spark, shards, out, str(tmp_path / "ck"), {"train": 11, "test": 4})
+    totals, rows = _quota_state(spark, out)
+    assert totals == {"train": (11, 11, 0, 11), "test": (4, 4, 0, 4)}
+    assert {s: len(v) for s, v in rows.items()} == {"train": 11, "test": 4}
