@@ -140,9 +140,30 @@ def to_json_text(text) -> Column:
 
 
 # --- fixed values (vocabulary-training pre-split) ---------------------------
-# One run of Latin letters, one run of other letters, each digit alone, one run
-# of other non-space characters (whitespace splits and is dropped).
-SCRIPT_PATTERN = r"\p{IsLatin}+|\p{L}+|\p{N}|[^\p{L}\p{N}\s]+"
+# Scripts that are kept apart, by their Unicode names; letters of any other
+# script form runs of their own. Kana stands in one run with Han, as Japanese
+# writes it, the long vowel mark included.
+SCRIPTS = (
+    "Greek", "Cyrillic", "Armenian", "Hebrew", "Arabic", "Syriac", "Thaana", "Nko",
+    "Devanagari", "Bengali", "Gurmukhi", "Gujarati", "Oriya", "Tamil", "Telugu", "Kannada", "Malayalam", "Sinhala",
+    "Thai", "Lao", "Tibetan", "Myanmar", "Georgian", "Hangul", "Ethiopic", "Cherokee", "Canadian_Aboriginal",
+    "Khmer", "Mongolian", "Bopomofo", "Yi", "Tifinagh", "Coptic", "Gothic", "Glagolitic", "Runic", "Ogham",
+    "Balinese", "Javanese", "Sundanese", "Tagalog", "Limbu", "Lepcha", "Vai", "Cham", "Ol_Chiki",
+)
+JOINED_SCRIPTS = ("Han", "Hiragana", "Katakana")
+LONG_VOWEL = "\u30fc"
+
+
+def script_alternatives(lead: str = "", space: str = r"\s") -> str:
+    """Pattern of one piece: a run of Latin letters, a digit, a run of marks, a
+    run of one other script (digits aside), a run of letters of no listed
+    script, each after an optional ``lead``. Latin text stops at the first."""
+    runs = [r"\p{IsLatin}+", r"\p{N}", rf"[^\p{{L}}\p{{N}}{space}]+",
+            *[rf"[\p{{Is{s}}}&&[^\p{{N}}]]+" for s in SCRIPTS],
+            f"[{''.join(rf'{chr(92)}p{{Is{s}}}' for s in JOINED_SCRIPTS)}{LONG_VOWEL}&&[^\\p{{N}}]]+", r"\p{L}+"]
+    return "|".join(lead + r for r in runs)
+
+
 BYTE_PIECE = "<0x$1>"             # a UTF-8 byte as a piece: <0xC3>
 BYTE_PIECES = tuple(f"<0x{b:02X}>" for b in range(256))
 # ---------------------------------------------------------------------------
@@ -150,14 +171,14 @@ BYTE_PIECES = tuple(f"<0x{b:02X}>" for b in range(256))
 
 def split_by_script(text) -> Column:
     """split_by_unicode_script + split_digits before vocabulary training."""
-    return F.regexp_extract_all(_c(text), F.lit("(?U)" + SCRIPT_PATTERN), 0)
+    return F.regexp_extract_all(_c(text), F.lit("(?U)" + script_alternatives()), 0)
 
 
 def metaspace_script_pieces(text) -> Column:
     """C5 then C6: metaspace pieces cut into runs of one script, single digits
     and runs of marks; a '▁' stays with what follows it."""
     m = METASPACE
-    pattern = (rf"{m}?\p{{IsLatin}}+|{m}?\p{{L}}+|{m}?\p{{N}}|{m}?[^\p{{L}}\p{{N}}{m}]+|{m}")
+    pattern = f"{script_alternatives(f'{m}?', m)}|{m}"
     return F.when(_c(text) == "", F.array().cast("array<string>")).otherwise(
         F.regexp_extract_all(metaspace(text), F.lit("(?s)" + pattern), 0))
 
@@ -167,16 +188,6 @@ def byte_pieces(ch) -> Column:
     return F.regexp_replace(F.hex(F.encode(_c(ch), "UTF-8")), "(..)", BYTE_PIECE)
 
 
-def byte_fallback(pieces, known: Sequence[str]) -> Column:
-    """Every piece not in ``known`` (a bounded list, e.g. the covered
-    alphabet) becomes its byte pieces; array<string> -> array<string>."""
-    kn = F.array(*[F.lit(k) for k in known]) if known else F.array().cast("array<string>")
-    return F.flatten(F.transform(
-        _c(pieces),
-        lambda p: F.when(F.array_contains(kn, p), F.array(p))
-        .otherwise(F.regexp_extract_all(byte_pieces(p), F.lit("<0x..>"), 0))))
-
-
 # --- fixed values (normalisation rules) -------------------------------------
 NORMALISATION_RULES = ("nfkc", "nfkc_cf", "identity")
 # ---------------------------------------------------------------------------

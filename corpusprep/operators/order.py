@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusprep.session import reliable_checkpoint
+from corpusprep.session import broadcast_if, reliable_checkpoint
 
 HASH_DIGITS = 15
 HASH_SPAN = 16 ** HASH_DIGITS
@@ -84,10 +84,16 @@ def _keyed(df: DataFrame, order: Sequence, extra: Sequence[str] = ()) -> tuple[D
     return df, df.select(*dict.fromkeys([*extra, *names])), names
 
 
+# Keys and ranks of so many rows are sent to where the other columns are, which
+# then take no shuffle (keys of fixed width: some 10 MB).
+ATTACH_ROWS = 200_000
+
+
 def _attach(df: DataFrame, ranked: DataFrame, names: Sequence[str], out: str, columns: Sequence[str],
-            unique: bool) -> DataFrame:
+            unique: bool, rows: int) -> DataFrame:
     """Put ``out`` beside the other columns: nothing to do when the keys are all
-    there is, else a join on the (unique) keys, null-safe."""
+    there is, else a join on the (unique) keys, null-safe; a broadcast one for up
+    to ``ATTACH_ROWS`` rows."""
     if not unique or set(df.columns) <= set(ranked.columns):
         return ranked.select(*columns, out)
     r = ranked.select(*[F.col(n).alias(f"_r_{n}") for n in names], out)
@@ -95,6 +101,8 @@ def _attach(df: DataFrame, ranked: DataFrame, names: Sequence[str], out: str, co
     for n in names:
         c = F.col(n).eqNullSafe(F.col(f"_r_{n}"))
         cond = c if cond is None else cond & c
+    if all(isinstance(df.schema[n].dataType, T.NumericType | T.DatetimeType | T.BooleanType) for n in names):
+        r = broadcast_if(r, rows, ATTACH_ROWS)
     return df.join(r, cond).select(*columns, out)
 
 
@@ -116,9 +124,9 @@ def ranged(df: DataFrame, order: Sequence, num_partitions: int | None = None) ->
     return _ranged(df, order, num_partitions)
 
 
-def _partition_bases(r: DataFrame, value: Column | None) -> dict[int, tuple[int, int]]:
+def _partition_bases(r: DataFrame, value: Column | None) -> tuple[dict[int, tuple[int, int]], int]:
     """Rows and sum of ``value`` before each partition (bounded by the partition
-    count, not by the data)."""
+    count, not by the data), and the number of all rows."""
     aggs = [F.count(F.lit(1)).alias("n")]
     if value is not None:
         aggs.append(F.coalesce(F.sum(value), F.lit(0)).cast("long").alias("s"))
@@ -127,7 +135,7 @@ def _partition_bases(r: DataFrame, value: Column | None) -> dict[int, tuple[int,
         out[row["_pid"]] = (acc_n, acc_s)
         acc_n += row["n"]
         acc_s += row["s"] if value is not None else 0
-    return out
+    return out, acc_n
 
 
 def global_rank(df: DataFrame, order: Sequence, out: str = "rank",
@@ -141,11 +149,11 @@ def global_rank(df: DataFrame, order: Sequence, out: str = "rank",
     columns = df.columns
     df, keys, names = _keyed(df, order)
     r = _ranged(keys if unique else df, [F.col(n) for n in names], num_partitions)
-    bases = r.sparkSession.createDataFrame([(p, n) for p, (n, _) in _partition_bases(r, None).items()],
-                                           "_pid int, _base_n long")
-    ranked = r.join(F.broadcast(bases), "_pid").withColumn(
+    before, rows = _partition_bases(r, None)
+    bases = r.sparkSession.createDataFrame([(p, n) for p, (n, _) in before.items()], "_pid int, _base_n long")
+    ranked = r.join(broadcast_if(bases, len(before)), "_pid").withColumn(
         out, F.col("_base_n") + F.col("_mid").bitwiseAND(_IDX_MASK) + 1)
-    return _attach(df, ranked, names, out, columns, unique)
+    return _attach(df, ranked, names, out, columns, unique, rows)
 
 
 def prefix_sum(df: DataFrame, order: Sequence, value: str, out: str = "cum",
@@ -160,7 +168,8 @@ def prefix_sum(df: DataFrame, order: Sequence, value: str, out: str = "cum",
     columns = df.columns
     df, keys, names = _keyed(df, order, [value])
     r = _ranged(keys if unique else df, [F.col(n) for n in names], num_partitions)
-    bases = {p: s for p, (_, s) in _partition_bases(r, F.col(value)).items()}
+    before, rows = _partition_bases(r, F.col(value))
+    bases = {p: s for p, (_, s) in before.items()}
     schema = T.StructType(list(r.schema.fields) + [T.StructField(out, T.LongType(), False)])
     vi = r.columns.index(value)
     pi = r.columns.index("_pid")
@@ -179,7 +188,7 @@ def prefix_sum(df: DataFrame, order: Sequence, value: str, out: str = "cum",
                 list(b.columns) + [pa.array(col, pa.int64())],
                 schema=b.schema.append(pa.field(out, pa.int64(), nullable=False)))
 
-    return _attach(df, r.mapInArrow(scan, schema), names, out, columns, unique)
+    return _attach(df, r.mapInArrow(scan, schema), names, out, columns, unique, rows)
 
 
 def rank_within(df: DataFrame, group: str, order: Sequence, out: str = "rank",
@@ -197,7 +206,7 @@ def rank_within(df: DataFrame, group: str, order: Sequence, out: str = "rank",
     ends = r.groupBy("_pid").agg(F.count(F.lit(1)).alias("n"), F.min_by(F.struct(group), "_mid").alias("first"),
                                  F.max_by(F.struct(group), "_mid").alias("last"))
     ends = reliable_checkpoint(ends)
-    start = (r.join(F.broadcast(ends.select("_pid", F.col(f"last.{group}").alias("_last"))), "_pid")
+    start = (r.join(broadcast_if(ends.select("_pid", F.col(f"last.{group}").alias("_last")), ends.count()), "_pid")
              .filter(F.col(group).eqNullSafe(F.col("_last"))).groupBy("_pid").agg(F.min("_mid").alias("m")).collect())
     start = {x["_pid"]: x["m"] & _IDX_MASK for x in start}
     info, seen, open_group, open_at = {}, 0, None, 0
@@ -234,7 +243,7 @@ def rank_within(df: DataFrame, group: str, order: Sequence, out: str = "rank",
                 schema=b.schema.append(pa.field(out, pa.int64(), nullable=False)))
 
     ranked = r.mapInArrow(scan, schema)
-    return _attach(df, ranked, list(dict.fromkeys([group, *names])), out, columns, unique)
+    return _attach(df, ranked, list(dict.fromkeys([group, *names])), out, columns, unique, seen)
 
 
 def keys_at(df: DataFrame, positions: Sequence[int], order: Sequence, num_partitions: int | None = None):

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from corpusprep.operators.order import hash_order, keys_at, order_key, rank_within, take_first
 from corpusprep.operators.vocab import bounded_broadcast
-from corpusprep.session import BROADCAST_ROW_LIMIT, reliable_checkpoint
+from corpusprep.session import BROADCAST_ROW_LIMIT, broadcast_if, reliable_checkpoint
 
 SPLITS = ("train", "validation", "test")
 
@@ -144,7 +144,7 @@ def interleave(df: DataFrame, group: str, order: Sequence[str], group_order: Seq
     global ``position``. ``unique=False``: rows of a group may repeat in ``order``."""
     spark = df.sparkSession
     gi = spark.createDataFrame([(g, i) for i, g in enumerate(group_order)], f"{group} string, gi int")
-    ranked = rank_within(df.join(F.broadcast(gi), group), group, list(order), out="rn", unique=unique)
+    ranked = rank_within(df.join(broadcast_if(gi, len(group_order)), group), group, list(order), out="rn", unique=unique)
     counts = ranked.groupBy(group).count().collect()
     m = min(r["count"] for r in counts) if len(counts) == len(group_order) else 0
     if stop == "first_exhausted":

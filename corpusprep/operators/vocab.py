@@ -183,3 +183,44 @@ def compare_alignment(df: DataFrame, a: Column, b: Column, key: str = "doc_id")
     none = F.array().cast("array<string>")
     keep = lambda c: F.filter(F.coalesce(c, none), lambda x: x != "")
     return df.select(key, keep(a).alias("a"), keep(b).alias("b")).mapInArrow(run, schema)
+
+
+CODE_POINTS = 0x110000
+
+
+def byte_fallback(df: DataFrame, covered: DataFrame, pieces: str = "pieces") -> DataFrame:
+    """In the array column ``pieces`` every piece that is not a ``piece`` of
+    ``covered`` becomes its UTF-8 bytes as pieces '<0xNN>'. ``covered`` is an
+    alphabet, so there are as many rows as code points at most (checked).
+
+    One lookup per Arrow batch; each distinct missing piece is spelled once. A
+    null array stays null, a null piece too; the other columns are kept."""
+    known = [r["piece"] for r in covered.select("piece").limit(CODE_POINTS + 1).collect()]
+    if len(known) > CODE_POINTS:
+        raise ValueError("more covered pieces than there are characters")
+    alphabet = df.sparkSession.sparkContext.broadcast(known)
+    at = df.columns.index(pieces)
+
+    def run(batches):
+        have = pa.array(alphabet.value, pa.string())
+        for b in batches:
+            col = b.column(at)
+            flat = col.flatten()
+            d = flat.dictionary_encode()
+            spelt = [[p] if p is None or k else [f"<0x{x:02X}>" for x in p.encode()]
+                     for p, k in zip(d.dictionary.to_pylist(), pc.is_in(d.dictionary, have).to_pylist())]
+            spelt.append([None])                                       # what a null piece points to
+            size = np.array([len(x) for x in spelt], np.int64)
+            start = np.cumsum(size) - size
+            code = d.indices.fill_null(len(spelt) - 1).to_numpy(zero_copy_only=False)
+            n = size[code]
+            ends = np.cumsum(n)
+            pick = np.repeat(start[code] - (ends - n), n) + np.arange(int(n.sum()))
+            pool = pa.array([x for s in spelt for x in s], pa.string())
+            lens = pc.fill_null(pc.list_value_length(col), 0).to_numpy(zero_copy_only=False)
+            per = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(lens)])]
+            out = pa.ListArray.from_arrays(pa.array(per, pa.int32()), pool.take(pa.array(pick)),
+                                           mask=col.is_null() if col.null_count else None)
+            yield pa.RecordBatch.from_arrays([out if i == at else c for i, c in enumerate(b.columns)], b.schema.names)
+
+    return df.mapInArrow(run, df.schema)

@@ -124,7 +124,7 @@ def t1_encode_unigram(spark, sf):
 
 
 _META = S.metaspace("text")
-_SCRIPT_PIECES = "'▁?\\p{Latin}+|▁?\\p{L}+|▁?\\p{N}|▁?[^\\p{L}\\p{N}▁]+|▁'"
+_SCRIPT_PIECES = f"'{S.script_pattern('▁?', '▁')}|▁'"
 
 
 def _spans_sql(name: str, pieces: str) -> str:

@@ -71,7 +71,7 @@ def c3_strip(spark, sf):
     return tb.wiki_lines(spark, sf).select("pos", tx.strip("text").alias("text"))
 
 
-_SCRIPT_SQL = r"\p{Latin}+|\p{L}+|\p{N}|[^\p{L}\p{N}\s]+"
+_SCRIPT_SQL = S.script_pattern()
 
 
 @register("c6_split_by_script",
@@ -99,10 +99,7 @@ _COVERED = (f"select piece from (select piece, sum(freq) over (order by freq des
 def c7_byte_fallback(spark, sf):
     t = tb.text_table(spark, sf)
     covered = vocab.char_coverage(vocab.char_counts(t), COVERAGE)
-    known = [r["piece"] for r in covered.select("piece").limit(100_001).collect()]  # alphabet-sized
-    if len(known) > 100_000:
-        raise ValueError("covered alphabet too large to inline")
-    p = t.select("doc_id", tx.byte_fallback(tx.chars(tx.metaspace(F.col("text"))), known).alias("p"))
+    p = vocab.byte_fallback(t.select("doc_id", tx.chars(tx.metaspace(F.col("text"))).alias("p")), covered, "p")
     return p.select("doc_id", F.size("p").cast("long").alias("n_pieces"),
                     F.array_join(F.filter("p", lambda x: x.startswith("<0x")), "").alias("fallback"))
 

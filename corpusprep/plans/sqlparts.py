@@ -183,3 +183,10 @@ def seq_long(rows_sql: str, vocab_sql: str, extra: str = "") -> str:
             "union all select row_id, np + i, coalesce(vid, 0), coalesce(vid, 0), n from cc left join v using (piece)) "
             f"select row_id, {extra}'input_ids' as which, cast(k - 1 as bigint) as pos, cast(tok as bigint) as id from f where k <= n - 1 "
             f"union all select row_id, {extra}'labels', cast(k - 2 as bigint), cast(lab as bigint) from f where k >= 2)")
+
+
+def script_pattern(lead: str = "", space: str = r"\s") -> str:
+    """Runs of one script, single digits and runs of marks."""
+    runs = [r"\p{Latin}+", r"\p{L}+", r"\p{N}", rf"[^\p{{L}}\p{{N}}{space}]+"]
+    other = [rf"\p{{{s}}}+" for s in tx.SCRIPTS] + [r"[\p{Han}\p{Hiragana}\p{Katakana}" + tx.LONG_VOWEL + "]+"]
+    return "|".join(lead + r for r in [runs[0], *other, *runs[1:]])

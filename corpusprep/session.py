@@ -70,6 +70,12 @@ def reliable_checkpoint(df):
     return df.checkpoint(eager=True)
 
 
+def broadcast_if(df, rows: int, limit: int = BROADCAST_ROW_LIMIT):
+    """``df`` with a broadcast hint when its known number of rows allows it."""
+    from pyspark.sql import functions as F
+    return F.broadcast(df) if rows <= limit else df
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make the package importable in the Python workers wherever the driver was
     started: once per context, a zip of its sources goes out with the job files."""

@@ -1,5 +1,7 @@
 """Sampling reductions on literal candidate groups."""
 
+from pyspark.sql import functions as F
+
 from corpusprep.operators import evaluate as ev
 
 
@@ -25,3 +27,20 @@ def test_softmax_and_draw(spark):
     assert all(abs(v - 1) < 1e-12 for v in sums.values())
     d = ev.draw_per_group(p, 1).collect()
     assert len(d) == 2
+
+
+def test_a_pair_that_stands_everywhere_asks_once_per_block(spark):
+    import math
+
+    from corpusprep.operators import evaluate as ev
+    hot = spark.range(400).selectExpr("id as pair_id", "0L as which", "array_repeat(5, 50) as input_ids",
+                                      "concat(array(-100), array_repeat(6, 48), array(9)) as labels")
+    bigram = spark.createDataFrame([(5, 6, 7), (5, 8, 3)], "prev int, token int, n long")
+    got = ev.score_tokens(hot, bigram, 10, 0.5, "m", blocks=4)
+    assert got.count() == 400 * 50
+    by = {r["label"]: (r["n"], r["lo"], r["hi"]) for r in got.groupBy("label").agg(
+        F.count("*").alias("n"), F.min("logp").alias("lo"), F.max("logp").alias("hi")).collect()}
+    assert by[-100] == (400, 0.0, 0.0)
+    for label, n, c in ((6, 19200, 7), (9, 400, 0)):
+        want = math.log((c + 0.5) / (10 + 5))
+        assert by[label][0] == n and abs(by[label][1] - want) < 1e-12 and abs(by[label][2] - want) < 1e-12

@@ -102,3 +102,11 @@ def test_profiles():
     assert p.check_mode("pre_training") == "pre_training"
     with pytest.raises(ValueError):
         p.check_mode("post_training_sft")
+
+
+def test_scripts_are_kept_apart(spark):
+    text = "abcдеж γδ漢字かなカー한글 שלוםمرحبا नमस्ते९२ ไทย x9ዐ!?é"
+    got = spark.createDataFrame([(text,)], "t string").select(tx.split_by_script("t").alias("p")).first()["p"]
+    assert got == ["abc", "деж", "γδ", "漢字かなカー", "한글", "שלום", "مرحبا", "नमस्ते", "९", "२", "ไทย", "x", "9", "ዐ", "!?", "é"]
+    meta = spark.createDataFrame([("abде 12",), ("",), (None,)], "t string").select(tx.metaspace_script_pieces("t").alias("p")).collect()
+    assert [r["p"] for r in meta] == [["▁ab", "де", "▁1", "2"], [], None]

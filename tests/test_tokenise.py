@@ -78,3 +78,19 @@ def test_decode_is_one_arrow_pass_and_equals_the_join(spark):
         assert {k: r["decoded"] for k, r in rows.items()} == want
         assert rows[1]["x"] == 7 and rows[1]["pieces"] == ["[SOS]", "▁a", "▁b", "▁", "▁c", "[EOS]"]
         assert rows[3]["pieces"] == ["[SOS]", "[EOS]"]
+
+
+def test_byte_fallback_spells_what_is_not_covered(spark):
+    from corpusprep.operators import vocab
+    rows = [(1, ["a", "é", None, "漢", "a", "é"]), (2, []), (3, None), (4, ["b"] * 5000 + ["ß"]), (5, ["漢"])]
+    df = spark.createDataFrame(rows, "k int, pieces array<string>").coalesce(1)
+    known = spark.createDataFrame([("a",), ("b",)], "piece string")
+    got = {r["k"]: r["pieces"] for r in vocab.byte_fallback(df, known).collect()}
+
+    def spell(p):
+        return [p] if p in ("a", "b", None) else [f"<0x{x:02X}>" for x in p.encode()]
+
+    assert got == {k: None if v is None else [x for p in v for x in spell(p)] for k, v in rows}
+    assert vocab.byte_fallback(df.limit(0), known).count() == 0
+    none = vocab.byte_fallback(df.filter("k = 1"), known.limit(0)).first()["pieces"]
+    assert none[0] == "<0x61>" and len(none) == 1 + 2 + 1 + 3 + 1 + 2
