@@ -1,14 +1,19 @@
-"""Operator 9: licence scan by a positional index of rare template words.
-
-Every template (the wording of a licence notice) is represented by its words
-of highest IDF over the scanned documents. A document's occurrences of such
-words are looked up in the positional index; each names a template and the
-place where the template would begin, and the places named by enough of a
-template's rare words are its candidates. A candidate counts if the template's
-mandatory phrase stands there, a few words up or down.
+"""Operator 9: licence scan by a positional index of licence words.
+
+The index holds, for every word of the templates (wordings of licence notices),
+its postings: the templates it stands in and where. Of a file the licence words
+of highest IDF over the scanned documents are looked up: those at least as rare
+as the ``VOTES`` rarest words of every mandatory phrase, so that a phrase always
+has that many of its words among them, in a file of any length and with any
+number of notices. Every occurrence of such a word and every posting of it name
+a template and the place where it would begin; places that ``VOTES`` occurrences
+name are the intersection of the postings by relative position. A place counts
+if the template's mandatory phrase stands there, a few words up or down, and
+enough of the wording does.
 
 The templates are fixed and few; the documents are scanned batch by batch as
-arrays of word hashes, so work and memory follow the batch.
+arrays of word hashes, so work and memory follow the batch: an occurrence gives
+as many rows as its word has postings, whatever the number of templates.
 """
 
 from __future__ import annotations
@@ -31,32 +36,79 @@ BASE = (
 )
 
 # Label, wording of the notice, mandatory phrase inside it.
-TEMPLATES = (
-    ("apache-2.0", "licensed under the apache license version 2 0", "apache license"),
+NOTICES = (
+    ("agpl-3.0", "under the terms of the gnu affero general public license as published by the free software foundation "
+                 "either version 3 of the license or at your option any later version",
+     "gnu affero general public license as published by the free software foundation either version 3"),
+    ("apache-2.0", "licensed under the apache license version 2 0", "apache license version 2 0"),
+    ("apache-2.0", "licensed under the apache license 2 0", "apache license 2 0"),
+    ("apache-2.0", "apache license version 2 0 january 2004", "apache license version 2 0"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted "
             "provided that the following conditions are met", "redistribution and use in source and binary forms"),
+    ("bsd-3-clause", "neither the name of the copyright holder nor the names of its contributors may be used to endorse "
+                     "or promote products derived from this software without specific prior written permission",
+     "may be used to endorse or promote products derived from this software"),
+    ("bsl-1.0", "distributed under the boost software license version 1 0", "boost software license version 1 0"),
+    ("bsl-1.0", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software "
+                "and accompanying documentation covered by this license",
+     "any person or organization obtaining a copy of the software"),
     ("cc-by-4.0", "this work is licensed under a creative commons attribution 4 0 international license",
      "creative commons attribution 4 0"),
     ("cc-by-nc-4.0", "licensed under cc by nc 4 0", "cc by nc"),
+    ("cc-by-nc-4.0", "this work is licensed under a creative commons attribution noncommercial 4 0 international license",
+     "creative commons attribution noncommercial 4 0"),
     ("cc-by-sa-4.0", "licensed under cc by sa 4 0", "cc by sa"),
+    ("cc-by-sa-4.0", "this work is licensed under a creative commons attribution sharealike 4 0 international license",
+     "creative commons attribution sharealike 4 0"),
+    ("cc0-1.0", "to the extent possible under law the author has waived all copyright and related or neighboring rights "
+                "to this work", "waived all copyright and related or neighboring rights"),
+    ("epl-2.0", "this program and the accompanying materials are made available under the terms of the eclipse public "
+                "license 2 0", "eclipse public license 2 0"),
     ("gpl-2.0", "this work is licensed under the gnu general public license version 2",
      "gnu general public license version 2"),
+    ("gpl-2.0", "under the terms of the gnu general public license as published by the free software foundation "
+                "either version 2 of the license or at your option any later version",
+     "gnu general public license as published by the free software foundation either version 2"),
     ("gpl-3.0", "this work is licensed under the gnu general public license version 3",
      "gnu general public license version 3"),
+    ("gpl-3.0", "under the terms of the gnu general public license as published by the free software foundation "
+                "either version 3 of the license or at your option any later version",
+     "gnu general public license as published by the free software foundation either version 3"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee "
             "is hereby granted", "permission to use copy modify and or distribute"),
+    ("isc", "permission to use copy modify and distribute this software for any purpose with or without fee "
+            "is hereby granted", "permission to use copy modify and distribute this software"),
+    ("lgpl-2.1", "under the terms of the gnu lesser general public license as published by the free software foundation "
+                 "either version 2 1 of the license or at your option any later version",
+     "gnu lesser general public license as published by the free software foundation either version 2 1"),
+    ("lgpl-3.0", "under the terms of the gnu lesser general public license as published by the free software foundation "
+                 "either version 3 of the license or at your option any later version",
+     "gnu lesser general public license as published by the free software foundation either version 3"),
     ("mit", "released under the mit license", "mit license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and "
             "associated documentation files the software to deal in the software without restriction",
-     "permission is hereby granted free of charge"),
+     "permission is hereby granted free of charge to any person obtaining a copy of this software"),
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0",
-     "mozilla public license"),
+     "mozilla public license v 2 0"),
     ("unlicense", "this is free and unencumbered software released into the public domain",
      "free and unencumbered software"),
+    ("zlib", "in no event will the authors be held liable for any damages arising from the use of this software",
+     "authors be held liable for any damages arising from the use of this software"),
+)
+
+# Label, the words of its identifier in a tag.
+TAGS = (
+    ("agpl-3.0", "agpl 3 0"), ("apache-2.0", "apache 2 0"), ("bsd", "bsd 2 clause"), ("bsd-3-clause", "bsd 3 clause"),
+    ("bsl-1.0", "bsl 1 0"), ("cc-by-4.0", "cc by 4 0"), ("cc-by-nc-4.0", "cc by nc 4 0"), ("cc-by-sa-4.0", "cc by sa 4 0"),
+    ("cc0-1.0", "cc0 1 0"), ("epl-2.0", "epl 2 0"), ("gpl-2.0", "gpl 2 0"), ("gpl-3.0", "gpl 3 0"), ("isc", "isc"),
+    ("lgpl-2.1", "lgpl 2 1"), ("lgpl-3.0", "lgpl 3 0"), ("mit", "mit"), ("mpl-2.0", "mpl 2 0"), ("unlicense", "unlicense"),
+    ("zlib", "zlib"),
 )
+TAG = "spdx license identifier"
+TEMPLATES = NOTICES + tuple((label, f"{TAG} {words}", f"{TAG} {words}") for label, words in TAGS)
 
-RARE = 4        # highest-IDF words of a template that stand in the index
-AGREE = 0.5     # share of them that must name the same place
+VOTES = 2       # occurrences that must name the same place
+SHARE = 0.5     # of the wording that must stand there
 SLACK = 2       # words by which the mandatory phrase may be off
 
 #: What stands between words (of the lower-cased text).
@@ -124,18 +176,71 @@ def idf(docs: DataFrame, text: str) -> dict[str, float]:
     return {w: math.log((n + 1) / (df[i] + 0.5)) for i, w in enumerate(vocab) if df.get(i)}
 
 
-def rare_words(idfs: dict[str, float], rare: int = RARE) -> list[list[tuple[int, str]]]:
-    """The positional index by template: its rarest occurring words with their places."""
-    out = []
-    for _, t, _ in TEMPLATES:
-        words = t.split()
-        top = sorted(set(words) & set(idfs), key=lambda w: (-idfs[w], w))[:rare]
-        out.append([(i, w) for i, w in enumerate(words) if w in top])
-    return out
-
-
-def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", rare: int = RARE, agree: float = AGREE,
-         slack: int = SLACK) -> DataFrame:
+class Index:
+    """Postings of the licence words: word -> (template, place in it)."""
+
+    def __init__(self, w: Words):
+        self.wordings = [w.of(t) for _, t, _ in TEMPLATES]
+        self.phrases = [w.of(p) for _, _, p in TEMPLATES]
+        self.phrase_at = [f" {t} ".split(f" {p} ")[0].count(" ") if not t.startswith(p) else 0 for _, t, p in TEMPLATES]
+        post = sorted((x, t, q) for t, words in enumerate(self.wordings) for q, x in enumerate(words.tolist()))
+        word, self.template, self.place = (np.array(c, np.int64) for c in zip(*post))
+        self.first = np.searchsorted(word, np.arange(len(w.number) + 1))
+        self.longest = max(map(len, self.wordings))
+
+
+def idf_floor(idfs: dict[str, float], votes: int = VOTES) -> float:
+    """IDF from which a licence word is looked up: each mandatory phrase whose
+    words all occur has ``votes`` words (all, if fewer) of that IDF or more."""
+    tops = [sorted((idfs[w] for w in set(p.split())), reverse=True)[:votes]
+            for _, _, p in TEMPLATES if set(p.split()) <= set(idfs)]
+    return min((t[-1] for t in tops), default=math.inf)
+
+
+def found_places(index: Index, ids: np.ndarray, first: np.ndarray, doc_of: np.ndarray, hits: np.ndarray, votes: int,
+                 share: float, slack: int):
+    """(document, label, word, share) of every template found, once a label and
+    place of the mandatory phrase (the best share, then the first word)."""
+    n = index.first[ids[hits] + 1] - index.first[ids[hits]]
+    at = np.repeat(hits, n)
+    ends = np.cumsum(n)
+    slot = np.repeat(index.first[ids[hits]] - (ends - n), n) + np.arange(len(at))
+    doc = doc_of[at]
+    span = int(np.diff(first).max(initial=0)) + index.longest + 1
+    # a place may lie before its text: the beginning of the notice is cut off
+    key = (doc * len(TEMPLATES) + index.template[slot]) * span + at - index.place[slot] - first[doc] + index.longest
+    key, count = np.unique(key, return_counts=True)
+    key = key[count >= votes]
+    doc, template = key // span // len(TEMPLATES), key // span % len(TEMPLATES)
+    begin = key % span - index.longest + first[doc]
+    best: dict[tuple, tuple] = {}
+    for t in np.unique(template).tolist():
+        mine = template == t
+        d, b = doc[mine], begin[mine]
+        lo, hi = first[d], first[d + 1]
+
+        def there(p, word):
+            return (p >= lo) & (p < hi) & (ids[np.clip(p, 0, len(ids) - 1)] == word)
+
+        phrase_at = np.full(len(b), -1)
+        for off in sorted(range(-slack, slack + 1), key=abs):
+            p = b + index.phrase_at[t] + off
+            ok = phrase_at < 0
+            for i, word in enumerate(index.phrases[t].tolist()):
+                ok &= there(p + i, word)
+            phrase_at[ok] = p[ok]
+        wording = index.wordings[t]
+        same = sum(there(b + i, word).astype(np.int64) for i, word in enumerate(wording.tolist()))
+        part = same / len(wording)
+        for i in np.flatnonzero((phrase_at >= 0) & (part >= share)).tolist():
+            k = (int(d[i]), TEMPLATES[t][0], int(phrase_at[i]))
+            v = (-float(part[i]), int(max(b[i], lo[i]) - lo[i]))
+            best[k] = min(best.get(k, v), v)
+    return [(d, label, word, -part) for (d, label, _), (part, word) in best.items()]
+
+
+def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", votes: int = VOTES,
+         share: float = SHARE, slack: int = SLACK) -> DataFrame:
     """Per row of ``docs``: ``key, n_words, n_base`` (places of the base
     phrases), ``first_word, last_word`` (smallest and largest start of one,
     words from 0; null without any), ``base_labels, labels`` (with the
@@ -145,8 +250,9 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", rare: int = R
 
     A null or empty text has no words and no labels. Repeated rows are scanned
     each; extra columns are ignored; an empty table gives an empty result."""
-    index = rare_words(idf(docs, text), rare)
+    weight = idf(docs, text)
     vocab = vocabulary()
+    floor = idf_floor(weight, votes)
     place = T.StructType([T.StructField("label", T.StringType()), T.StructField("word", T.LongType()),
                           T.StructField("share", T.DoubleType())])
     schema = T.StructType([
@@ -156,37 +262,12 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", rare: int = R
         T.StructField("labels", T.StringType()), T.StructField("score", T.DoubleType()),
         T.StructField("places", T.ArrayType(place))])
 
-    def templates(w, ids, first, doc_of, last):
-        """(document, label, word, share) of every template found."""
-        for (label, wording, phrase), rares in zip(TEMPLATES, index):
-            words, must = w.of(wording), w.of(phrase)
-            at = wording.split()
-            ph = phrase.split()
-            must_at = next(i for i in range(len(at)) if at[i:i + len(ph)] == ph)
-            named = [np.zeros((2, 0), np.int64)]
-            for q, word in rares:
-                p = np.flatnonzero(ids == w.number[word])
-                named.append(np.stack([doc_of[p], p - q]))
-            named = np.concatenate(named, axis=1)
-            if not named.shape[1]:
-                continue
-            spot, votes = np.unique(named, axis=1, return_counts=True)
-            spot = spot[:, votes >= max(1, math.ceil(agree * len(rares)))]
-            for doc, begin in spot.T.tolist():
-                lo, hi = int(first[doc]), int(first[doc + 1])
-
-                def stands(p):
-                    return lo <= p and p + len(must) <= hi and (ids[p:p + len(must)] == must).all()
-
-                if any(stands(begin + must_at + d) for d in range(-slack, slack + 1)):
-                    x, y = max(begin, lo), min(begin + len(words), hi)
-                    share = float((ids[x:y] == words[x - begin:y - begin]).sum()) / len(words)
-                    yield doc, label, begin - lo, share
-
     def run(batches):
         from pyspark.sql.pandas.types import to_arrow_schema
         arrow = to_arrow_schema(schema)
         w = Words(vocab)
+        index = Index(w)
+        rare = np.array([x in weight and weight[x] >= floor for x in vocab] + [False])     # the last: any other word
         base = [(w.of(p), label) for p, label in BASE]
         for b in batches:
             _, off = wh.buffer_of(b.column(1))
@@ -208,8 +289,9 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", rare: int = R
                     for x in np.unique(doc).tolist():
                         own.setdefault(x, set()).add(label)
                 found: dict[int, list] = {}
-                for doc, label, word, share in templates(w, ids, first, doc_of, last):
-                    found.setdefault(doc, []).append({"label": label, "word": word, "share": share})
+                for doc, label, word, part in found_places(index, ids, first, doc_of, np.flatnonzero(rare[ids]), votes,
+                                                           share, slack):
+                    found.setdefault(doc, []).append({"label": label, "word": word, "share": part})
                 rows = range(j - i)
                 join = lambda s: ",".join(sorted(s))
                 cols = [b.column(0).slice(i, j - i), size, count,
