@@ -3,7 +3,9 @@
 A byte pair that stands inside no token of the vocabulary (added tokens
 included) can never be joined by a merge, so a text may be cut there and the
 fragments encoded by themselves; the ids of the text are the fragments' ids in
-order. Two conditions keep the pre-tokeniser's view the same on both sides:
+order. A blank is such a place wherever the table allows a cut between it and the
+byte before, so the coarse fragments of a text are found by splitting at blanks
+and joining again what the table does not cut. Two conditions keep the pre-tokeniser's view the same on both sides:
 
 * the byte left of the cut is no white space (its pattern looks ahead after
   white space only), and
@@ -81,7 +83,10 @@ class BoundaryEncoder:
         cut[:, 0x80:0xC0] = False
         cut[:, ord("'")] = False
         self.cut = cut.ravel()
-        self.blank_cuts = not any(b" " in b for b in added.values())
+        # bytes that the table does not cut from a blank behind them
+        held = [x for x in range(256) if x not in _ASCII_SPACE and not self.cut[x << 8 | 32]]
+        self.held = frozenset(held)
+        self.held_blank = re.compile(b"[" + b"".join(re.escape(bytes([x])) for x in held) + b"] ") if held else None
         self.symbols = {b: c for c, b in sym.items()}     # for str.translate of Latin-1
         # ids of fragments seen so far; those that follow a blank without it
         self.heads: dict[str, bytes] = {}
@@ -111,12 +116,21 @@ class BoundaryEncoder:
         return [cut[i:j] for i, j in zip(per, per[1:])]
 
     def words(self, text: str) -> tuple[list[str], list[str]]:
-        """Coarse fragments: a blank after a character that is no white space
-        always starts a new pre-token, which is a sure boundary too. Returns
+        """Coarse fragments: the text cut before each blank that the table cuts from
+        the byte before; by all byte pairs if a blank follows white space. Returns
         (fragments as they are, fragments without their leading blank), in order."""
-        if not self.blank_cuts or _SPACE_PAIR.search(text):
+        if _SPACE_PAIR.search(text):
             return self.fragments([text])[0], []
         tail = text.split(" ")
+        if self.held_blank is not None and self.held_blank.search(text.encode()):
+            runs, open_run = [], [tail[0]]
+            for prev, w in zip(tail, tail[1:]):
+                if prev and prev[-1].encode()[-1] in self.held:
+                    open_run.append(w)
+                else:
+                    runs.append(" ".join(open_run))
+                    open_run = [w]
+            tail = [*runs, " ".join(open_run)]
         head = tail.pop(0)
         return ([head] if head else []), tail
 

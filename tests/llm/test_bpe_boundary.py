@@ -63,3 +63,38 @@ def test_invalid_ids_decode_with_replacement():
     half = next(i for i, b in enc.bytes_of.items() if b == b"\xc3")
     ids = [half, half]
     assert enc.decode(np.array(ids, "<u4").tobytes()).decode() == enc.lib.decode(ids, skip_special_tokens=False)
+
+
+def _inner_blank_vocabulary(path):
+    """A vocabulary made by hand whose tokens hold blanks inside, and whose
+    pre-tokeniser leaves the text whole."""
+    from tokenizers import decoders, models, pre_tokenizers
+    back = {b: c for c, b in bb.byte_symbols().items()}
+    merges = [("a", back[32]), ("a" + back[32], "b"), ("o", "f"), (back[32], "t"), ("of", back[32] + "t"), ("!", back[32]), ("c", "d")]
+    vocab = {c: i for i, c in enumerate(bb.byte_symbols())}
+    for x, y in merges:
+        vocab[x + y] = len(vocab)
+    lib = Tokenizer(models.BPE(vocab=vocab, merges=merges))
+    lib.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    lib.decoder = decoders.ByteLevel()
+    lib.save(path)
+    return Tokenizer.from_file(path)
+
+
+def test_blanks_are_cut_by_the_table(tmp_path):
+    path = str(tmp_path / "inner.json")
+    lib = _inner_blank_vocabulary(path)
+    enc = bb.BoundaryEncoder(path)
+    assert ord('a') in enc.held and ord('d') not in enc.held
+    rng = random.Random(3)
+    texts = ["a b", "of the", "x a b c of t", "cd cd", "hi! a", "d c", "", " ", "a  b"]
+    texts += ["".join(rng.choices(["a", "b", "of", " ", " t", "!", "cd", "\u00e9", "x"], k=rng.randrange(1, 60))) for _ in range(3000)]
+    for t, got in zip(texts, enc.encode_batch(texts)):
+        assert np.frombuffer(got, "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids, t
+    # the given vocabulary has a token of this byte and a blank: the blank is not cut from letters that end in it
+    given = bb.BoundaryEncoder(q.vocabulary())
+    assert given.held == {0xA0}
+    assert given.words("il va \u00e0 la mer") == (["il"], ["va", "\u00e0 la", "mer"])
+    lib = Tokenizer.from_file(q.vocabulary())
+    for t in ("il va \u00e0 la mer", "\u00e0 \u00e0 \u00e0", "\u00e0 ", " \u00e0 's", "\u0420 \u0420\u00a0 x"):
+        assert np.frombuffer(given.encode_batch([t])[0], "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids, t
