@@ -17,6 +17,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusprep.session import checkpoint_dir
 
@@ -50,6 +51,14 @@ def list_dirs(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory())
 
 
+def count_files(spark: SparkSession, path: str) -> int:
+    """Number of files at ``path`` (a folder, file or pattern), counted by the
+    file system; 0 when there are none."""
+    fs, p = _fs(spark, path)
+    found = fs.globStatus(p) or []
+    return sum(1 if s.isFile() else fs.getContentSummary(s.getPath()).getFileCount() for s in found)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the session's shared checkpoint folder."""
     return f"{checkpoint_dir(spark).rstrip('/')}/corpusprep-io/{name}-{uuid.uuid4().hex[:12]}"
@@ -303,16 +312,28 @@ def run_name(run: str | None = None) -> str:
     return datetime.datetime.now(datetime.timezone.utc).strftime("%Y%m%d-%H%M%S")
 
 
+RUN_BUCKETS = 32
+
+
 def append_metrics(df: DataFrame, path: str, overwrite: bool = False) -> str:
-    """K6: append (run, tag, step, value[, text]) rows partitioned by run;
-    ``overwrite`` replaces only the runs present in ``df``."""
+    """K6: append (run, tag, step, value[, text]) rows; ``overwrite`` replaces
+    only the runs present in ``df``.
+
+    A log may have more runs than a folder each would bear, so rows lie in
+    ``RUN_BUCKETS`` partitions by the hash of their run, and an append writes a
+    few files however many runs there are. An overwrite writes the partitions of
+    its runs anew, with what they hold of other runs."""
     spark = df.sparkSession
-    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        df.write.mode("overwrite" if overwrite else "append").partitionBy("run").parquet(path)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+    bucket = F.pmod(F.xxhash64("run"), F.lit(RUN_BUCKETS)).cast("int")
+    rows = df.withColumn("bucket", bucket)
+    if overwrite and any(d.startswith("bucket=") for d in list_dirs(spark, path)):
+        runs = df.select("run").distinct()
+        old = spark.read.schema(T.StructType([*df.schema.fields, T.StructField("bucket", T.IntegerType())])).parquet(path)
+        touched = [r["bucket"] for r in runs.select(bucket.alias("bucket")).distinct().collect()]   # RUN_BUCKETS at most
+        others = old.filter(F.col("bucket").isin(touched)).join(runs.withColumnRenamed("run", "_run"),
+                                                                F.col("run").eqNullSafe(F.col("_run")), "left_anti")
+        rows = rows.unionByName(others)
+    write_splits(rows, path, ["bucket"], "overwrite" if overwrite else "append")
     return path
 
 

@@ -3,7 +3,9 @@
 The reference pulls a streamed dataset record by record, counts finished
 files to resume after an interruption and keeps ok/failed/token counters
 under a lock. Here the source is a folder of shard files read with
-``readStream`` (``maxFilesPerTrigger`` bounds each micro-batch), the sink is
+``readStream`` (``maxFilesPerTrigger`` bounds each micro-batch; a backlog that
+would take more than ``MAX_BATCHES`` of them gets larger ones, so their fixed
+costs do not grow with the number of files), the sink is
 Parquet with a checkpoint location (exactly-once: a restarted query resumes
 after the last committed batch and never re-reads a finished file), and the
 counters are a streaming aggregate whose state lives in the same checkpoint.
@@ -33,10 +35,20 @@ BOOK_SCHEMA = ("book_id long, title_src string, author_src string, date1_src str
                "text_by_page_src array<string>, token_count int")
 
 
+# Micro-batches that one run may take for the files that are there.
+MAX_BATCHES = 32
+
+
 def read_stream(spark: SparkSession, in_dir: str, schema: str, fmt: str = "json",
-                max_files_per_trigger: int = 1) -> DataFrame:
+                max_files_per_trigger: int = 1, max_batches: int | None = MAX_BATCHES) -> DataFrame:
+    """The files under ``in_dir`` as a stream, ``max_files_per_trigger`` in a
+    micro-batch, or as many more as it takes to be through with those present
+    in ``max_batches`` (None: never more)."""
+    files = int(max_files_per_trigger)
+    if max_batches:
+        files = max(files, -(-io.count_files(spark, in_dir) // int(max_batches)))
     return (spark.readStream.schema(schema).format(fmt)
-            .option("maxFilesPerTrigger", int(max_files_per_trigger)).load(in_dir))
+            .option("maxFilesPerTrigger", files).load(in_dir))
 
 
 def book_failed(pages: str = "text_by_page_src"):

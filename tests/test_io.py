@@ -247,3 +247,27 @@ def test_stream_quota_over_repeated_records(spark, tmp_path):
     totals, rows = _quota_state(spark, out)
     assert totals == {"train": (11, 11, 0, 11), "test": (4, 4, 0, 4)}
     assert {s: len(v) for s, v in rows.items()} == {"train": 11, "test": 4}
+
+
+def test_stream_backlog_takes_a_bounded_number_of_batches(spark, tmp_path):
+    """However many files wait, a run's micro-batches are bounded (one a file before)."""
+    shards, out, ck = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck")
+    n = 3 * ingest.MAX_BATCHES
+    rows = [(i, f"Doc {i}", "a", "1900", ["x", "y"], 2) for i in range(n)]
+    (spark.createDataFrame(rows, ingest.BOOK_SCHEMA).coalesce(1).write.option("maxRecordsPerFile", 1).json(shards))
+    assert n <= io.count_files(spark, shards) == io.count_files(spark, shards + "/*") <= n + 1      # the files and _SUCCESS
+    q = ingest.running_totals(spark, shards, out, ck)
+    assert q.lastProgress["batchId"] < ingest.MAX_BATCHES
+    assert [tuple(r) for r in spark.read.parquet(out).collect()] == [(n, 0, 2 * n)]
+
+
+def test_metrics_of_many_runs_take_few_files(spark, tmp_path):
+    """Folders and files do not grow with the runs; other runs of a bucket, null ones too, survive an overwrite."""
+    path, schema = str(tmp_path / "m"), "run long, tag string, step long, value double"
+    a = spark.createDataFrame([(None if i == 7 else i, "loss", s, float(s)) for i in range(300) for s in range(2)], schema)
+    io.append_metrics(a, path)
+    io.append_metrics(a.filter("run = 1"), path)
+    assert len(io.list_dirs(spark, path)) <= io.RUN_BUCKETS
+    io.append_metrics(spark.createDataFrame([(1, "loss", 9, 1.0), (None, "loss", 9, 1.0)], schema), path, overwrite=True)
+    got = sorted((-1 if r["run"] is None else r["run"], r["step"]) for r in spark.read.schema(schema).parquet(path).collect())
+    assert got == sorted([(-1, 9), (1, 9)] + [(i, s) for i in range(300) if i not in (1, 7) for s in range(2)])
