@@ -27,6 +27,30 @@ from corpusprep.profiles import IGNORE_INDEX
 from corpusprep.session import BROADCAST_ROW_LIMIT
 
 
+# List entries that an Arrow pass works on at once.
+LIST_VALUES = 1 << 18
+
+
+def small_batches(batches, cols: Sequence[int], limit: int | None = None):
+    """The batches again, cut where their lists (columns ``cols``) would hold
+    over ``limit`` entries together; a longer row stands alone. A batch has so
+    many rows, whatever their length, so what a pass makes of one would grow with
+    the texts."""
+    limit = limit or LIST_VALUES
+    for b in batches:
+        size = sum(pc.fill_null(pc.list_value_length(b.column(i)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+                   for i in cols)
+        ends, at = np.cumsum(size), 0
+        if not len(ends) or ends[-1] <= limit:
+            yield b
+            continue
+        while at < len(ends):
+            before = int(ends[at - 1]) if at else 0
+            to = max(int(np.searchsorted(ends, before + limit, "right")), at + 1)
+            yield b.slice(at, to - at)
+            at = to
+
+
 def pre_tokenise(text, model: str = "word", specials: Sequence[str] = ()) -> Column:
     if model == "word":
         return tx.pieces_with_specials(text, specials)
@@ -102,8 +126,10 @@ def _map_pieces(df: DataFrame, lookup: Lookup, cols: dict[str, str]) -> DataFram
     schema = T.StructType(fields)
     names = df.columns
 
+    at = [i for i, n in enumerate(names) if n in cols]
+
     def run(batches):
-        for b in batches:
+        for b in small_batches(batches, at):
             arrays = [lookup.map_list_array(b.column(i)) if n in cols else b.column(i)
                       for i, n in enumerate(names)]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
@@ -235,7 +261,7 @@ def decode(df: DataFrame, vocab: DataFrame, ids: str = "input_ids", out: str = "
 
     def run(batches):
         table, full = pa.array(shown, pa.string()), pa.array(plain, pa.string())
-        for b in batches:
+        for b in small_batches(batches, [len(keys)]):
             col = b.column(len(keys))
             n = pc.fill_null(pc.list_value_length(col), 0).to_numpy(zero_copy_only=False)
             offsets = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))

@@ -154,6 +154,7 @@ def compare_alignment(df: DataFrame, a: Column, b: Column, key: str = "doc_id")
 
     Character ends of all rows of a batch are merged as one sorted array; a null
     or empty list has no tokens."""
+    from corpusprep.operators.tokenise import small_batches
     schema = T.StructType([df.schema[key], *[T.StructField(c, T.LongType()) for c in ("n_a", "n_b", "n_same", "n_different")]])
     shift = 1 << 32
 
@@ -169,7 +170,7 @@ def compare_alignment(df: DataFrame, a: Column, b: Column, key: str = "doc_id")
         return row + end - base - size, row + end - base, n
 
     def run(batches):
-        for batch in batches:
+        for batch in small_batches(batches, [1, 2]):
             rows = batch.num_rows
             (sa, ea, na), (sb, eb, nb) = spans(batch.column(1)), spans(batch.column(2))
             cuts = np.intersect1d(ea, eb)
@@ -198,12 +199,13 @@ def byte_fallback(df: DataFrame, covered: DataFrame, pieces: str = "pieces") ->
     known = [r["piece"] for r in covered.select("piece").limit(CODE_POINTS + 1).collect()]
     if len(known) > CODE_POINTS:
         raise ValueError("more covered pieces than there are characters")
+    from corpusprep.operators.tokenise import small_batches
     alphabet = df.sparkSession.sparkContext.broadcast(known)
     at = df.columns.index(pieces)
 
     def run(batches):
         have = pa.array(alphabet.value, pa.string())
-        for b in batches:
+        for b in small_batches(batches, [at]):
             col = b.column(at)
             flat = col.flatten()
             d = flat.dictionary_encode()

@@ -94,3 +94,19 @@ def test_byte_fallback_spells_what_is_not_covered(spark):
     assert vocab.byte_fallback(df.limit(0), known).count() == 0
     none = vocab.byte_fallback(df.filter("k = 1"), known.limit(0)).first()["pieces"]
     assert none[0] == "<0x61>" and len(none) == 1 + 2 + 1 + 3 + 1 + 2
+
+
+def test_passes_work_on_bounded_parts_of_a_batch(spark, monkeypatch):
+    """A batch is cut by the entries of its lists, nulls and long rows included, and the results stay the same."""
+    import pyarrow as pa
+
+    from corpusprep.operators import tokenise
+    lists = [["a"] * n for n in (3, 0, 5, 1)] + [None] + [["b"] * 20, ["a", "c"]]
+    b = pa.RecordBatch.from_arrays([pa.array(lists, pa.list_(pa.string())), pa.array(range(len(lists)))], ["p", "k"])
+    parts = list(tokenise.small_batches(iter([b]), [0], 8))
+    assert [x for p in parts for x in p.to_pylist()] == b.to_pylist()
+    assert all(p.num_rows == 1 or sum(len(x or ()) for x in p.column(0).to_pylist()) <= 8 for p in parts) and len(parts) > 2
+    empty = b.slice(0, 0)
+    assert [p.num_rows for p in tokenise.small_batches(iter([empty]), [0], 8)] == [0]
+    lk = tokenise.Lookup(["a", "b"], [5, 6], 0)
+    assert [x for p in parts for x in lk.map_list_array(p.column(0)).to_pylist()] == lk.map_list_array(b.column(0)).to_pylist()
