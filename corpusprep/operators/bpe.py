@@ -10,28 +10,21 @@ Plan:
 * the word table ``(wid, symbols array<int>, freq)`` comes from the piece count
   (A6), the only pass over the corpus; words of one symbol drop out since
   they hold no pair;
-* per round, pair counts (occurrences and words) are a distributed
-  ``groupBy(a, b)``; the first ``top_k`` pairs by (count desc, a, b) come to
-  the driver, and of these as many as stand in ``pull_words`` words together;
-* the words that hold one of these pairs are fetched (``pull_words`` at most)
-  and the training goes on over them alone, with an inverted index from pairs
-  to words and counts changed by each merge's own words only. That is the
-  training over all words as long as the best pair comes before every pair that
-  was not fetched: a fetched pair stands in fetched words only, what a merge
-  makes stands in that merge's words, and counts of other pairs only fall (where
-  a merged token existed before, other pairs may grow; their growth is held
-  against the bound). When the bound is reached, the new symbols are joined back on ``wid`` and
-  the next round counts again;
-* while the first pair alone stands in more than ``pull_words`` words, a round
-  takes several merges over the whole table instead, when that cannot change the
-  result: walking the pairs by (count desc, a, b), after accepting (a, b) the
-  next pair (c, d) is accepted only if c is no accepted right symbol and d no
-  accepted left symbol (a merge of (a, b) changes only the counts of pairs (b, .)
-  and (., a), and such (c, d) never overlaps an (a, b) occurrence), and its count
-  is strictly above the largest count of a triple (x, a, b) or (a, b, y) of
-  the accepted ones (an upper bound on any pair their merges create); a merge
-  whose token already exists ends the round. They are applied in one vectorised
-  Arrow pass (numpy over the flat symbol values, no per-word Python);
+* per round, pair counts are a distributed ``groupBy(a, b)``; the first ``top_k``
+  pairs by (count desc, a, b) come to the driver, and some of the first of these
+  are the round's pairs;
+* every word is cut where a pair stands that is not one of them. What is left,
+  runs of symbols whose pairs all are, is added up over the words, so the many
+  words become few distinct runs; the round has as many pairs as make about
+  ``pull_words`` runs, counted beforehand for several choices;
+* the runs are fetched and the training goes on over them alone. That is the
+  training over all words as long as the best pair comes before the first pair
+  that is not the round's: counts of old pairs only fall, and a merged token
+  stands before a cut at most as often as the pair there did. Where a merge makes
+  a token that exists already, its pairs may grow at the cuts, unseen; by how
+  much at most is known from the runs, and the round ends before that matters;
+* the round's merges are applied to the word table in their order, in tasks,
+  and the next round counts again;
 * the table is written to the shared checkpoint folder every
   ``checkpoint_every`` rounds.
 
@@ -63,7 +56,7 @@ MERGES_SCHEMA = "rank int, left_id int, right_id int, id int, count long"
 ALPHABET_LIMIT = 1_000_000
 WORDS_PER_PARTITION = 200_000
 TOP_PAIRS = 200_000
-PULL_WORDS = 500_000    # words that a round may fetch
+PULL_WORDS = 150_000    # runs that a round fetches, about
 
 
 def _pairs(words: DataFrame) -> DataFrame:
@@ -77,26 +70,6 @@ def _pairs(words: DataFrame) -> DataFrame:
             .agg(F.sum("freq").alias("n"), F.count(F.lit(1)).alias("d")))
 
 
-def _triple_limits(words: DataFrame, cands: list[tuple[int, int]]) -> dict[tuple[int, int], int]:
-    """For each candidate pair (a, b): the largest weighted count of a triple
-    (x, a, b) or (a, b, y). Merging (a, b) can create no pair with a higher
-    count. Only words holding a candidate contribute; the candidates are a
-    broadcast table of at most top_k rows."""
-    spark = words.sparkSession
-    cand = F.broadcast(spark.createDataFrame(cands, "a int, b int"))
-    s = F.col("symbols")
-    n = F.size(s) - 2
-    z = F.arrays_zip(F.slice(s, 1, n).alias("x"), F.slice(s, 2, n).alias("y"), F.slice(s, 3, n).alias("z"))
-    t = words.filter(F.size(s) >= 3).select(F.explode(z).alias("t"), "freq").select("t.*", "freq")
-    left = t.join(cand, (F.col("y") == cand["a"]) & (F.col("z") == cand["b"])).select(
-        "a", "b", F.lit(0).alias("side"), F.col("x").alias("o"), "freq")
-    right = t.join(cand, (F.col("x") == cand["a"]) & (F.col("y") == cand["b"])).select(
-        "a", "b", F.lit(1).alias("side"), F.col("z").alias("o"), "freq")
-    c = left.unionByName(right).groupBy("a", "b", "side", "o").agg(F.sum("freq").alias("n"))
-    rows = c.groupBy("a", "b").agg(F.max("n").alias("m")).collect()  # <= top_k rows
-    return {(int(r["a"]), int(r["b"])): int(r["m"]) for r in rows}
-
-
 def _merge_symbols(sym: list[int], table: dict[tuple[int, int], int]) -> list[int]:
     """One left-to-right pass joining every pair found in ``table``."""
     out, i, m = [], 0, len(sym)
@@ -119,10 +92,10 @@ def _merge_flat(flat: np.ndarray, offs: np.ndarray, keys: np.ndarray, nids: np.n
     """Vectorised left-to-right merge of one Arrow batch of words.
 
     ``flat`` holds every symbol, ``offs`` the row offsets. Hits are adjacent
-    pairs inside a row whose key is in ``keys`` (sorted). Under the round's
-    acceptance rule two different accepted pairs never overlap, so the only
-    overlapping hits are runs of one self-pair (a, a): inside such a run the
-    left-to-right rule takes every other hit. Returns new (values, offsets)."""
+    pairs inside a row whose key is in ``keys`` (sorted). Two different pairs of
+    one call must never overlap, so the only overlapping hits are runs of one
+    self-pair (a, a): inside such a run the left-to-right rule takes every other
+    hit. Returns new (values, offsets)."""
     k = flat[:-1] * _PAIR_SHIFT + flat[1:]
     pos = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
     hit = keys[pos] == k
@@ -144,111 +117,217 @@ def _merge_flat(flat: np.ndarray, offs: np.ndarray, keys: np.ndarray, nids: np.n
     return out[keep], offs - removed[offs]
 
 
-def _apply_merges(words: DataFrame, table: dict[tuple[int, int], int]) -> DataFrame:
-    """Apply a round's merges to the word table: one Arrow pass, vectorised
-    per batch (no per-word Python); batches without a hit pass unchanged."""
-    schema = words.schema
-    names = words.columns
-    si = names.index("symbols")
-    items = sorted((a * _PAIR_SHIFT + b, nid) for (a, b), nid in table.items())
-    keys = np.array([k for k, _ in items], dtype=np.int64)
-    nids = np.array([v for _, v in items], dtype=np.int64)
+def _ranks(flat: np.ndarray, offs: np.ndarray, keys: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Rank of the pair at each symbol and the next one; past all ranks where
+    the pair has none or crosses rows. ``keys`` is sorted, ``rank`` in its order."""
+    out = np.full(flat.size, len(keys), np.int64)
+    if flat.size > 1 and len(keys):
+        k = flat[:-1] * _PAIR_SHIFT + flat[1:]
+        at = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
+        out[:-1] = np.where(keys[at] == k, rank[at], len(keys))
+    last = offs[1:] - 1
+    out[last[last >= 0]] = len(keys)
+    return out
+
+
+def _runs(ranks: np.ndarray, many: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first symbol, number of symbols) of the runs whose pairs are among the
+    first ``many``."""
+    ok = np.concatenate([[False], ranks < many, [False]])
+    edge = np.flatnonzero(ok[1:] != ok[:-1])
+    start, end = edge[::2], edge[1::2]
+    return start, end - start + 1
+
+
+def _flat(col) -> tuple[np.ndarray, np.ndarray]:
+    o = np.asarray(col.offsets, dtype=np.int64)
+    return col.flatten().to_numpy(zero_copy_only=False).astype(np.int64), o - o[0]
+
+
+def _count_runs(words: DataFrame, keys: np.ndarray, rank: np.ndarray, levels: list[int]) -> dict[int, int]:
+    """About how many distinct runs there are for the first n pairs, for each n of ``levels``."""
+    si = words.columns.index("symbols")
+    base = np.uint64(0x9E3779B97F4A7C15)
+    back = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
     def run(batches):
         for b in batches:
-            col = b.column(si)
-            flat = col.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            if flat.size < 2:
-                yield b
-                continue
-            o = np.asarray(col.offsets, dtype=np.int64)
-            res = _merge_flat(flat, o - o[0], keys, nids)
-            if res is None:
-                yield b
+            flat, offs = _flat(b.column(si))
+            if not flat.size:
                 continue
-            vals, offs = res
-            arr = pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(vals.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([arr if i == si else b.column(i) for i in range(len(names))],
-                                             names=names)
+            ranks = _ranks(flat, offs, keys, rank)
+            power, inverse = (np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(flat.size, x)])) for x in (base, back))
+            x = flat.astype(np.uint64) + np.uint64(1)
+            x = (x ^ (x << np.uint64(21))) * np.uint64(0xBF58476D1CE4E5B9)
+            total = np.concatenate([[np.uint64(0)], np.add.accumulate(x * power[:-1])])
+            for n in levels:
+                start, size = _runs(ranks, n)
+                h = np.unique((total[start + size] - total[start]) * inverse[start]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), n), pa.int32()), pa.array(h)], ["n", "h"])
 
-    return words.mapInArrow(run, schema).filter(F.size("symbols") >= 2)
+    rows = words.mapInArrow(run, "n int, h long").groupBy("n").agg(F.approx_count_distinct("h").alias("c")).collect()
+    return {r["n"]: r["c"] for r in rows}
 
 
-def _holding(words: DataFrame, keys: np.ndarray) -> DataFrame:
-    """The words that hold one of the pairs ``keys`` (sorted)."""
-    si = words.columns.index("symbols")
+def _fetch_runs(words: DataFrame, keys: np.ndarray, rank: np.ndarray, many: int) -> DataFrame:
+    """(symbols, freq) of the distinct runs of the first ``many`` pairs."""
+    si, fi = words.columns.index("symbols"), words.columns.index("freq")
+
+    def run(batches):
+        for b in batches:
+            flat, offs = _flat(b.column(si))
+            start, size = _runs(_ranks(flat, offs, keys, rank), many)
+            freq = b.column(fi).to_numpy(zero_copy_only=False)[np.searchsorted(offs, start, "right") - 1]
+            ends = np.concatenate([[0], np.cumsum(size)])
+            at = np.repeat(start - ends[:-1], size) + np.arange(ends[-1])
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat[at], pa.int32())),
+                                              pa.array(freq, pa.int64())], ["symbols", "freq"])
+
+    return words.mapInArrow(run, "symbols array<int>, freq long").groupBy("symbols").agg(F.sum("freq").alias("freq"))
+
+
+def _merge_in_order(ids: list[int], rank: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
+    """Every merge of ``rank`` (pair -> (rank, new id)) applied once, in their
+    order, each left to right."""
+    n = len(ids)
+    after, before, live = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
+    heap = [(r[0], i) for i in range(n - 1) if (r := rank.get((ids[i], ids[i + 1]))) is not None]
+    heapq.heapify(heap)
+    while heap:
+        at, i = heapq.heappop(heap)
+        j = after[i] if live[i] else n
+        if j >= n or (r := rank.get((ids[i], ids[j]))) is None or r[0] != at:
+            continue
+        ids[i], live[j] = r[1], False
+        after[i] = after[j]
+        if after[j] < n:
+            before[after[j]] = i
+        for x in (before[i], i):
+            y = after[x] if x >= 0 else n
+            # a merge that is over does not come back
+            if y < n and (r := rank.get((ids[x], ids[y]))) is not None and r[0] > at:
+                heapq.heappush(heap, (r[0], x))
+    return [x for x, ok in zip(ids, live) if ok]
+
+
+FEW_MERGES = 16
+
+
+def _apply_merges(words: DataFrame, made: list[tuple[int, int, int]]) -> DataFrame:
+    """The word table after the merges ``made`` ((left, right, new) in their
+    order): a few by passes over the whole batch, more by walking the words that
+    hold one of their pairs."""
+    schema, names = words.schema, words.columns
+    si = names.index("symbols")
+    table = {(a, b): (i, new) for i, (a, b, new) in enumerate(made)}
+    keys = np.sort(np.array([a * _PAIR_SHIFT + b for a, b in table], np.int64))
 
     def run(batches):
         for b in batches:
-            col = b.column(si)
-            flat = col.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            o = np.asarray(col.offsets, dtype=np.int64)
-            o = o - o[0]
-            if flat.size < 2:
+            flat, offs = _flat(b.column(si))
+            if len(made) <= FEW_MERGES:
+                for x, y, new in made:
+                    if flat.size > 1 and (res := _merge_flat(flat, offs, np.array([x * _PAIR_SHIFT + y]), np.array([new]))):
+                        flat, offs = res
+                arr = pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(flat, pa.int32()))
+                yield pa.RecordBatch.from_arrays([arr if i == si else c for i, c in enumerate(b.columns)], names=names)
+                continue
+            hit = _ranks(flat, offs, keys, np.zeros(len(keys), np.int64)) < len(keys)
+            some = np.unique(np.searchsorted(offs, np.flatnonzero(hit), "right") - 1)
+            if not len(some):
+                yield b
                 continue
-            k = flat[:-1] * _PAIR_SHIFT + flat[1:]
-            hit = keys[np.minimum(np.searchsorted(keys, k), len(keys) - 1)] == k
-            last = o[1:] - 1
-            hit[last[(last >= 0) & (last < k.size)]] = False
-            before = np.concatenate([[0], np.cumsum(hit), [hit.sum()]])
-            some = np.flatnonzero(before[np.maximum(o[1:] - 1, o[:-1])] > before[o[:-1]])
-            if some.size:
-                yield b.take(pa.array(some))
+            size = np.diff(offs)
+            keep = np.ones(len(size), bool)
+            keep[some] = False
+            now = [_merge_in_order(flat[offs[i]:offs[i + 1]].tolist(), table) for i in some.tolist()]
+            values = np.concatenate([flat[np.repeat(keep, size)], np.array([x for w in now for x in w], np.int64)])
+            ends = np.concatenate([[0], np.cumsum(np.concatenate([size[keep], [len(w) for w in now]]))])
+            order = pa.array(np.concatenate([np.flatnonzero(keep), some]))
+            arr = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32()))
+            yield pa.RecordBatch.from_arrays([arr if i == si else b.column(i).take(order) for i in range(len(names))], names=names)
 
-    return words.mapInArrow(run, words.schema)
+    return words.mapInArrow(run, schema).filter(F.size("symbols") >= 2)
 
 
 class _Merger:
-    """Merging over some of the words: exact counts of the pairs that stand in
-    them only, the words of each pair, and a heap of pairs."""
-
-    def __init__(self, symbols: list[list[int]], freq: list[int], counts: dict[tuple[int, int], int], first_new: int):
-        self.symbols, self.freq, self.n, self.first_new = symbols, freq, dict(counts), first_new
-        self.known = set(counts)
-        self.where: dict[tuple[int, int], set[int]] = defaultdict(set)
-        for i, s in enumerate(symbols):
-            for p in zip(s, s[1:]):
-                if p in self.known:
-                    self.where[p].add(i)
-        self.heap = [(-n, p) for p, n in self.n.items()]
+    """Merging over runs of symbols: linked lists in arrays, the places of each
+    pair, exact counts of the pairs in them and a heap of pairs."""
+
+    def __init__(self, symbols: pa.ListArray, freq: np.ndarray, counts: dict[tuple[int, int], int]):
+        self.sym, offs = _flat(symbols)
+        n, size = len(self.sym), np.diff(offs)
+        self.weight = np.repeat(freq.astype(np.int64), size)
+        self.after, self.before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        self.after[offs[1:][size > 0] - 1] = -1
+        self.before[offs[:-1][size > 0]] = -1
+        left = np.flatnonzero(self.after >= 0)
+        key = self.sym[left] * _PAIR_SHIFT + self.sym[left + 1]
+        order = np.argsort(key, kind="stable")
+        pairs, first = np.unique(key[order], return_index=True)
+        self.where = {k: [p] for k, p in zip(pairs.tolist(), np.split(left[order], first[1:]))} if len(pairs) else {}
+        self.n = {a * _PAIR_SHIFT + b: c for (a, b), c in counts.items()}
+        self.heap = [(-c, k) for k, c in self.n.items()]
         heapq.heapify(self.heap)
-        self.grown: dict[tuple[int, int], int] = defaultdict(int)     # pairs of old tokens that are not known
 
     def best(self) -> tuple[int, tuple[int, int]] | None:
         while self.heap:
-            n, p = self.heap[0]
-            if self.n[p] == -n and n:
-                return -n, p
+            c, k = self.heap[0]
+            if c and self.n[k] == -c:
+                return -c, divmod(k, _PAIR_SHIFT)
             heapq.heappop(self.heap)
         return None
 
-    def merge(self, pair: tuple[int, int], new: int) -> None:
-        delta: dict[tuple[int, int], int] = defaultdict(int)
-        table = {pair: new}
-        for i in self.where.pop(pair, ()):
-            old, f = self.symbols[i], self.freq[i]
-            now = _merge_symbols(old, table)
-            if len(now) == len(old):
-                continue
-            for p in zip(old, old[1:]):
-                delta[p] -= f
-            for p in zip(now, now[1:]):
-                delta[p] += f
-                if new in p:
-                    self.where[p].add(i)
-            self.symbols[i] = now
-        for p, d in delta.items():
-            if not d:
-                continue
-            if p not in self.known:
-                if max(p) < self.first_new:     # of old tokens, in other words too
-                    self.grown[p] += d
-                    continue
-                self.known.add(p)
-                self.n[p] = 0
-            self.n[p] += d
-            if self.n[p] > 0:
-                heapq.heappush(self.heap, (-self.n[p], p))
+    def merge(self, pair: tuple[int, int], new: int) -> tuple[int, int]:
+        """Join ``pair`` everywhere; how often the token then is a run's first
+        and its last symbol."""
+        (a, b), sym, after, before = pair, self.sym, self.after, self.before
+        k = a * _PAIR_SHIFT + b
+        pos = np.unique(np.concatenate(self.where.pop(k, [np.zeros(0, np.int64)])))
+        pos = pos[(sym[pos] == a) & (after[pos] >= 0)]
+        pos = pos[sym[after[pos]] == b]
+        if a == b:      # of a run of one symbol every other pair
+            taken, gone = [], set()
+            for p in pos.tolist():
+                if p not in gone:
+                    taken.append(p)
+                    gone.add(int(after[p]))
+            pos = np.array(taken, np.int64)
+        q, w = after[pos], self.weight[pos]
+        l, r = before[pos], after[q]
+
+        def met(at):       # whether the places ``at`` are among ``pos``
+            return pos[np.minimum(np.searchsorted(pos, at), len(pos) - 1)] == at
+
+        right = (r >= 0) & ~met(r) if len(pos) else r >= 0
+        keys = [sym[l[l >= 0]] * _PAIR_SHIFT + a, b * _PAIR_SHIFT + sym[r[right]]]
+        change = [-w[l >= 0], -w[right]]
+        sym[pos], sym[q] = new, -1
+        after[pos] = r
+        before[r[r >= 0]] = pos[r >= 0]
+        l, r = before[pos], after[pos]
+        at = np.concatenate([l[l >= 0], pos[right]])
+        made = np.concatenate([sym[l[l >= 0]] * _PAIR_SHIFT + new, new * _PAIR_SHIFT + sym[r[right]]])
+        keys = np.concatenate([*keys, made])
+        change = np.concatenate([*change, w[l >= 0], w[right]])
+        order = np.argsort(made, kind="stable")
+        ks, first = np.unique(made[order], return_index=True)
+        for x, p in zip(ks.tolist(), np.split(at[order], first[1:]) if len(ks) else ()):
+            self.where.setdefault(x, []).append(p)
+        ks, inverse = np.unique(keys, return_inverse=True)
+        sums = np.zeros(len(ks), np.int64)
+        np.add.at(sums, inverse, change)
+        for x, d in zip(ks.tolist(), sums.tolist()):
+            if d and x != k:
+                c = self.n[x] = self.n.get(x, 0) + d
+                if c > 0:
+                    heapq.heappush(self.heap, (-c, x))
+        self.n[k] = 0
+        return int(w[l < 0].sum()), int(w[r < 0].sum())
+
+    def most(self, token: int, first: bool) -> int:
+        """Highest count of a pair that has ``token`` in front (else behind)."""
+        return max((c for k, c in self.n.items() if (k >> 32 if first else k & (_PAIR_SHIFT - 1)) == token), default=0)
 
 
 def train_bpe(df: DataFrame, vocab_size: int, specials: Sequence[str], text: str = "text",
@@ -294,49 +373,49 @@ def train_bpe(df: DataFrame, vocab_size: int, specials: Sequence[str], text: str
         merges.append((len(merges), a, b, nid, n))
         return nid, fresh
 
-    def fetched(top, whole: bool) -> DataFrame | None:
-        """Merge over the words of the pairs ``top``; the new word table."""
-        keys = np.sort(np.array([int(r["a"]) * _PAIR_SHIFT + int(r["b"]) for r in top], np.int64))
-        rows = _holding(words, keys).toArrow()
-        wid = rows["wid"].to_numpy()
-        m = _Merger(rows["symbols"].to_pylist(), rows["freq"].to_pylist(),
-                    {(int(r["a"]), int(r["b"])): int(r["n"]) for r in top}, len(pieces))
-        # pairs that were not fetched come after the last one fetched
-        edge = (0, (0, 0)) if whole else (int(top[-1]["n"]), (int(top[-1]["a"]), int(top[-1]["b"])))
-        before, size = len(merges), np.array([len(s) for s in m.symbols])
+    def trained(top: pa.Table, many: int, whole: bool, keys: np.ndarray, rank: np.ndarray) -> list[tuple[int, int, int]]:
+        """Merge over the runs of the first ``many`` pairs; the merges made."""
+        rows = _fetch_runs(words, keys, rank, many).toArrow()
+        first = top.slice(0, many)
+        pairs = list(zip(first["a"].to_pylist(), first["b"].to_pylist()))
+        counts = first["n"].to_pylist()
+        m = _Merger(rows["symbols"].combine_chunks(), rows["freq"].to_numpy(), dict(zip(pairs, counts)))
+        # pairs that are not the round's come after its last one
+        edge = (0, (0, 0)) if whole else (counts[-1], pairs[-1])
+        made, done, limit = [], set(), 0
+        unseen: dict[tuple[int, bool], int] = defaultdict(int)      # growth at cuts behind (in front of) a token, at most
         while len(pieces) < vocab_size and (best := m.best()) is not None:
             n, pair = best
-            most = edge[0] + max((d for d in m.grown.values() if d > 0), default=0)
-            if len(merges) > before and (n <= most if most > edge[0] else (-n, pair) > (-edge[0], edge[1])):
+            if made and (n <= limit or pair in done or (not whole and (-n, pair) > (-edge[0], edge[1]))):
                 break
-            m.n[pair] = 0
-            m.merge(pair, take(*pair, n)[0])
-        changed = np.flatnonzero(np.array([len(s) for s in m.symbols]) != size)
-        new = pa.table({"wid": pa.array(wid[changed], pa.int64()),
-                        "now": pa.array([m.symbols[i] for i in changed.tolist()], pa.list_(pa.int32()))})
-        new = spark.createDataFrame(new)
-        if len(changed) <= BROADCAST_ROW_LIMIT:     # pull_words at most
-            new = F.broadcast(new)
-        return (words.join(new, "wid", "left").select(F.coalesce("now", "symbols").alias("symbols"), "freq", "wid")
-                .filter(F.size("symbols") >= 2))
+            nid, fresh = take(*pair, n)
+            heads, tails = m.merge(pair, nid)
+            made.append((*pair, nid))
+            done.add(pair)
+            if not fresh and not whole:
+                for side, weight in ((True, tails), (False, heads)):
+                    unseen[nid, side] += min(weight, edge[0])
+                    if grown := unseen[nid, side]:
+                        limit = max(limit, edge[0] + grown, m.most(nid, side) + grown)
+        return made
 
     rounds, old = 0, None
     while len(pieces) < vocab_size:
-        top = (_pairs(words).orderBy(F.desc("n"), "a", "b").limit(int(top_k)).toArrow().to_pylist())
+        top = _pairs(words).orderBy(F.desc("n"), "a", "b").limit(int(top_k)).toArrow()
         if old is not None:
             old.unpersist()  # the new table is cached now
             old = None
-        if not top or top[0]["n"] < 1:
+        if not top.num_rows or top["n"][0].as_py() < 1:
             break
-        # so many pairs that their words are within the bound (all of them, if all words are)
-        many = (len(top) if n_words <= pull_words
-                else int(np.searchsorted(np.cumsum([r["d"] for r in top]), pull_words, "right")))
-        whole = many == len(top) < top_k
-        if many:
-            new = fetched(top[:many], whole)
-        else:
-            table = _batch(words, top[:256], pieces, piece_id, vocab_size, take)
-            new = _apply_merges(words, table)
+        keys = top["a"].to_numpy().astype(np.int64) * _PAIR_SHIFT + top["b"].to_numpy()
+        rank = np.argsort(keys, kind="stable")
+        keys = keys[rank]
+        # as many pairs as make few enough runs; their places are no fewer than their runs
+        sure = max(1, int(np.searchsorted(np.cumsum(top["d"].to_numpy()), pull_words, "right")))
+        levels = sorted({max(sure, top.num_rows * 2 // 3 ** i) if i else top.num_rows for i in range(12)} - {sure})
+        counts = _count_runs(words, keys, rank, levels) if levels else {}
+        many = max([sure, *(n for n in levels if counts.get(n, 0) <= pull_words)])
+        new = _apply_merges(words, trained(top, many, many == top.num_rows < top_k, keys, rank))
         old, words = words, new
         rounds += 1
         if rounds % checkpoint_every == 0:
@@ -353,33 +432,6 @@ def train_bpe(df: DataFrame, vocab_size: int, specials: Sequence[str], text: str
     return vocab, mdf
 
 
-def _batch(words: DataFrame, top: list[dict], pieces: list[str], piece_id: dict[str, int], vocab_size: int,
-           take) -> dict[tuple[int, int], int]:
-    """Merges of the first pairs that together equal one-at-a-time training."""
-    # the limits only gate the second and later merges of a round: skip
-    # the job when the second candidate is already out by the symbol rule
-    second = (len(top) > 1 and len(pieces) + 1 < vocab_size
-              and top[1]["a"] != top[0]["b"] and top[1]["b"] != top[0]["a"])
-    lim = _triple_limits(words, [(int(r["a"]), int(r["b"])) for r in top]) if second else {}
-    table: dict[tuple[int, int], int] = {}
-    lefts: set[int] = set()
-    rights: set[int] = set()
-    bound = -1
-    for r in top:
-        a, b, n = int(r["a"]), int(r["b"]), int(r["n"])
-        if len(pieces) >= vocab_size or n < 1:
-            break
-        if table and (a in rights or b in lefts or n <= bound):
-            break
-        table[(a, b)], fresh = take(a, b, n)
-        lefts.add(a)
-        rights.add(b)
-        bound = max(bound, lim.get((a, b), 0))
-        if not fresh:
-            break
-    return table
-
-
 class BpeModel:
     """Picklable merge table for tasks: pair -> (rank, new id)."""
 

@@ -1,6 +1,8 @@
 """BPE training and encoding against the public `tokenizers` trainer
 (test-only dependency): identical vocabulary, merges and ids."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,3 +103,36 @@ def test_long_piece_is_merged_in_line_with_its_length(spark):
     assert time.time() - t0 < 20 and got == lib.encode(word).ids
     for w in ("aaaaaaa", "abababab", "eeteeteet", "nnn"):
         assert model.encode_piece("▁" + w) == lib.encode(w).ids
+
+
+@pytest.mark.parametrize("pull", [1, 12])
+def test_rounds_over_distinct_runs_give_the_same_merges(spark, pull):
+    """Rounds of few runs, tokens that two merges make and runs of one symbol
+    among them, against one-at-a-time training over all words."""
+    from collections import Counter
+    r = random.Random(pull)
+    words = Counter("".join(r.choice("aaabbc") for _ in range(r.randint(1, 9))) for _ in range(60))
+    df = spark.createDataFrame([(" ".join([w] * n),) for w, n in words.items()], "text string")
+    _, merges = bpe.train_bpe(df, 20, [], pull_words=pull)
+    counts = Counter()
+    for w, n in words.items():
+        counts["▁" + w] += n
+    pieces = sorted({c for w in counts for c in w})
+    ids, table, want = {c: i for i, c in enumerate(pieces)}, {}, []
+    table = {w: [ids[c] for c in w] for w in counts}
+    while len(pieces) < 20:
+        pairs = Counter()
+        for w, s in table.items():
+            for p in zip(s, s[1:]):
+                pairs[p] += counts[w]
+        if not pairs:
+            break
+        (a, b), n = min(pairs.items(), key=lambda x: (-x[1], x[0]))
+        if pieces[a] + pieces[b] not in ids:
+            ids[pieces[a] + pieces[b]] = len(pieces)
+            pieces.append(pieces[a] + pieces[b])
+        new = ids[pieces[a] + pieces[b]]
+        want.append((a, b, new, n))
+        table = {w: bpe._merge_symbols(s, {(a, b): new}) for w, s in table.items()}
+    got = [(m["left_id"], m["right_id"], m["id"], m["count"]) for m in merges.orderBy("rank").collect()]
+    assert got == want
