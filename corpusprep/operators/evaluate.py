@@ -91,16 +91,18 @@ def fit_bigram(ids: DataFrame, col: str = "input_ids") -> DataFrame:
         .groupBy("prev", "token").agg(F.count(F.lit(1)).alias("n"))
 
 
-def score_tokens(seq: DataFrame, bigram: DataFrame, vocab_size: int, k: float,
-                 model: str, keys: tuple[str, ...] = ("pair_id", "which"), blocks: int | None = None) -> DataFrame:
+def score_tokens(seq: DataFrame, bigram: DataFrame, vocab_size: int, k: float | dict[str, float],
+                 model: str | None = None, keys: tuple[str, ...] = ("pair_id", "which"), blocks: int | None = None) -> DataFrame:
     """Per position log P(label | input) under add-k smoothing,
     (n(prev, label) + k) / (n(prev) + k * V); masked positions get logp 0.
-    seq has keys, input_ids and labels (same length).
+    seq has keys, input_ids and labels (same length). ``k`` is the ``model``'s,
+    or a {model: k} mapping: the counts are looked up once for all of them.
 
     Sequences are dealt into ``blocks`` by their keys. Only a block's distinct
     pairs ask the model, and the answers meet the positions on (block, pair), so
     a pair that stands everywhere is a row per block to the model, and its
     positions are spread over the blocks."""
+    models = k if isinstance(k, dict) else {model: k}
     n = int(blocks or seq.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     z = (seq.select(*keys, F.pmod(F.xxhash64(*keys), F.lit(n)).cast("int").alias("_block"),
                     F.posexplode(F.arrays_zip("input_ids", "labels")).alias("pos", "z"))
@@ -108,15 +110,18 @@ def score_tokens(seq: DataFrame, bigram: DataFrame, vocab_size: int, k: float,
     masked = F.col("label") == IGNORE_INDEX
     asks = z.filter(~masked).select("_block", "prev", "label").distinct()
     tot = bigram.groupBy("prev").agg(F.sum("n").alias("n_prev"))
-    lp = F.log((F.coalesce("n", F.lit(0)) + F.lit(k)) /
-               (F.coalesce("n_prev", F.lit(0)) + F.lit(k * vocab_size)))
+    lp = [F.log((F.coalesce("n", F.lit(0)) + F.lit(k)) /
+                (F.coalesce("n_prev", F.lit(0)) + F.lit(k * vocab_size))).alias(f"_lp{i}")
+          for i, k in enumerate(models.values())]
     answers = (asks.join(bigram.withColumnRenamed("token", "label"), ["prev", "label"], "left")
                .join(tot, "prev", "left")
-               .select(F.col("_block").alias("_b"), F.col("prev").alias("_p"), F.col("label").alias("_l"), lp.alias("_lp")))
+               .select(F.col("_block").alias("_b"), F.col("prev").alias("_p"), F.col("label").alias("_l"), *lp))
     j = z.join(answers, (F.col("_block") == F.col("_b")) & F.col("prev").eqNullSafe(F.col("_p"))
                & F.col("label").eqNullSafe(F.col("_l")), "left")
-    return j.select(*keys, F.lit(model).alias("model"), F.col("pos").cast("long"),
-                    F.col("label").cast("long"), F.when(masked, F.lit(0.0)).otherwise(F.col("_lp")).alias("logp"))
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.when(masked, F.lit(0.0)).otherwise(F.col(f"_lp{i}")).alias("logp"))
+                               for i, m in enumerate(models)]))
+    return (j.select(*keys, each.alias("_m"), F.col("pos").cast("long"), F.col("label").cast("long"))
+            .select(*keys, "_m.model", "pos", "label", "_m.logp"))
 
 
 def preference_loss(scores: DataFrame, beta: float, mode: str = "position",

@@ -16,6 +16,7 @@ from corpusprep.functions import text as tx
 from corpusprep.operators import segment, split, stats, tokenise, vocab
 from corpusprep.plans import sqlparts as S
 from corpusprep.profiles import BASE_SPECIALS, CHAT_SPECIALS
+from corpusprep.session import reliable_checkpoint
 from corpusprep.sources import tables as tb
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -603,10 +604,10 @@ def _scores(spark, sf):
     x, y = pack.fit_length("input_ids", "labels", SFT_CTX, PAD_ID)
     seqs = seqs.select(F.col("row_id").alias("pair_id"), F.col("sub").cast("long").alias("which"),
                        x.alias("input_ids"), y.alias("labels"))
-    bg = ev.fit_bigram(pretrain_tokens(spark, sf))
-    a = ev.score_tokens(seqs, bg, v_size, K_POLICY, "policy")
-    b = ev.score_tokens(seqs, bg, v_size, K_REFERENCE, "reference")
-    return a.unionByName(b)
+    # the sequences meet the counts in two places: neither is made twice
+    seqs = reliable_checkpoint(seqs)
+    bg = reliable_checkpoint(ev.fit_bigram(pretrain_tokens(spark, sf)))
+    return ev.score_tokens(seqs, bg, v_size, {"policy": K_POLICY, "reference": K_REFERENCE})
 
 
 @register("e2_score_completions",

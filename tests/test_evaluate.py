@@ -44,3 +44,17 @@ def test_a_pair_that_stands_everywhere_asks_once_per_block(spark):
     for label, n, c in ((6, 19200, 7), (9, 400, 0)):
         want = math.log((c + 0.5) / (10 + 5))
         assert by[label][0] == n and abs(by[label][1] - want) < 1e-12 and abs(by[label][2] - want) < 1e-12
+
+
+def test_models_scored_together_equal_each_alone(spark):
+    """Several add-k models share one lookup of the counts; masked and unknown positions included."""
+    from corpusprep.operators import evaluate
+    seq = spark.createDataFrame([("p", 0, [1, 2, 1, 9], [-100, 1, 2, 3]), ("p", 1, [2, 2], [1, -100]), ("q", 0, [1], [2])],
+                                "pair_id string, which int, input_ids array<int>, labels array<int>")
+    bigram = spark.createDataFrame([(1, 2, 3), (2, 1, 1), (1, 1, 2)], "prev int, token int, n long")
+    both = evaluate.score_tokens(seq, bigram, 10, {"a": 1.0, "b": 0.1})
+    alone = evaluate.score_tokens(seq, bigram, 10, 1.0, "a").unionByName(evaluate.score_tokens(seq, bigram, 10, 0.1, "b"))
+    assert both.columns == alone.columns
+    rows = sorted(tuple(r) for r in both.collect())
+    assert rows == sorted(tuple(r) for r in alone.collect()) and len(rows) == 14
+    assert str(both._jdf.queryExecution().optimizedPlan()).count("Union") == 0
