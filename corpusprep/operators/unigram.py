@@ -29,12 +29,13 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusprep.functions import text as tx
-from corpusprep.operators.lattice import Lattice, PieceTrie, chunks, code_points
+from corpusprep.operators.lattice import PieceTrie, lattices
 from corpusprep.operators.order import take_first
 from corpusprep.operators.suffixes import repeated_substrings
 from corpusprep.operators.tokenise import _map_pieces, map_pieces_by_unique, pre_tokenise
@@ -43,7 +44,8 @@ from corpusprep.session import BROADCAST_ROW_LIMIT, reliable_checkpoint
 
 UNIGRAM_VOCAB_SCHEMA = "id int, piece string, score double, is_special boolean"
 UNK_PENALTY = 10.0   # an unknown character costs min(score) - 10
-WORDS_PER_PARTITION = 50_000
+WORDS_PER_PARTITION = 400_000    # a task gives out a row per piece that its words meet, so few tasks give out less
+HELD_CHARS = 1 << 21                # of words worked on together: some 200,000
 PIECES_PER_PARTITION = 100_000
 
 
@@ -54,6 +56,21 @@ def _unknown(score: np.ndarray) -> float:
 _COUNTS = T.StructType([T.StructField("id", T.IntegerType()), T.StructField("count", T.DoubleType())])
 
 
+def _held(batches, chars: int = HELD_CHARS):
+    """(words, weights) of several batches together: words of one length are
+    worked on at once, so there should be many of them."""
+    words, weights, size = [], [], 0
+    for b in batches:
+        words += b.column(0).to_pylist()
+        weights.append(b.column(1).to_numpy(zero_copy_only=False).astype(np.float64))
+        size += pc.sum(pc.utf8_length(b.column(0))).as_py() or 0
+        if size >= chars:
+            yield words, np.concatenate(weights)
+            words, weights, size = [], [], 0
+    if words:
+        yield words, np.concatenate(weights)
+
+
 def _e_step(words: DataFrame, trie, score: np.ndarray, viterbi: bool = False) -> tuple[np.ndarray, float]:
     """(expected or Viterbi count of each piece, log-likelihood) over
     ``words(piece, freq)``, weighted by frequency and summed inside each task
@@ -62,19 +79,14 @@ def _e_step(words: DataFrame, trie, score: np.ndarray, viterbi: bool = False) ->
 
     def run(batches):
         total, likelihood = np.zeros(n), 0.0
-        for b in batches:
-            ws, fs = b.column(0).to_pylist(), b.column(1).to_numpy(zero_copy_only=False).astype(np.float64)
-            for part in chunks(ws):
-                flat, offs = code_points([ws[i] for i in part])
-                lat, weight = Lattice(trie.value, flat, offs, score, unknown), fs[part]
+        for ws, fs in _held(batches):
+            for part, lat in lattices(trie.value, ws, score, unknown):
                 if viterbi:
-                    word, e = lat.paths()
-                    known = lat.piece[e] >= 0
-                    total += np.bincount(lat.piece[e][known], weight[word[known]], n)
+                    word, _, piece = lat.segments()
+                    known = piece >= 0
+                    np.add.at(total, piece[known], fs[part[word[known]]])
                 else:
-                    got, z = lat.expected(weight, n)
-                    total += got
-                    likelihood += z
+                    likelihood += lat.add_expected(fs[part], total)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1), pa.int32()),
                                           pa.array(np.append(total[some], likelihood))], _COUNTS.names)
@@ -95,14 +107,12 @@ def _without(spark, trie, score: np.ndarray) -> np.ndarray:
         t = trie.value
         for b in batches:
             ids = b.column(0).to_numpy()
-            size = np.diff(t.offs)[ids]
-            ids = ids[np.argsort(size, kind="stable")]
-            for i in range(0, len(ids), 1 << 14):
-                part = ids[i:i + (1 << 14)]
-                size = np.diff(t.offs)[part]
-                offs = np.concatenate([[0], np.cumsum(size)])
-                flat = t.codes[np.repeat(t.offs[part] - offs[:-1], size) + np.arange(offs[-1])].astype(np.int64)
-                top, _ = Lattice(t, flat, offs, score, unknown, whole=False).best()
+            for i in range(0, len(ids), 1 << 16):
+                part = ids[i:i + (1 << 16)]
+                top = np.zeros(len(part))
+                pieces = ["".join(map(chr, t.codes[t.offs[p]:t.offs[p + 1]].tolist())) for p in part.tolist()]
+                for at, lat in lattices(t, pieces, score, unknown, whole=False):
+                    top[at] = lat.top()
                 yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(top)], _COUNTS.names)
 
     parts = max(1, min(spark.sparkContext.defaultParallelism, -(-n // 1000)), -(-n // PIECES_PER_PARTITION))
@@ -164,9 +174,9 @@ def train_unigram(df: DataFrame, vocab_size: int, specials: Sequence[str], text:
     # E-steps are CPU-bound per word: spread the word table over every core
     # (an aggregate's output may have been coalesced into a few partitions)
     counts = reliable_checkpoint(training_words(df, text, **recipe))
+    n_words = counts.count()
     if coverage < 1.0:
         counts, _ = covered(counts, coverage)
-    n_words = counts.count()
     parts = max(spark.sparkContext.defaultParallelism, -(-n_words // WORDS_PER_PARTITION))
     words = reliable_checkpoint(counts.repartition(parts))
     if seed_size > BROADCAST_ROW_LIMIT:
@@ -250,21 +260,23 @@ class UnigramEncoder:
     def _segment(self, words: list[str]) -> list[list[int]]:
         """Ids of each word's best segmentation, all words at once."""
         out: list[list[int]] = [[] for _ in words]
-        for part in chunks(words):
-            flat, offs = code_points([words[i] for i in part])
-            lat = Lattice(self._trie, flat, offs, self._score, self._unknown)
-            word, e = lat.paths()
-            piece = lat.piece[e]
-            ids = np.where(piece >= 0, self._ids[piece] if len(self._ids) else 0, -1).tolist()
-            for w, i, at in zip(word.tolist(), ids, lat.start[e].tolist()):
-                if i >= 0:
-                    out[part[w]].append(i)
-                elif self.bytes:
-                    out[part[w]] += [self.ids[tx.BYTE_PIECES[x]] for x in chr(int(flat[at])).encode()]
-                else:
-                    out[part[w]].append(self.unk_id)
+        for part, lat in lattices(self._trie, words, self._score, self._unknown):
+            word, start, piece = lat.segments()
+            ids = np.where(piece >= 0, self._ids[piece] if len(self._ids) else 0, -1)
+            odd = np.zeros(len(part), bool)
+            odd[word[ids < 0]] = True
+            ends, ids, at = np.cumsum(np.bincount(word, minlength=len(part))).tolist(), ids.tolist(), 0
+            for i, end, some in zip(part.tolist(), ends, odd.tolist()):
+                out[i] = ids[at:end]
+                if some:
+                    out[i] = [y for x, s in zip(out[i], start[at:end].tolist())
+                              for y in ([x] if x >= 0 else self._unknown_ids(words[i][s]))]
+                at = end
         return out
 
+    def _unknown_ids(self, char: str) -> list[int]:
+        return [self.ids[tx.BYTE_PIECES[x]] for x in char.encode()] if self.bytes else [self.unk_id]
+
     def encode_pieces(self, words: list[str]) -> list[list[int]]:
         if self._cache is None:
             self._prepare()

@@ -10,7 +10,7 @@ import pytest
 
 from conftest import SMALL
 from corpusprep.operators import vocab
-from corpusprep.operators.lattice import NEG_INF, Lattice, PieceTrie, chunks, code_points
+from corpusprep.operators.lattice import BLOCK_LENGTH, NEG_INF, Block, Lattice, PieceTrie, chunks, code_points, lattices
 from corpusprep.operators.suffixes import intervals, repeated_substrings
 from corpusprep.sources import tables as tb
 
@@ -127,3 +127,60 @@ def test_whole_word_can_be_left_out():
     flat, offs = code_points(["abc", "a"])
     top, _ = Lattice(trie, flat, offs, np.array([-3.0, -4, -1, -3, -3, -5]), -20.0, whole=False).best()
     assert top.tolist() == [-7.0, -3.0]     # ab + c; one character stays itself
+
+
+def test_blocks_of_one_length_equal_word_by_word():
+    """Words are dealt into blocks of one length (no edge lists, no sorting);
+    long and very unlikely words still come out right."""
+    rnd = random.Random(3)
+    pieces = sorted({"".join(rnd.choice("abcd中") for _ in range(rnd.randint(1, 5))) for _ in range(150)} - {"d"})
+    score = np.array([-float(rnd.randint(1, 12)) for _ in pieces])      # whole numbers: many equal ways
+    score[5] = -np.inf
+    alive = {p: s for p, s in zip(pieces, score.tolist()) if s > -np.inf}
+    words = ["".join(rnd.choice("abcd中😀") for _ in range(rnd.randint(1, BLOCK_LENGTH))) for _ in range(400)]
+    words += ["", "a" * 700, "d", "a", "a", "😀" * 40, "😀" * 39 + "a"]   # the last two: below the least double
+    weight = np.array([rnd.randint(1, 4) for _ in words], float)
+    trie, total, z, top, paths, kinds = PieceTrie(pieces), np.zeros(len(pieces)), 0.0, {}, {}, {}
+    for part, lat in lattices(trie, words, score, -25.0):
+        kinds.update((int(i), type(lat)) for i in part)
+        z += lat.add_expected(weight[part], total)
+        top.update(zip(part.tolist(), lat.top().tolist()))
+        for w, at, p in zip(*(x.tolist() for x in lat.segments())):
+            word = words[int(part[w])]
+            paths.setdefault(int(part[w]), []).append(pieces[p] if p >= 0 else word[at])
+    assert sorted(kinds) == [i for i, w in enumerate(words) if w]
+    assert all((kinds[i] is Block) == (len(w) <= BLOCK_LENGTH) for i, w in enumerate(words) if w)
+    want, wz = defaultdict(float), 0.0
+    for i, w in enumerate(words):
+        if w:
+            ll, count, b, seg = plain_lattice(w, alive, -25.0, 5)
+            wz += ll * weight[i]
+            for p, c in count.items():
+                want[p] += c * weight[i]
+            assert abs(top[i] - b) < 1e-8 * abs(b) and paths[i] == seg
+    assert abs(z - wz) < 1e-8 * abs(wz)
+    assert np.allclose(total, [want[p] for p in pieces])
+
+
+def test_trie_finds_every_piece_and_no_other():
+    rnd = random.Random(4)
+    pieces = sorted({"".join(chr(rnd.choice([97, 98, 0x4E2D, 0x10FFFF])) for _ in range(rnd.randint(1, 6))) for _ in range(3000)})
+    trie = PieceTrie(pieces)
+    for n in (1, 2, 5, 8):
+        words = ["".join(chr(rnd.choice([97, 98, 99, 0x4E2D, 0x10FFFF])) for _ in range(n)) for _ in range(200)]
+        flat, offs = code_points(words)
+        got = {(int(a) % 200, int(a) // 200, pieces[p]) for k, at, piece in trie.walk(flat.reshape(200, n).T.ravel(), 200)
+               for a, p in zip(at, piece)}
+        have = set(pieces)
+        assert got == {(w, i, x[i:j]) for w, x in enumerate(words) for i in range(n) for j in range(i + 1, n + 1) if x[i:j] in have}
+    flat, offs = code_points(["abc"])
+    assert len(PieceTrie([]).find(flat, np.array([3, 2, 1]))[0]) == 0
+
+
+def test_blocks_leave_out_whole_words():
+    words = ["abc", "bca", "a", "c"]
+    trie = PieceTrie(["a", "ab", "abc", "b", "c", "bc"])
+    top = np.zeros(4)
+    for part, lat in lattices(trie, words, np.array([-3.0, -4, -1, -3, -3, -5]), -20.0, whole=False):
+        top[part] = lat.top()
+    assert top.tolist() == [-7.0, -8.0, -3.0, -3.0]
